@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from crawlprism.functions.columns import bounded_broadcast, col
 
-_SCHEME_REST = r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//"
+# scheme, userinfo, then the host up to port, path, query or fragment.
+_HOST = r"^\s*(?:(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//)?(?:[^/?#]*@)?(\[[^\]]*\]|[^/?#:\s]*)"
 _IPV4 = r"^\d{1,3}(\.\d{1,3}){3}$"
 
 # Top-level names and second-level registry words of the compact default rules.
@@ -30,22 +31,19 @@ def hostname(url: str | Column) -> Column:
 
 def full_host(url: str | Column) -> Column:
     """Lower-case host of a URL or bare host, without scheme, user, port and trailing dots."""
-    rest = F.regexp_replace(F.trim(col(url)), _SCHEME_REST, "")
-    authority = F.regexp_extract(rest, r"^([^/?#]*)", 1)
-    host = F.element_at(F.split(authority, "@"), -1)
-    host = F.when(host.startswith("["), host).otherwise(F.regexp_replace(host, ":.*$", ""))
-    return F.lower(F.regexp_replace(host, r"\.+$", ""))
-
-
-def compact_suffix_length(host: Column) -> Column:
-    """Labels in the public suffix by the compact default rules: generic names, every two-letter
-    name, and registry words below two-letter names. Null when no rule matches."""
-    flat = "|".join(FLAT_COUNTRIES)
-    words = "|".join(REGISTRY_WORDS)
-    generic = "|".join(GENERIC_TLDS)
-    return F.when(host.rlike(rf"(^|\.)({words})\.(?!({flat})$)[a-z]{{2}}$"), 2).when(
-        host.rlike(rf"(^|\.)([a-z]{{2}}|{generic})$"), 1
-    )
+    return F.rtrim(F.lower(F.regexp_extract(col(url), _HOST, 1)), F.lit("."))
+
+
+def _compact_pattern(brand_tld: bool) -> str:
+    """One label and the longest public suffix by the compact rules: generic names, every
+    two-letter name, and registry words below two-letter names."""
+    flat, words, generic = map("|".join, (FLAT_COUNTRIES, REGISTRY_WORDS, GENERIC_TLDS))
+    registry = rf"(?:{words})\.(?!(?:{flat})$)[a-z]{{2}}"
+    suffix = rf"(?:{registry}|[a-z]{{2}}|{generic})$"
+    label_start = r"(?<![^.])"
+    if brand_tld:
+        return rf"{label_start}(?:[^.]+\.)?{suffix}"
+    return rf"{label_start}(?!{registry}$)[^.]+\.{suffix}"
 
 
 def _cut(host: Column, suffix_len: Column, brand_tld: bool) -> Column:
@@ -67,10 +65,9 @@ def registered_domain(url: str | Column, brand_tld: bool = True) -> Column:
     """Registrable domain (suffix plus one label) by the compact rules, lower-case.
 
     Null for null, empty, IP and unparseable input. A host that is itself a suffix gives that
-    suffix with `brand_tld`, else null. A pure expression: it stays in the scan stage.
+    suffix with `brand_tld`, else null. Two regular expressions, evaluated in the scan stage.
     """
-    host = full_host(url)
-    return _cut(host, compact_suffix_length(host), brand_tld)
+    return F.regexp_substr(full_host(url), F.lit(_compact_pattern(brand_tld)))
 
 
 def read_suffix_rules(spark: SparkSession, path: str) -> DataFrame:

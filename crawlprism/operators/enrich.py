@@ -167,7 +167,8 @@ def write_enriched(enriched: DataFrame, path: str) -> dict[str, int]:
         *[F.count(F.when(F.col("relationship_tier") == t, 1)).alias(k) for k, t in tiers.items()],
     )
     (
-        counted.write.mode("overwrite")
+        counted.hint("rebalance", "profile")
+        .write.mode("overwrite")
         .option("compression", "zstd")
         .partitionBy("profile")
         .parquet(path)

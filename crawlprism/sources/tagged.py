@@ -54,16 +54,23 @@ def require_sources(spark: SparkSession, paths: Mapping[str, str]) -> Mapping[st
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ("profile",)) -> int:
-    """ZSTD Parquet with bounded row groups; returns the number of rows written, from one pass."""
+    """ZSTD Parquet with bounded row groups; returns the number of rows written, from one pass.
+
+    Rows are rebalanced to even files first: adaptive execution splits a partition value that holds
+    a large part of the rows and merges small ones.
+    """
+    keys = [c for c in partition_by if c in df.columns]
     seen = Observation()
-    (
-        df.observe(seen, F.count(F.lit(1)).alias("n"))
+    counted = df.observe(seen, F.count(F.lit(1)).alias("n"))
+    writer = (
+        counted.hint("rebalance", *keys)
         .write.mode("overwrite")
         .option("compression", "zstd")
         .option("parquet.block.size", 64 * 1024 * 1024)
-        .partitionBy(*[c for c in partition_by if c in df.columns])
-        .parquet(path)
     )
+    if keys:
+        writer = writer.partitionBy(*keys)
+    writer.parquet(path)
     return seen.get["n"]
 
 
