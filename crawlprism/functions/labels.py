@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from crawlprism.config import (
     AD_NETWORK_PATTERNS,
@@ -65,43 +66,52 @@ def resolve_network(
     )
 
 
-def _under(host: Column, domain: str) -> Column:
-    return (host == domain) | host.endswith("." + domain)
+def domain_pattern(domains: Sequence[str]) -> str:
+    """Matches hosts that are one of the domains or below one; finds the longest domain."""
+    ordered = sorted(domains, key=lambda d: (-len(d), d))
+    return r"(?<![^.])(?:" + "|".join(re.escape(d) for d in ordered) + ")$"
 
 
-def classify_pixel(
-    url: str | Column,
+def with_pixel(
+    df: DataFrame,
+    url: str = "url",
+    out: str = "pixel",
     signatures: Sequence[tuple[str, Sequence[str], Sequence[str]]] = PIXEL_SIGNATURES,
     allow_domain_only: bool = False,
-) -> Column:
-    """struct(pixel_type, matched_domain, pattern) of the first signature that fits, else null.
+) -> DataFrame:
+    """Add struct(pixel_type, matched_domain, pattern) of the first signature that fits, else null.
 
     A signature fits when the host is one of its domains or below one, and one of its path
     patterns occurs in the URL. The longest matching domain is reported. With `allow_domain_only`
     a host match without a path counts too, with a null pattern.
+
+    Hosts outside all domains cost one pattern test. The details are worked out for matches only.
     """
-    url = col(url)
-    host = full_host(url)
-    hit: Column | None = None
-    for name, domains, paths in signatures:
-        domain: Column | None = None
-        for d in sorted(domains, key=lambda x: (-len(x), x)):
-            under = _under(host, d)
-            domain = F.when(under, d) if domain is None else domain.when(under, d)
-        pattern: Column | None = None
-        for p in paths:
-            found = url.rlike(f"(?i){p}")
-            pattern = F.when(found, p) if pattern is None else pattern.when(found, p)
-        fits = any_of([_under(host, d) for d in domains])
+    host, address, found = F.col("_host"), F.col(url), F.col("_signature")
+    label: Column | None = None
+    for i, (_, domains, paths) in enumerate(signatures):
+        fits = host.rlike(domain_pattern(domains))
         if not allow_domain_only:
-            fits = fits & any_of([url.rlike(f"(?i){p}") for p in paths])
-        value = F.struct(
-            F.lit(name).alias("pixel_type"),
-            domain.alias("matched_domain"),
-            pattern.alias("pattern"),
-        )
-        hit = F.when(fits, value) if hit is None else hit.when(fits, value)
-    return F.when(registered_domain(url, brand_tld=False).isNotNull(), hit)
+            fits = fits & address.rlike("(?i)" + "|".join(f"(?:{p})" for p in paths))
+        label = F.when(fits, i + 1) if label is None else label.when(fits, i + 1)
+    every = [d for _, domains, _ in signatures for d in domains]
+    of_signature = lambda values: F.get(F.array(*values), found - 1)
+    names = of_signature([F.lit(n) for n, _, _ in signatures])
+    hosts = of_signature([F.lit(domain_pattern(d)) for _, d, _ in signatures])
+    paths = of_signature([F.array(*[F.lit(p) for p in ps]) for _, _, ps in signatures])
+    confirmed = F.filter(paths, lambda p: F.rlike(address, F.concat(F.lit("(?i)"), p)))
+    hit = F.struct(
+        names.alias("pixel_type"),
+        F.regexp_substr(host, hosts).alias("matched_domain"),
+        F.get(confirmed, F.lit(0)).alias("pattern"),
+    )
+    known = found.isNotNull() & registered_domain(address, brand_tld=False).isNotNull()
+    return (
+        df.withColumn("_host", full_host(url))
+        .withColumn("_signature", F.when(host.rlike(domain_pattern(every)), label))
+        .withColumn(out, F.when(known, hit))
+        .drop("_host", "_signature")
+    )
 
 
 LABEL_TEXT_FIELDS = (

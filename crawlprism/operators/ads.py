@@ -636,7 +636,7 @@ def confidence_network_crosstab(ads: DataFrame, levels: Sequence[str] = ("high",
     return (
         ads.groupBy("advertiser_network")
         .pivot("confidence", list(levels))
-        .agg(F.count("*"))
+        .agg(F.count(F.lit(1)))
         .na.fill(0, subset=list(levels))
     )
 

@@ -22,7 +22,7 @@ from crawlprism.functions.columns import (
     ratio,
     round_to,
 )
-from crawlprism.functions.labels import classify_pixel
+from crawlprism.functions.labels import with_pixel
 from crawlprism.functions.urls import full_host, host_suffixes, registered_domain
 from crawlprism.operators.common import with_share
 
@@ -76,9 +76,8 @@ def pixel_hits(
 
     Requests are classified in the scan stage and only the few hits are shuffled.
     """
-    hit = classify_pixel("url", signatures, allow_domain_only)
     hits = (
-        enriched.withColumn("_hit", hit)
+        with_pixel(enriched, "url", "_hit", signatures, allow_domain_only)
         .where(F.col("_hit").isNotNull())
         .select(
             *by,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from crawlprism.functions.columns import intensity_bucket
-from crawlprism.functions.labels import classify_pixel
+from crawlprism.functions.labels import with_pixel
 from crawlprism.operators import pixels, reports, stats
 from crawlprism.plans.registry import register
 from crawlprism.plans.roles import with_ctes
@@ -18,12 +18,12 @@ _RULES = (("example.com", 1), ("example.net", 2), ("example.org", 3))
 
 register(
     "d35_c7_pixel_hits",
-    lambda t: t.hits,
+    lambda t: t._hits(),
     with_ctes("SELECT * FROM hits", "hits"),
 )
 register(
     "b17_classify_pixel",
-    lambda t: t.pixel_requests.select(classify_pixel("url").alias("p"))
+    lambda t: with_pixel(t.pixel_requests, "url", "p")
     .where(F.col("p").isNotNull())
     .groupBy("p.pixel_type", "p.matched_domain", "p.pattern")
     .agg(F.count("*").alias("n_hits")),
@@ -41,8 +41,8 @@ _PAGE_RULES = (
 )
 register(
     "b17_classify_pages",
-    lambda t: t.table("pages").select(
-        "page_id", classify_pixel("url", _PAGE_RULES, allow_domain_only=False)["pixel_type"].alias("label")
+    lambda t: with_pixel(t.table("pages").select("page_id", "url"), "url", "p", _PAGE_RULES).select(
+        "page_id", F.col("p.pixel_type").alias("label")
     ),
     r"""SELECT page_id, CASE WHEN regexp_matches(h, 'example\.(com|net)$') AND regexp_matches(url, '[?&]page=\d+') THEN 'Paged'
       WHEN regexp_matches(h, 'example\.(com|org)$') AND contains(url, 'utm_source=') THEN 'Campaign'

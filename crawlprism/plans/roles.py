@@ -370,6 +370,9 @@ class Roles:
 
     @cached_property
     def hits(self) -> DataFrame:
+        return self._stored("pixel_hits", self._hits)
+
+    def _hits(self) -> DataFrame:
         from crawlprism.operators.pixels import pixel_hits
 
         return pixel_hits(self.pixel_requests)
