@@ -182,9 +182,11 @@ def annotated_grid(matrix: DataFrame, pvalues: DataFrame, *, study: Study, key:
     """Cells of a share grid as text with the marker of significant differences."""
     cells = matrix.unpivot([key], list(study.profiles), "profile", "value")
     mark = F.when(F.col("sig").isNull() | (F.col("sig") == "ns"), "").otherwise(F.col("sig"))
+    # format_number rounds the binary value, half to even, as printf does.
+    text = F.replace(F.format_number("value", 1), F.lit(","), F.lit(""))
     return (
         cells.join(pvalues.select("profile", key, "sig"), ["profile", key], "left")
-        .select(key, "profile", F.concat(F.format_string("%.1f", "value"), mark).alias("cell"))
+        .select(key, "profile", F.concat(text, mark).alias("cell"))
     )
 
 
