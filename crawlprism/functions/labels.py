@@ -124,48 +124,60 @@ def kind_of(variant: Column) -> Column:
     return F.regexp_extract(F.schema_of_variant(variant), r"^([A-Z]+)", 1)
 
 
-def parse_label(content: str | Column, duration: str | Column | None = None) -> Column:
-    """struct(is_valid_ad, category, …, reason) from a model's JSON answer.
+def with_label_record(
+    df: DataFrame, content: str, out: str = "label", duration: str | None = None
+) -> DataFrame:
+    """Add struct(is_valid_ad, category, …, reason) from a model's JSON answer.
 
     Missing fields take their default. The first object of an array counts; anything else gives
     the fallback record with a reason: no answer, empty content, or unreadable content.
     """
-    content = col(content)
-    answered = (col(duration).isNotNull() & (col(duration) > 0)) if duration is not None else F.lit(True)
-    value = F.try_parse_json(content)
-    kind = kind_of(value)
-    size = F.coalesce(F.json_array_length(F.when(kind == "ARRAY", content)), F.lit(0))
+    value, record, fields = F.col("_value"), F.col("_record"), F.col("_fields")
+    is_array = F.coalesce(kind_of(value) == "ARRAY", F.lit(False))
     first = F.try_variant_get(value, "$[0]", "variant")
-    first_is_object = F.coalesce(kind_of(first) == "OBJECT", F.lit(False))
-    record = F.when(kind == "OBJECT", value).when(first_is_object & (kind == "ARRAY"), first)
-
-    def field(name: str) -> Column:
-        return F.try_variant_get(record, f"$.{name}", "variant")
-
-    def text(name: str) -> Column:
-        return F.coalesce(F.try_variant_get(record, f"$.{name}", "string"), F.lit(LABEL_DEFAULT))
-
-    flag = F.try_variant_get(record, "$.is_valid_ad", "string").try_cast("boolean")
-    bad_text = any_of(
-        [F.coalesce(kind_of(field(n)) != "STRING", F.lit(False)) for n in LABEL_TEXT_FIELDS]
-    )
-    bad_flag = field("is_valid_ad").isNotNull() & flag.isNull()
-    readable = (
-        F.coalesce(kind == "OBJECT", F.lit(False)) & ~bad_text & ~bad_flag
-        | F.coalesce(kind == "ARRAY", F.lit(False)) & (size > 0) & ~(first_is_object & (bad_text | bad_flag))
+    filled = is_array & first.isNotNull()
+    empty = F.parse_json(F.lit("{}"))
+    # An array that starts with something else than an object counts as an empty object.
+    start = F.when(F.coalesce(kind_of(first) == "OBJECT", F.lit(False)), first).otherwise(empty)
+    flag = F.try_variant_get(record, "$.is_valid_ad", "string")
+    text = [
+        F.try_variant_get(record, f"$.{n}", "variant").alias(n) for n in LABEL_TEXT_FIELDS
+    ]
+    bad_text = F.exists(
+        F.array(*[fields[n] for n in LABEL_TEXT_FIELDS]),
+        lambda v: v.isNotNull() & (kind_of(v) != "STRING"),
     )
+    has_flag = F.try_variant_get(record, "$.is_valid_ad", "variant").isNotNull()
+    bad_flag = has_flag & F.col("_flag").isNull()
+    answered = F.lit(True)
+    if duration is not None:
+        answered = F.coalesce(F.col(duration) > 0, F.lit(False))
     failure = (
         F.when(~answered, REASON_EMPTY)
-        .when(content.isNull() | (content == ""), REASON_EMPTY_CONTENT)
-        .when(~readable, REASON_UNREADABLE)
+        .when(F.coalesce(F.col(content), F.lit("")) == "", REASON_EMPTY_CONTENT)
+        .when(record.isNull() | bad_text | bad_flag, REASON_UNREADABLE)
     )
-    good = failure.isNull()
-    return F.struct(
-        F.when(good, F.coalesce(flag, F.lit(False))).otherwise(False).alias("is_valid_ad"),
-        *[
-            F.when(good, text(n)).otherwise(LABEL_DEFAULT).alias(n)
-            for n in LABEL_TEXT_FIELDS
-            if n != "reason"
-        ],
-        F.when(good, text("reason")).otherwise(failure).alias("reason"),
+    good = F.col("_failure").isNull()
+    default = F.lit(LABEL_DEFAULT)
+
+    def field(name: str, fallback: Column = default) -> Column:
+        return F.when(
+            good, F.coalesce(fields[name].cast("string"), default)
+        ).otherwise(fallback)
+
+    return (
+        df.withColumn("_value", F.try_parse_json(content))
+        .withColumn("_record", F.when(kind_of(value) == "OBJECT", value).when(filled, start))
+        .withColumn("_fields", F.struct(*text))
+        .withColumn("_flag", flag.try_cast("boolean"))
+        .withColumn("_failure", failure)
+        .withColumn(
+            out,
+            F.struct(
+                F.coalesce(good & F.col("_flag"), F.lit(False)).alias("is_valid_ad"),
+                *[field(n).alias(n) for n in LABEL_TEXT_FIELDS if n != "reason"],
+                field("reason", F.col("_failure")).alias("reason"),
+            ),
+        )
+        .drop("_value", "_record", "_fields", "_flag", "_failure")
     )

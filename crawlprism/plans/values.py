@@ -9,8 +9,8 @@ from crawlprism.functions import columns as C
 from crawlprism.functions.labels import (
     compatible_labels,
     first_match,
-    parse_label,
     resolve_network,
+    with_label_record,
 )
 from crawlprism.functions.text import clean_text, squeeze
 from crawlprism.functions.urls import (
@@ -130,10 +130,13 @@ _ANSWER = """CASE event_type WHEN 'click' THEN '{"is_valid_ad": true, "category"
       WHEN 'signup' THEN '' ELSE '{"category": 5}' END"""
 register(
     "b41_parse_label",
-    lambda t: t.table("events")
-    .withColumn("props_key", F.get_json_object("props", "$.k"))
-    .select("event_id", parse_label(F.expr(_ANSWER)).alias("r"))
-    .select("event_id", "r.*"),
+    lambda t: with_label_record(
+        t.table("events")
+        .withColumn("props_key", F.get_json_object("props", "$.k"))
+        .select("event_id", F.expr(_ANSWER).alias("answer")),
+        "answer",
+        "r",
+    ).select("event_id", "r.*"),
     """SELECT event_id, event_type = 'click' AS is_valid_ad, CASE WHEN event_type = 'click' THEN k ELSE 'None' END AS category, 'None' AS product,
       CASE WHEN event_type = 'click' THEN 'b'||event_id ELSE 'None' END AS brand, 'None' AS description, 'None' AS content, 'None' AS confidence,
       CASE event_type WHEN 'click' THEN 'None' WHEN 'view' THEN 'r'||k WHEN 'signup' THEN 'Empty response message content' ELSE 'JSON output unreadable' END AS reason

@@ -52,13 +52,13 @@ def label_stream(
     label: Callable[[DataFrame], DataFrame],
     output: str,
     checkpoint: str,
-    key: str = "index",
+    key: Sequence[str] = ("index",),
 ) -> StreamingQuery:
     """Label new files as they arrive. Each micro-batch goes to its own folder, written by
     overwrite, so a batch that is replayed after a failure replaces itself."""
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
-        label(batch.dropDuplicates([key])).write.mode("overwrite").option(
+        label(batch.dropDuplicates(list(key))).write.mode("overwrite").option(
             "compression", "zstd"
         ).parquet(f"{output}/batch={batch_id}")
 
