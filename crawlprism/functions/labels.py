@@ -41,22 +41,24 @@ def compatible_labels(
     return F.coalesce((a == b) | same_family, F.lit(False))
 
 
-def resolve_network(
-    src: str | Column,
-    html: str | Column,
-    captured: str | Column,
+def with_network(
+    df: DataFrame,
+    src: str,
+    html: str,
+    captured: str,
+    out: str = "network",
     rules: Sequence[tuple[str, str]] = AD_NETWORK_PATTERNS,
     families: Mapping[str, str] = NETWORK_FAMILIES,
-) -> Column:
-    """struct(network, source, agrees) from the URL, then the markup, then the captured label."""
-    by_src, by_html, captured = first_match(src, rules), first_match(html, rules), col(captured)
+) -> DataFrame:
+    """Add struct(network, source, agrees) from the URL, then the markup, then the captured label."""
+    by_src, by_html, label = F.col("_by_src"), F.col("_by_html"), F.col(captured)
     matched = F.coalesce(by_src, by_html)
-    has_label = captured.isNotNull() & ~captured.isin("unknown", "none", "")
+    has_label = label.isNotNull() & ~label.isin("unknown", "none", "")
     agrees = F.when(
-        matched.isNotNull(), captured.isNull() | compatible_labels(matched, captured, families)
+        matched.isNotNull(), label.isNull() | compatible_labels(matched, label, families)
     ).otherwise(has_label)
-    return F.struct(
-        F.coalesce(matched, F.when(has_label, captured), F.lit("unknown")).alias("network"),
+    result = F.struct(
+        F.coalesce(matched, F.when(has_label, label), F.lit("unknown")).alias("network"),
         F.when(by_src.isNotNull(), "src_regex")
         .when(by_html.isNotNull(), "outerhtml_regex")
         .when(has_label, "capture_metadata")
@@ -64,6 +66,12 @@ def resolve_network(
         .alias("source"),
         agrees.alias("agrees"),
     )
+    return (
+        df.withColumn("_by_src", first_match(src, rules))
+        .withColumn("_by_html", first_match(html, rules))
+        .withColumn(out, result)
+        .drop("_by_src", "_by_html")
+    )
 
 
 def domain_pattern(domains: Sequence[str]) -> str:

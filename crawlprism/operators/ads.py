@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from crawlprism.config import (
     CATEGORY_KEYWORDS,
+    CONFIDENCE_LEVELS,
     FOLD_Y,
     KEYWORD_CATEGORIES,
     Study,
@@ -187,17 +188,31 @@ def top_brands(
     confidence: str = "confidence",
     min_ads: int = 2,
 ) -> DataFrame:
-    """Brands with their ads, networks and most frequent confidence (ties: the smaller text)."""
-    out = (
+    """Brands with their ads, networks and most frequent confidence (ties: the smaller text).
+
+    The confidence floor leaves at most three levels, so the mode is read off three counters; one
+    row per (brand, network) feeds both the counters and the distinct networks.
+    """
+    levels = sorted(CONFIDENCE_LEVELS.get(min_confidence, CONFIDENCE_LEVELS["high"]))
+    counters = [f"_{x}" for x in levels]
+    by_network = (
         _content(ads, min_confidence, confidence)
         .where(F.col("brand").isNotNull() & (F.trim("brand") != ""))
-        .groupBy("profile", F.trim("brand").alias("brand"))
+        .groupBy("profile", F.trim("brand").alias("brand"), "advertiser_network")
+        .agg(*[count_if(F.col(confidence) == x).alias(f"_{x}") for x in levels])
+    )
+    ranked = F.array_min(
+        F.array(*[F.struct((-F.col(f"_{x}")).alias("n"), F.lit(x).alias("level")) for x in levels])
+    )
+    out = (
+        by_network.groupBy("profile", "brand")
         .agg(
-            F.count("*").alias("n_ads"),
-            F.count_distinct("advertiser_network").alias("n_networks"),
-            F.mode(confidence, True).alias("modal_confidence"),
+            F.count("advertiser_network").alias("n_networks"),
+            *[F.sum(c).alias(c) for c in counters],
         )
+        .withColumn("n_ads", sum((F.col(c) for c in counters), F.lit(0).cast("long")))
         .where(F.col("n_ads") >= min_ads)
+        .select("profile", "brand", "n_ads", "n_networks", ranked["level"].alias("modal_confidence"))
     )
     order = [F.col("n_ads").desc(), F.col("brand")]
     if top_n is not None:

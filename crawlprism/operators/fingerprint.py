@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from crawlprism.config import (
     AUDIO_READ_SYMBOLS,
@@ -103,25 +103,40 @@ def detect_audio(
     return _at_grain(found, keys, grain, ())
 
 
+def _symbol_bit(symbols: Sequence[str]) -> Column:
+    """One bit per listed symbol; null for others. Distinct symbols are then a bitwise OR, which
+    aggregates in place, unlike a collected set."""
+    if len(symbols) > 62:
+        raise ValueError("at most 62 symbols fit into one mask")
+    bit: Column | None = None
+    for i, name in enumerate(symbols):
+        hit, value = F.col("symbol") == name, F.lit(1 << i).cast("long")
+        bit = F.when(hit, value) if bit is None else bit.when(hit, value)
+    return bit
+
+
 def detect_probers(
     scripts: DataFrame,
     min_attributes: int = 5,
     granularity: str = "parent_entity",
     symbols: Sequence[str] = PROBE_SYMBOLS,
 ) -> DataFrame:
-    """Third-party scripts that read many different attributes in one visit. The collected set is
-    bounded by the symbol list."""
+    """Third-party scripts that read many different attributes in one visit."""
     check_choice("granularity", granularity, ENTITY_LEVELS)
     keys = ["profile", "script_url", granularity, "visit_id"]
+    names = sorted(symbols)
+    listed = F.array(
+        *[F.when(F.col("_mask").bitwiseAND(F.lit(1 << i).cast("long")) != 0, n) for i, n in enumerate(names)]
+    )
     return (
-        scripts.where(F.col("symbol").isin(*symbols) & third_party())
+        scripts.where(F.col("symbol").isin(*names) & third_party())
         .groupBy(*keys)
-        .agg(F.collect_set("symbol").alias("_symbols"))
-        .where(F.size("_symbols") >= min_attributes)
+        .agg(F.bit_or(_symbol_bit(names)).alias("_mask"))
+        .where(F.bit_count("_mask") >= min_attributes)
         .select(
             *keys,
-            F.size("_symbols").cast("long").alias("n_attributes_read"),
-            F.array_join(F.array_sort("_symbols"), ", ").alias("attributes_list"),
+            F.bit_count("_mask").cast("long").alias("n_attributes_read"),
+            F.array_join(F.array_compact(listed), ", ").alias("attributes_list"),
             F.lit(1).cast("long").alias("n_visits"),
         )
     )
@@ -149,7 +164,7 @@ def detections(
         .groupBy("profile", "script_url", granularity, "visit_id")
         .agg(
             *[count_if(s.isin(*g)).alias(name) for name, g in groups.items()],
-            F.size(F.collect_set(F.when(s.isin(*PROBE_SYMBOLS), s))).alias("_probes"),
+            F.coalesce(F.bit_count(F.bit_or(_symbol_bit(PROBE_SYMBOLS))), F.lit(0)).alias("_probes"),
         )
     )
     hits = F.array_compact(

@@ -76,7 +76,7 @@ class Roles:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def _stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         """A table of the study, written by the first query that needs it."""
         source = hashlib.sha1(self.folder.encode()).hexdigest()[:12]
         app = self.spark.sparkContext.applicationId
@@ -98,7 +98,7 @@ class Roles:
 
     @cached_property
     def visits(self) -> DataFrame:
-        return self._stored("site_visits", self._visits)
+        return self.stored("site_visits", self._visits)
 
     def _visits(self) -> DataFrame:
         site = F.concat(F.lit("https://"), page_host("o_custkey"), F.lit("/"))
@@ -122,7 +122,7 @@ class Roles:
 
     @cached_property
     def requests(self) -> DataFrame:
-        return self._stored("http_requests", self._requests)
+        return self.stored("http_requests", self._requests)
 
     def _requests(self) -> DataFrame:
         scheme = F.when(
@@ -181,14 +181,14 @@ class Roles:
 
     @cached_property
     def index(self) -> DataFrame:
-        return self._stored("entity_index", self._index)
+        return self.stored("entity_index", self._index)
 
     def _index(self) -> DataFrame:
         return E.entity_index(self.tree)
 
     @cached_property
     def enriched(self) -> DataFrame:
-        return self._stored("http_requests_enriched", self._enriched)
+        return self.stored("http_requests_enriched", self._enriched)
 
     def _enriched(self) -> DataFrame:
         return E.enrich(
@@ -199,7 +199,7 @@ class Roles:
 
     @cached_property
     def cookies(self) -> DataFrame:
-        return self._stored("javascript_cookies", self._cookies)
+        return self.stored("javascript_cookies", self._cookies)
 
     def _cookies(self) -> DataFrame:
         part = self.table("part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_type")
@@ -223,7 +223,7 @@ class Roles:
 
     @cached_property
     def cookies_enriched(self) -> DataFrame:
-        return self._stored("javascript_cookies_enriched", self._cookies_enriched)
+        return self.stored("javascript_cookies_enriched", self._cookies_enriched)
 
     def _cookies_enriched(self) -> DataFrame:
         return E.enrich(self.cookies, self.index, self.visits, domain_column="host")
@@ -232,7 +232,7 @@ class Roles:
 
     @cached_property
     def script_calls(self) -> DataFrame:
-        return self._stored("javascript", self._script_calls)
+        return self.stored("javascript", self._script_calls)
 
     def _script_calls(self) -> DataFrame:
         probes = F.array(*[F.lit(s) for s in PROBE_SYMBOLS])
@@ -258,7 +258,7 @@ class Roles:
 
     @cached_property
     def script_visits(self) -> DataFrame:
-        return self._stored("script_site_visits", self._script_visits)
+        return self.stored("script_site_visits", self._script_visits)
 
     def _script_visits(self) -> DataFrame:
         return self.script_calls.select(
@@ -267,7 +267,7 @@ class Roles:
 
     @cached_property
     def scripts(self) -> DataFrame:
-        return self._stored("javascript_enriched", self._scripts)
+        return self.stored("javascript_enriched", self._scripts)
 
     def _scripts(self) -> DataFrame:
         return E.enrich(
@@ -282,7 +282,7 @@ class Roles:
 
     @cached_property
     def ads(self) -> DataFrame:
-        return self._stored("ads_enriched", self._ads)
+        return self.stored("ads_enriched", self._ads)
 
     def _ads(self) -> DataFrame:
         """Ads with their label record already attached."""
@@ -330,7 +330,7 @@ class Roles:
 
     @cached_property
     def doc_ads(self) -> DataFrame:
-        return self._stored("ads", self._doc_ads)
+        return self.stored("ads", self._doc_ads)
 
     def _doc_ads(self) -> DataFrame:
         """Documents as ads with text."""
@@ -370,7 +370,7 @@ class Roles:
 
     @cached_property
     def hits(self) -> DataFrame:
-        return self._stored("pixel_hits", self._hits)
+        return self.stored("pixel_hits", self._hits)
 
     def _hits(self) -> DataFrame:
         from crawlprism.operators.pixels import pixel_hits

@@ -117,14 +117,18 @@ _META = """'"ad_metadata":{"src":' || CASE WHEN l_tax < 0.03 THEN '"https://ads.
   || ',"tag":"iframe","network":"' || CASE WHEN l_suppkey % 3 = 0 THEN 'google_adsense' WHEN l_suppkey % 3 = 1 THEN 'criteo' ELSE 'unknown' END
   || '","confidence":"high","rect":{"x":' || l_linenumber || ',"y":2.5,"w":' || l_linenumber * 100 || ',"h":' || CAST(l_quantity AS INT) || '}}'"""
 _REC = f"""'{{"visit_id":' || l_orderkey || ',"page_url":"https://p/' || l_partkey || '","timestamp":' || l_suppkey || ',"src":"https://static.criteo.net/b",' || {_META} || '}}'"""
-_JSON = f"""CASE l_linenumber WHEN 1 THEN {_REC} WHEN 2 THEN '[' || {_REC} || ',7,' || {_REC} || ']' WHEN 3 THEN '{{"visit_id": '
-  WHEN 4 THEN '"' || replace({_REC}, '"', concat(chr(92), '"')) || '"' WHEN 5 THEN '{{"record_type":"note","visit_id":1}}' WHEN 6 THEN '42'
-  ELSE '{{"visit_id":' || l_orderkey || ',"outer_html":"<a href=//taboola.com>","network":"taboola","ad_id":"x' || l_partkey || '"}}' END"""
+_JSON = """CASE l_linenumber WHEN 1 THEN rec WHEN 2 THEN '[' || rec || ',7,' || rec || ']' WHEN 3 THEN '{"visit_id": '
+  WHEN 4 THEN '"' || replace(rec, '"', concat(chr(92), '"')) || '"' WHEN 5 THEN '{"record_type":"note","visit_id":1}' WHEN 6 THEN '42'
+  ELSE '{"visit_id":' || l_orderkey || ',"outer_html":"<a href=//taboola.com>","network":"taboola","ad_id":"x' || l_partkey || '"}' END"""
 _PATH = "concat('/data/', profile, '/ads/', CASE WHEN l_returnflag = 'R' AND l_linestatus = 'O' THEN '_visit' ELSE '' END, 'a', l_orderkey, '_', l_linenumber, '_', l_partkey, '_', l_suppkey, '.json')"
 
 
 def _files(t: Roles):
-    return t.lines.select("profile", F.expr(_PATH).alias("path"), F.expr(_JSON).alias("value"))
+    def build():
+        rows = t.lines.withColumn("rec", F.expr(_REC))
+        return rows.select("profile", F.expr(_PATH).alias("path"), F.expr(_JSON).alias("value"))
+
+    return t.stored("ad_files", build)
 
 
 _FILES_SQL = f"files AS (SELECT profile, {_PATH} AS path, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_tax FROM base WHERE NOT (l_returnflag = 'R' AND l_linestatus = 'O'))"

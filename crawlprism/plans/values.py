@@ -9,8 +9,8 @@ from crawlprism.functions import columns as C
 from crawlprism.functions.labels import (
     compatible_labels,
     first_match,
-    resolve_network,
     with_label_record,
+    with_network,
 )
 from crawlprism.functions.text import clean_text, squeeze
 from crawlprism.functions.urls import (
@@ -94,10 +94,9 @@ register(
 _CAPTURED = "CASE page_id % 5 WHEN 0 THEN 'net_com' WHEN 1 THEN 'unknown' WHEN 2 THEN NULL WHEN 3 THEN 'net_net' ELSE '' END"
 register(
     "b15_resolve_network",
-    lambda t: t.table("pages")
-    .withColumn("captured", F.expr(_CAPTURED))
-    .select("page_id", resolve_network("url", "html", "captured", _RULES, _FAMILIES).alias("r"))
-    .select("page_id", "r.*"),
+    lambda t: with_network(
+        t.table("pages").withColumn("captured", F.expr(_CAPTURED)), "url", "html", "captured", "r", _RULES, _FAMILIES
+    ).select("page_id", "r.*"),
     f"""SELECT page_id, coalesce(u, h, CASE WHEN k NOT IN ('unknown','none','') THEN k END, 'unknown') AS network,
       CASE WHEN u IS NOT NULL THEN 'src_regex' WHEN h IS NOT NULL THEN 'outerhtml_regex' WHEN k NOT IN ('unknown','none','') THEN 'capture_metadata' ELSE 'unknown' END AS source,
       CASE WHEN coalesce(u, h) IS NOT NULL THEN k IS NULL OR coalesce(u, h) = k OR (coalesce(u, h) IN ('net_paged','net_com') AND k IN ('net_paged','net_com'))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from crawlprism.functions.columns import is_true
-from crawlprism.functions.labels import kind_of, resolve_network
+from crawlprism.functions.labels import kind_of, with_network
 
 SCHEMA_VERSION = "3.1"
+RECT_FIELDS = {"ad_width": "$.w", "ad_height": "$.h", "ad_x": "$.x", "ad_y": "$.y"}
 
 
 def scan_artifacts(spark: SparkSession, root: str) -> DataFrame:
@@ -86,55 +87,63 @@ def flat_ads(
     `text` (path, ocr_text) gives text already extracted from screenshots, `images` (path) lists the
     screenshots that exist; both are keyed by the JSON path without its extension.
     """
-    rec = F.col("rec")
+    rec, meta = F.col("rec"), F.col("meta")
     opened = (
         records(without_sidecars(files))
         .withColumn("_count", F.size("records"))
         .select("profile", "path", "_count", F.posexplode("records").alias("pos", "rec"))
+        .where(F.coalesce(_get(rec, "$.record_type", "string"), F.lit("ad")) == "ad")
+        .withColumn("meta", _get(rec, "$.ad_metadata"))
+        .withColumn("meta", F.when(kind_of(meta) == "OBJECT", meta))
     )
-    kind = F.coalesce(_get(rec, "$.record_type", "string"), F.lit("ad"))
-    opened = opened.where(kind == "ad")
-    meta = F.when(kind_of(_get(rec, "$.ad_metadata")) == "OBJECT", _get(rec, "$.ad_metadata"))
-    opened = opened.withColumn("meta", meta)
-    meta = F.col("meta")
-
-    def first(*choices: tuple[Column, str]) -> Column:
-        """First truthy value in the fallback chain, as text."""
-        return F.coalesce(
-            *[F.when(_truthy(_get(v, p)), _get(v, p, "string")) for v, p in choices]
-        )
-
-    inner, outer = _get(meta, "$.rect"), _get(rec, "$.rect")
-    rect = F.when(_truthy(inner), inner).when(_truthy(outer), outer)
-    opened = opened.withColumn("rect", F.when(kind_of(rect) == "OBJECT", rect))
-
-    def number(path: str) -> Column:
-        return F.coalesce(_get(F.col("rect"), path, "double"), F.lit(0.0))
-
-    base = opened.select(
+    # Every candidate value is looked up once; fallbacks and defaults then work on plain columns.
+    inner = ("src", "tag", "id", "network", "confidence", "matched_selector", "outerHTML", "outer_html", "rect")
+    outer = ("src", "ad_id", "id", "network", "outerHTML", "outer_html", "rect")
+    looked_up = opened.select(
         "profile",
         "path",
         "pos",
+        "_count",
         F.coalesce(_get(rec, "$.visit_id", "long"), F.lit(-1).cast("long")).alias("visit_id"),
         F.coalesce(_get(rec, "$.page_url", "string"), F.lit("")).alias("page_url"),
-        _stem(F.col("path")).alias("_stem"),
-        "_count",
-        first((meta, "$.src"), (rec, "$.src")).alias("ad_src"),
-        first(
-            (meta, "$.outerHTML"), (meta, "$.outer_html"), (rec, "$.outerHTML"), (rec, "$.outer_html")
-        ).alias("outer_html"),
-        _get(meta, "$.tag", "string").alias("ad_tag"),
-        first((meta, "$.id"), (rec, "$.ad_id"), (rec, "$.id")).alias("ad_id"),
-        number("$.w").alias("ad_width"),
-        number("$.h").alias("ad_height"),
-        number("$.x").alias("ad_x"),
-        number("$.y").alias("ad_y"),
-        F.coalesce(first((meta, "$.network"), (rec, "$.network")), F.lit("unknown")).alias("capture_network"),
-        F.coalesce(_get(meta, "$.confidence", "string"), F.lit("unknown")).alias("confidence"),
-        F.coalesce(_get(meta, "$.matched_selector", "string"), F.lit("")).alias("matched_selector"),
         F.coalesce(_get(rec, "$.timestamp", "double"), F.lit(0.0)).alias("timestamp"),
+        *[_get(meta, f"$.{k}").alias(f"m_{k}") for k in inner],
+        *[_get(rec, f"$.{k}").alias(f"r_{k}") for k in outer],
+    )
+    values = [*(f"m_{k}" for k in inner), *(f"r_{k}" for k in outer)]
+    # A value counts in a fallback chain only when it is truthy; the others become null here.
+    plain = ("m_tag", "m_confidence", "m_matched_selector")
+    truthy = looked_up.withColumns(
+        {c: F.when(_truthy(F.col(c)), F.col(c)) for c in values if c not in plain}
+    )
+    chosen = truthy.withColumn("rect", F.coalesce("m_rect", "r_rect"))
+    rect = F.when(kind_of(F.col("rect")) == "OBJECT", F.col("rect"))
+    measured = chosen.withColumns(
+        {name: F.coalesce(_get(rect, path, "double"), F.lit(0.0)) for name, path in RECT_FIELDS.items()}
+    )
+
+    def first(*choices: str) -> Column:
+        return F.coalesce(*[F.col(c).cast("string") for c in choices])
+
+    base = measured.select(
+        "profile",
+        "path",
+        "pos",
+        "visit_id",
+        "page_url",
+        "_count",
+        "timestamp",
+        *RECT_FIELDS,
+        _stem(F.col("path")).alias("_stem"),
+        first("m_src", "r_src").alias("ad_src"),
+        first("m_outerHTML", "m_outer_html", "r_outerHTML", "r_outer_html").alias("outer_html"),
+        first("m_tag").alias("ad_tag"),
+        first("m_id", "r_ad_id", "r_id").alias("ad_id"),
+        F.coalesce(first("m_network", "r_network"), F.lit("unknown")).alias("capture_network"),
+        F.coalesce(first("m_confidence"), F.lit("unknown")).alias("confidence"),
+        F.coalesce(first("m_matched_selector"), F.lit("")).alias("matched_selector"),
     )
-    base = base.withColumn("_net", resolve_network("ad_src", "outer_html", "capture_network"))
+    base = with_network(base, "ad_src", "outer_html", "capture_network", "_net")
     base = base.withColumn("_key", F.regexp_replace("path", r"\.json$", ""))
     if text is not None:
         base = base.join(text.select(F.col("path").alias("_key"), "ocr_text"), "_key", "left")

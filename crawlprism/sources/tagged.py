@@ -35,14 +35,11 @@ def tagged_union(sources: Mapping[str, DataFrame], tag: str = "profile") -> Data
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    """Whether Spark can list the path, on any file system it is configured for."""
-    try:
-        spark.read.format("binaryFile").load(path).schema
-        return True
-    except Exception as e:  # a missing path is an AnalysisException; others are real errors
-        if "PATH_NOT_FOUND" in str(e):
-            return False
-        raise
+    """Whether a path or glob matches anything, on any file system Spark is configured for."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    location = jvm.org.apache.hadoop.fs.Path(path)
+    found = location.getFileSystem(conf).globStatus(location)
+    return found is not None and len(found) > 0
 
 
 def require_sources(spark: SparkSession, paths: Mapping[str, str]) -> Mapping[str, str]:
