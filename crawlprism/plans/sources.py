@@ -172,7 +172,8 @@ register(
 
 def _audit(t: Roles):
     path = scratch(t, "audit")
-    artifacts.write_disagreements(artifacts.flat_ads(_files(t)), path)
+    ads = t.stored("flat_ads", lambda: artifacts.flat_ads(_files(t)))
+    artifacts.write_disagreements(ads, path)
     return t.spark.read.schema(
         "profile string, visit_id long, ad_hash string, capture_network string, regex_network string, verification_source string"
     ).json(path)

@@ -29,7 +29,7 @@ def scan_artifacts(spark: SparkSession, root: str) -> DataFrame:
 
 
 def without_sidecars(files: DataFrame, path: str = "path") -> DataFrame:
-    """Drop files whose name starts with an underscore."""
+    """Drop files whose name starts with an underscore (Spark's own file listing hides them too)."""
     return files.where(~F.element_at(F.split(path, "/"), -1).startswith("_"))
 
 
