@@ -13,6 +13,13 @@ from crawlprism.functions.columns import any_of, col
 WHITESPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 NOT_WHITESPACE = r"[^\s\x1c-\x1f\x85\p{Z}]"
 
+# A run of non-blanks with a mail-like part is dropped whole. The search starts only where a run
+# starts and looks for the at-sign first, so a long junk run is read once.
+_MAIL_LIKE_RUN = (
+    f"(?<!{NOT_WHITESPACE})(?={NOT_WHITESPACE}*?{NOT_WHITESPACE}@{NOT_WHITESPACE}+?\\.{NOT_WHITESPACE})"
+    f"{NOT_WHITESPACE}+"
+)
+
 
 def squeeze(c: str | Column) -> Column:
     """Collapse whitespace runs to one space and trim."""
@@ -24,14 +31,11 @@ def clean_text(c: str | Column, min_token: int = 3) -> Column:
     text = F.regexp_replace(
         F.coalesce(col(c), F.lit("")), f"https?://{NOT_WHITESPACE}+", " "
     )
-    # A mail-like run is dropped whole. Testing each run keeps the match linear on long junk runs.
-    runs = F.filter(
-        F.split(text, WHITESPACE + "+"), lambda t: ~t.rlike(r"(?s).@.+\..")
-    )
-    letters = F.lower(F.regexp_replace(F.array_join(runs, " "), "[^a-zA-Z]+", " "))
-    return F.array_join(
-        F.filter(F.split(letters, " "), lambda t: F.length(t) >= min_token), " "
-    )
+    text = F.when(text.contains("@"), F.regexp_replace(text, _MAIL_LIKE_RUN, " ")).otherwise(text)
+    letters = F.lower(F.regexp_replace(text, "[^a-zA-Z]+", " "))
+    if min_token > 1:
+        letters = F.regexp_replace(letters, rf"\b[a-z]{{1,{min_token - 1}}}\b", " ")
+    return F.trim(F.regexp_replace(letters, "  +", " "))
 
 
 def tokens(c: str | Column) -> Column:

@@ -284,6 +284,11 @@ register(
 
 
 def _corpus(t):
+    """The corpus with its topic numbers, written once as a fitted model's corpus is."""
+    return t.stored("corpus_with_topics", lambda: _with_topics(t))
+
+
+def _with_topics(t):
     """Documents with a topic number: the label of the vector with their id, else the outlier."""
     vectors = t.table("embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").alias("topic"))
     return t.table("documents").join(vectors, "doc_id", "left").select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from crawlprism.functions.columns import is_true
-from crawlprism.functions.labels import kind_of, with_network
+from crawlprism.functions.labels import json_shape, kind_of, with_network
 
 SCHEMA_VERSION = "3.1"
 RECT_FIELDS = {"ad_width": "$.w", "ad_height": "$.h", "ad_x": "$.x", "ad_y": "$.y"}
@@ -35,7 +35,10 @@ def without_sidecars(files: DataFrame, path: str = "path") -> DataFrame:
 
 def _truthy(v: Column) -> Column:
     """A JSON value that is neither absent, null, false, zero nor empty."""
-    return v.isNotNull() & ~F.to_json(v).isin("null", "false", "0", "0.0", '""', "{}", "[]")
+    text = v.cast("string")
+    # Only these texts can be falsy, and the non-empty ones only when they are not strings.
+    plain = ~text.isin("", "0", "0.0", "false", "{}", "[]")
+    return text.isNotNull() & (plain | ((text != "") & (kind_of(v) == "STRING")))
 
 
 def _get(record: Column, path: str, kind: str = "variant") -> Column:
@@ -48,22 +51,28 @@ def records(files: DataFrame) -> DataFrame:
     A string that holds JSON is decoded once more. An object is one record, an array gives its
     object elements, anything else none; `malformed` marks files that are not JSON at all.
     """
-    outer = F.try_parse_json("value")
-    staged = files.withColumn("_outer", outer).withColumn(
-        "_v",
-        F.when(kind_of(F.col("_outer")) == "STRING", F.try_parse_json(_get(F.col("_outer"), "$", "string")))
-        .otherwise(F.col("_outer")),
+    staged = (
+        files.withColumn("_outer", F.try_parse_json("value"))
+        .withColumn(
+            "_text",
+            F.when(json_shape("value") == "STRING", _get(F.col("_outer"), "$", "string")).otherwise(F.col("value")),
+        )
+        .withColumn(
+            "_v",
+            F.when(json_shape("value") == "STRING", F.try_parse_json("_text")).otherwise(F.col("_outer")),
+        )
     )
-    kind = kind_of(F.col("_v"))
+    kind = json_shape("_text")
     elements = F.filter(
         _get(F.col("_v"), "$", "array<variant>"), lambda e: kind_of(e) == "OBJECT"
     )
     none = F.array().cast("array<variant>")
+    known = F.col("_v").isNotNull()
     return staged.select(
         *files.columns,
-        F.col("_v").isNull().alias("malformed"),
-        F.when(kind == "OBJECT", F.array(F.col("_v")))
-        .when(kind == "ARRAY", F.coalesce(elements, none))
+        (~known).alias("malformed"),
+        F.when(known & (kind == "OBJECT"), F.array(F.col("_v")))
+        .when(known & (kind == "ARRAY"), F.coalesce(elements, none))
         .otherwise(none)
         .alias("records"),
     )
