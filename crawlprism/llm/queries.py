@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from crawlprism.llm import decontaminate, line_dedup, quality
+from crawlprism.llm import decontaminate, line_dedup, packing, pii, quality, token_counts
 from crawlprism.session import ship_package, tune
 
 
@@ -23,6 +23,13 @@ def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminated_pairs(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def _tokenizer() -> str:
+    """The tokenizer file of the registered queries; every worker has it at the same place."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality.judge(table(spark, folder, "documents"))
     return judged.select(
@@ -30,8 +37,22 @@ def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, folder, "documents"), _tokenizer())
+
+
+def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), _tokenizer())
+
+
+def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.digest(pii.find_personal_data(table(spark, folder, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_line_dedup, op3_decontamination, op6_quality_rules)
+    own = (
+        op1_line_dedup, op3_decontamination, op6_quality_rules, op8_token_counts, op9_packing, op10_pii,
+    )
     return {f.__name__: _ready(f) for f in own}
 
 
