@@ -84,11 +84,12 @@ def dedup_lines(docs: DataFrame, *, id_column: str = "doc_id", text_column: str
                 window: int = LINES_PER_WINDOW) -> DataFrame:
     """The documents without later occurrences of windows, with `n_lines` and `n_removed` (long).
 
-    The windows are written once; of them only hashes and positions are shuffled. Texts move once,
-    to meet the cuts of their document, and not at all while the cuts fit a broadcast.
+    The windows are written once; of them only hashes and positions are shuffled. Texts move once, to
+    meet the cuts of their document.
     """
     windows = stored(window_table(docs, id_column=id_column, text_column=text_column, window=window), "windows")
     found = stored(cuts(windows, window), "cuts").select(F.struct("id", "th", "starts", "ends").alias("__cut"))
+    found = found.hint("merge")  # one plan at every size: texts move once, sorted, in partitions that spill
     kept_columns = [c for c in docs.columns if c not in ("n_lines", "n_removed", text_column)]
     joined = docs.select(*kept_columns, F.col(text_column).alias("__text")).join(
         found,
