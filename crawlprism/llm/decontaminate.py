@@ -118,7 +118,7 @@ def contained_items(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id"
         candidates, F.col("id").eqNullSafe(F.col("found.id")) & (F.xxhash64("text") == F.col("found.th")), "left_semi"
     )
     worded = matched.select("id", F.xxhash64("text").alias("th"), words(lower_ascii(F.col("text"))).alias("ws"))
-    seen = worded.select("id", "th", F.inline(F.array_distinct(_by_size(_strings, sizes))))
+    seen = worded.select("id", "th", F.inline(_by_size(lambda k: F.array_distinct(_strings(k)), sizes)))
     full = table.select("k", "item", "q", "need", F.explode("strings").alias("v"))
     shared = seen.join(small(full, shape.item_rows or 0, 200), ["k", "v"])
     return (
