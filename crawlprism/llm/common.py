@@ -112,10 +112,13 @@ def text_slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int
         first = last
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = _SPACE, fold: np.ndarray = _LOWER):
-    """(row of each word, 64-bit hash of each word) for texts laid end to end, in text order."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = _SPACE, fold: np.ndarray = _LOWER,
+                prefixes: tuple[int, ...] = ()):
+    """(row of each word, 64-bit hash of each word) for texts laid end to end, in text order. With
+    `prefixes`, after them the rows and hashes of the words' first bytes, of words longer than that."""
+    nothing = np.empty(0, np.int64), np.empty(0, np.uint64)
     if not len(data):
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+        return nothing
     folded = fold[data]
     word = ~blank[folded]
     begins = np.zeros(len(data) + 1, bool)
@@ -124,10 +127,21 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = _SPAC
     starts[1:] &= ~word[:-1] | begins[1:-1]
     at = np.flatnonzero(starts)
     if not len(at):
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+        return nothing
     lengths = np.diff(np.append(at, len(data)))
     place = np.arange(at[0], len(data)) - np.repeat(at, lengths)
     powers = np.cumprod(np.full(int(lengths.max()), _POWER, np.uint64))
     values = np.where(word, _BYTE_VALUE[folded], np.uint64(0))[at[0] :]
     rows = np.searchsorted(offsets, at, "right") - 1
-    return rows, mix(np.add.reduceat(values * powers[place], at - at[0]))
+    hashes = mix(np.add.reduceat(values * powers[place], at - at[0]))
+    if not prefixes:
+        return rows, hashes
+    sizes = np.add.reduceat(word[at[0] :].astype(np.int64), at - at[0])
+    all_rows, all_hashes = [rows], [hashes]
+    for k in prefixes:
+        long = sizes > k
+        some = at[long]
+        part = sum((_BYTE_VALUE[folded[some + j]] * powers[j] for j in range(k)), np.zeros(len(some), np.uint64))
+        all_rows.append(rows[long])
+        all_hashes.append(mix(part + np.uint64(k)))
+    return np.concatenate(all_rows), np.concatenate(all_hashes)

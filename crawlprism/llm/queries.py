@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from crawlprism.llm import decontaminate, line_dedup, packing, pii, quality, simhash, token_counts
+from crawlprism.llm import decontaminate, line_dedup, packing, pii, quality, simhash, token_counts, toxicity
 from crawlprism.session import ship_package, tune
 
 
@@ -23,6 +23,12 @@ def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminated_pairs(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    machine = toxicity.train(toxicity.training_sample(docs, table(spark, folder, "labels")))
+    return toxicity.score(docs, machine)
+
+
 def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
@@ -55,7 +61,7 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
-        op1_line_dedup, op3_decontamination, op5_simhash, op6_quality_rules, op8_token_counts, op9_packing, op10_pii,
+        op1_line_dedup, op3_decontamination, op4_toxicity, op5_simhash, op6_quality_rules, op8_token_counts, op9_packing, op10_pii,
     )
     return {f.__name__: _ready(f) for f in own}
 
