@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from crawlprism.llm import decontaminate, line_dedup, packing, pii, quality, simhash, token_counts, toxicity
+from crawlprism.llm import decontaminate, line_dedup, lm_scoring, packing, pii, quality, simhash, token_counts, toxicity
 from crawlprism.session import ship_package, tune
 
 
@@ -19,6 +19,10 @@ def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.dedup_lines(docs)
 
 
+def op2_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_scoring.score_texts(table(spark, folder, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminated_pairs(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -61,7 +65,7 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
-        op1_line_dedup, op3_decontamination, op4_toxicity, op5_simhash, op6_quality_rules, op8_token_counts, op9_packing, op10_pii,
+        op1_line_dedup, op2_lm_scoring, op3_decontamination, op4_toxicity, op5_simhash, op6_quality_rules, op8_token_counts, op9_packing, op10_pii,
     )
     return {f.__name__: _ready(f) for f in own}
 
