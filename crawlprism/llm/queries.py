@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from crawlprism.llm import decontaminate, line_dedup, lm_scoring, packing, pii, quality, simhash, token_counts, toxicity
+from crawlprism.llm import decontaminate, line_dedup, lm_scoring, packing, pii, quality, simhash, token_counts, toxicity, warc
 from crawlprism.session import ship_package, tune
 
 
@@ -51,6 +51,10 @@ def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.derivatives(warc.responses(table(spark, folder, "pages"))).withColumnRenamed("id", "page_id")
+
+
 def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, folder, "documents"), _tokenizer())
 
@@ -65,7 +69,8 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
-        op1_line_dedup, op2_lm_scoring, op3_decontamination, op4_toxicity, op5_simhash, op6_quality_rules, op8_token_counts, op9_packing, op10_pii,
+        op1_line_dedup, op2_lm_scoring, op3_decontamination, op4_toxicity, op5_simhash, op6_quality_rules, op7_warc,
+        op8_token_counts, op9_packing, op10_pii,
     )
     return {f.__name__: _ready(f) for f in own}
 
