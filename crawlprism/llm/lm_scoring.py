@@ -38,7 +38,7 @@ LEAST = (1, 2)  # smallest count kept, of single tokens and of pairs
 BITS_PER_ENTRY = 16
 PROBES = 4
 SEGMENT_BITS = 1 << 23
-MASS = 200.0
+MASS = 2000.0
 MOST_MODEL_BYTES = 256 << 20
 FLUSH = 4 << 20
 

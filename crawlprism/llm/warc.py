@@ -92,19 +92,19 @@ def _batch(ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
 # --- pages -----------------------------------------------------------------------------------------------
 
 _HIDDEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|title)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|title)\b[^<>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S
 )
 _BREAKS = re.compile(
     r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|"
-    r"section|table|td|th|tr|ul)\b[^>]*>",
+    r"section|table|td|th|tr|ul)\b[^<>]*>",
     re.I,
 )
-_TAG = re.compile(r"<[/!?a-zA-Z][^>]*>")
+_TAG = re.compile(r"<[/!?a-zA-Z][^<>]*>")  # no tag spans another "<": broken ones cost no rescans
 _SPACES = re.compile(r"[ \t\r\f\v\xa0]+")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.I | re.S)
-_LANGUAGE = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
-_CHARSET = re.compile(r"<meta\b[^>]*?\bcharset\s*=\s*[\"']?([A-Za-z0-9_-]+)", re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_TITLE = re.compile(r"<title\b[^<>]*>(.*?)(?:</title|\Z)", re.I | re.S)
+_LANGUAGE = re.compile(r"<html\b[^<>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
+_CHARSET = re.compile(r"<meta\b[^<>]*?\bcharset\s*=\s*[\"']?([A-Za-z0-9_-]+)", re.I)
+_LINK = re.compile(r"<a\b[^<>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
 def _one_line(text: str) -> str:
@@ -119,9 +119,8 @@ def page_text(page: str) -> str:
 
 def page_fields(page: str) -> list[tuple[str, str]]:
     """The metadata of a page as named fields, in order; outgoing links as they stand, once each."""
-    found = [("title", m) for m in _TITLE.findall(page)[:1]]
-    found += [("languages-declared", m) for m in _LANGUAGE.findall(page)[:1]]
-    found += [("charset-declared", m) for m in _CHARSET.findall(page)[:1]]
+    named = (("title", _TITLE), ("languages-declared", _LANGUAGE), ("charset-declared", _CHARSET))
+    found = [(name, m[1]) for name, pattern in named if (m := pattern.search(page))]
     visible = re.sub(r"<!--.*?(?:-->|\Z)", " ", page, flags=re.S)
     links = dict.fromkeys(_one_line(a or b or c) for a, b, c in _LINK.findall(visible))
     return [(k, _one_line(v)) for k, v in found] + [("link-count", str(len(links)))] + [("outlink", x) for x in links]
