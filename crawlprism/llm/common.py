@@ -18,7 +18,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_BYTES = 64 << 20
 
 #: Text bytes that the array code handles at once; a longer single text is handled alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _local_folder: dict[str, str] = {}
 

@@ -25,7 +25,13 @@ _BLANKS = " \t\n\x0b\x0c\r"
 
 def lines_of(text: Column) -> Column:
     """Lines with a word, each with the blank lines after it (the first also with those before)."""
-    return F.when(text.rlike(WORD), F.split(text, r"\n(?=[^\n]*[^\x20\x09-\x0D])")).otherwise(F.array().cast("array<string>"))
+    parts = F.split(text, r"\n(?=[^\n]*[^\x20\x09-\x0D])")
+    opened = F.concat(F.array(F.concat_ws("\n", parts[0], parts[1])), F.slice(parts, 3, F.size(parts)))
+    return (
+        F.when(~text.rlike(WORD) | text.isNull(), F.array().cast("array<string>"))
+        .when(text.rlike(r"^[\x20\x09\x0B-\x0D]*\n"), opened)
+        .otherwise(parts)
+    )
 
 
 def window_table(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text",

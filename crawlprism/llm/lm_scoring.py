@@ -40,7 +40,7 @@ PROBES = 4
 SEGMENT_BITS = 1 << 23
 MASS = 2000.0
 MOST_MODEL_BYTES = 256 << 20
-FLUSH = 4 << 20
+FLUSH = 2 << 20
 
 _ONE = np.uint64(1)
 END, START = (mix(np.array([x], np.uint64))[0] & ~_ONE for x in (0xE0D, 0x57A87))
@@ -175,7 +175,7 @@ class Model:
         if not len(self.keys):
             return np.zeros(len(keys), np.int64)
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.counts[at], 0).astype(np.int64)
+        return np.where(self.keys[at] == keys, self.counts[at].astype(np.int64), 0)
 
     def score(self, data: np.ndarray, offsets: np.ndarray):
         """n_tokens, n_known, base_score, score per text."""
@@ -288,7 +288,9 @@ def score_texts(docs: DataFrame, *, id_column: str = "doc_id", text_column: str
         single = counts.where(~_is_pair()).select("key", "n").toArrow()
         keys = single.column("key").to_numpy().view(np.uint64)
         order = np.argsort(keys)
-        model = Model(total, distinct, Filter(bits), keys[order], single.column("n").to_numpy()[order])
+        n = single.column("n").to_numpy()[order]
+        n = n.astype(np.min_scalar_type(int(n.max(initial=0))))  # the narrowest type that holds every count
+        model = Model(total, distinct, Filter(bits), keys[order], n)
         scored = _by_broadcast(read, model)
     else:
         scored = _by_join(read, counts, total, distinct)

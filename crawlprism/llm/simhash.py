@@ -81,8 +81,9 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> bytes:
 
 
 def signature(text: bytes, shingle: int, prints: int) -> bytes:
-    """Several fingerprints side by side: the first is `fingerprint`, further ones hash the hashes again."""
-    hashes = _shingle_hashes(text, shingle)
+    """Several fingerprints side by side, of the distinct shingles: a similarity of sets, whatever repeats.
+    Each fingerprint but the first hashes the hashes again."""
+    hashes = np.unique(_shingle_hashes(text, shingle))
     return b"".join(_majority(mix(hashes + np.uint64(i * _AGAIN & _FULL)) if i else hashes) for i in range(prints))
 
 
