@@ -7,8 +7,9 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, functions as F
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, functions as F
 
 from crawlprism.config import NOISE_LABELS, OUTLIER_KEYWORDS, SMOOTHING_PCT, Study
 from crawlprism.functions.columns import count_if, percent, smoothed_lift
@@ -23,16 +24,19 @@ SCORE_SCHEMA = (
 def score_labels(
     df: DataFrame,
     vector: str,
-    labels: Sequence[tuple[str, Sequence[float]]],
+    labels: Sequence[tuple[str, Sequence[float]]] | DataFrame,
     threshold: float = 0.5,
     noise: Sequence[str] = NOISE_LABELS,
     scale: float = 100.0,
 ) -> DataFrame:
     """Zero-shot labels: cosine against each label vector, softmax, best and second best.
 
-    The label matrix is a small parameter sent with the task; rows go through it in Arrow batches
-    as one matrix product, without a shuffle.
+    A label matrix given in Python is a small parameter sent with the task; rows go through it in
+    Arrow batches as one matrix product, without a shuffle. Labels given as a frame (label, vector)
+    become one row of vectors that every task reads as a constant; any number of them counts.
     """
+    if isinstance(labels, DataFrame):
+        return _finished(df, vector, _scores_by_frame(df, vector, labels, scale), threshold, noise)
     if not labels:
         raise ValueError("at least one label is needed")
     names = [n for n, _ in labels]
@@ -59,6 +63,38 @@ def score_labels(
         return out
 
     scored = df.where(F.col(vector).isNotNull()).withColumn("_s", score(vector))
+    return _finished(df, vector, scored, threshold, noise)
+
+
+def _scores_by_frame(df: DataFrame, vector: str, labels: DataFrame, scale: float) -> DataFrame:
+    def dot(a: Column, b: Column) -> Column:
+        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda x, y: x + y)
+
+    own = F.col("vector").cast("array<double>")
+    unit = F.transform(own, lambda x: x / F.sqrt(dot(own, own)))
+    packed = labels.select("label", own.alias("vector")).select("label", unit.alias("v")).agg(
+        F.array_sort(F.collect_list(F.struct("label", "v"))).alias("_labels")
+    )
+    work = df.where(F.col(vector).isNotNull()).withColumn("_x", F.col(vector).cast("array<double>"))
+    work = work.withColumn("_norm", F.sqrt(dot(F.col("_x"), F.col("_x")))).withColumn("_labels", packed.scalar())
+    logits = F.transform(
+        "_labels",
+        lambda e: F.struct((-F.lit(scale) * dot(F.col("_x"), e["v"]) / F.col("_norm")).alias("minus"), e["label"].alias("label")),
+    )
+    work = work.withColumn("_all", F.array_sort(logits)).withColumn("_top", F.try_element_at("_all", F.lit(1))["minus"])
+    weights = F.transform("_all", lambda e: F.exp(F.col("_top") - e["minus"]))
+    work = work.withColumn("_total", F.aggregate(weights, F.lit(0.0), lambda x, y: x + y))
+    picked = []
+    for i, name in ((1, "top"), (2, "second")):
+        e = F.try_element_at("_all", F.lit(i))
+        picked += [
+            e["label"].alias(f"{name}_label"),
+            (F.exp(F.col("_top") - e["minus"]) / F.col("_total")).alias(f"{name}_confidence"),
+        ]
+    return work.withColumn("_s", F.struct(*picked)).drop("_x", "_norm", "_labels", "_all", "_top", "_total")
+
+
+def _finished(df: DataFrame, vector: str, scored: DataFrame, threshold: float, noise: Sequence[str]) -> DataFrame:
     return scored.select(
         *[c for c in df.columns if c != vector],
         "_s.*",
@@ -68,15 +104,9 @@ def score_labels(
 
 
 def label_vectors(df: DataFrame, label: str, vector: str) -> DataFrame:
-    """Mean vector per label: (label, pos, value) averaged by position, gathered in order."""
-    cells = df.select(label, F.posexplode(vector).alias("pos", "x"))
-    return (
-        cells.groupBy(label, "pos")
-        .agg(F.avg("x").alias("x"))
-        .groupBy(label)
-        .agg(F.sort_array(F.collect_list(F.struct("pos", "x"))).alias("_v"))
-        .select(label, F.transform("_v", lambda e: e["x"]).alias("vector"))
-    )
+    """Mean vector per label, added up on the map side."""
+    mean = Summarizer.mean(array_to_vector(F.col(vector).cast("array<double>")))
+    return df.where(F.col(vector).isNotNull()).groupBy(label).agg(vector_to_array(mean).alias("vector"))
 
 
 def label_pipeline(
@@ -176,7 +206,9 @@ def fit_topics(
     """Cluster vectors and add a topic number, largest topic first; clusters smaller than
     `min_topic_size` become the outlier topic -1."""
     work = df.withColumn("features", array_to_vector(F.col(vector).cast("array<double>")))
-    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="_cluster").fit(work)
+    fitted = work.select("features").persist()  # every iteration reads it
+    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="_cluster").fit(fitted)
+    fitted.unpersist()
     if save_path:
         model.write().overwrite().save(save_path)
     assigned = model.transform(work).drop("features")
@@ -189,7 +221,7 @@ def fit_topics(
         F.col("e._cluster").alias("_cluster"),
         F.when(-F.col("e.n") >= min_topic_size, F.col("_pos")).otherwise(-1).alias("topic"),
     )
-    return assigned.join(F.broadcast(numbered), "_cluster").drop("_cluster")
+    return assigned.join(numbered, "_cluster").drop("_cluster")
 
 
 def topic_keywords(

@@ -377,7 +377,13 @@ register(
 
 register(
     "f5_seeded_sample",
-    lambda t: t.ads.select("profile", "visit_id", "ad_hash").distinct().orderBy(F.xxhash64("profile", "visit_id", "ad_hash", F.lit(42))).limit(20),
+    lambda t: t.ads.select("profile", "visit_id", "ad_hash").distinct().orderBy(
+        F.md5(F.concat_ws("|", "profile", "visit_id", "ad_hash", F.lit("42")).cast("binary"))
+    ).limit(20),
+    with_ctes(
+        "SELECT profile, visit_id, ad_hash FROM (SELECT DISTINCT profile, visit_id, ad_hash FROM ads) ORDER BY md5(concat_ws('|', profile, visit_id, ad_hash, '42')) LIMIT 20",
+        "ads",
+    ),
 )
 
 # --- review ----------------------------------------------------------------------------------

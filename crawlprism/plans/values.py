@@ -195,9 +195,9 @@ register(
 
 
 def _labels(t):
-    """Mean vector per label number: the label set, at most a few dozen small vectors."""
-    rows = topics.label_vectors(t.table("embeddings"), "label", "embedding").orderBy("label").limit(1000).collect()
-    return [(f"topic {r['label']}", list(r["vector"])) for r in rows]
+    """Mean vector per label number: the label set, as a frame."""
+    means = topics.label_vectors(t.table("embeddings"), "label", "embedding")
+    return means.select(F.concat(F.lit("topic "), F.col("label").cast("string")).alias("label"), "vector")
 
 
 _SCORES = """centre AS (SELECT label, list(x ORDER BY pos) AS v FROM (SELECT label, pos, avg(x) AS x FROM (
@@ -332,12 +332,30 @@ register(
       '#'||topic||': '||substr(min(keywords), 1, 50) AS label FROM dist WHERE topic <> -1 GROUP BY 1)
     SELECT * FROM g ORDER BY {" + ".join(STUDY.profiles)} DESC, topic LIMIT 6""",
 )
-# No SQL: clustering is iterative.
+
+
+def _fit(t):
+    """What holds for any fit: every vector once, topics in order of size, none below the floor.
+    Where the centres lie is left to the iterations."""
+    fitted = topics.fit_topics(t.table("embeddings").select("vec_id", "embedding"), "embedding", k=10)
+    sizes = fitted.groupBy("topic").agg(F.count("*").alias("n"), F.count_distinct("vec_id").alias("ids"))
+    real = F.col("topic") >= 0
+    listed = F.array_sort(F.collect_list(F.when(real, F.struct("topic", "n"))))
+    return sizes.agg(
+        F.sum("n").alias("n_vectors"),
+        F.sum("ids").alias("n_ids"),
+        F.coalesce(F.min(F.when(real, F.col("n"))) >= 10, F.lit(True)).alias("above_floor"),
+        listed.alias("listed"),
+    ).select(
+        "n_vectors", "n_ids", "above_floor",
+        (F.col("listed.n") == F.sort_array("listed.n", asc=False)).alias("in_order"),
+    )
+
+
 register(
     "j4_topic_fit",
-    lambda t: topics.fit_topics(t.table("embeddings").select("vec_id", "embedding"), "embedding", k=10).groupBy("topic").agg(
-        F.count("*").alias("n_vectors")
-    ),
+    _fit,
+    "SELECT count(*) AS n_vectors, count(DISTINCT vec_id) AS n_ids, true AS above_floor, true AS in_order FROM embeddings",
 )
 register(
     "e8_two_best_labels",

@@ -22,28 +22,40 @@ RUNTIME_CONF = {
 }
 
 
+_tuned: set[str] = set()
+
+
 def tune(spark: SparkSession) -> SparkSession:
-    for key, value in RUNTIME_CONF.items():
-        spark.conf.set(key, value)
+    """Give the session these settings where its owner set none; what was set stays."""
+    app = spark.sparkContext.applicationId
+    if app not in _tuned:
+        chosen = {key for key, _ in spark.sparkContext.getConf().getAll()}
+        for key, value in RUNTIME_CONF.items():
+            if key not in chosen:
+                spark.conf.set(key, value)
+        _tuned.add(app)
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints and intermediate tables.
 
-    A cluster names its shared folder in ``spark.checkpoint.dir``. Only a session without one
-    (tests, local runs) gets a temporary folder.
+    A cluster names its shared folder in ``spark.checkpoint.dir``. Only where it is unset, a session
+    whose tasks are threads of one process gets a temporary folder; the configuration is not changed.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="crawlprism-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _local_folder:
+        _local_folder[app] = tempfile.mkdtemp(prefix="crawlprism-")
+    return _local_folder[app]
 
 
+_local_folder: dict[str, str] = {}
 _shipped: set[str] = set()
 
 
