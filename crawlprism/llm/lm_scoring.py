@@ -127,7 +127,7 @@ class Filter:
         flat, alive = self.bits.ravel(), np.arange(len(keys))
         base = self.segment(keys) * (SEGMENT_BITS // 8)
         level = 0
-        while len(alive):
+        while len(alive) and level < 64:  # no count reaches a 64th level
             level += 1
             held = np.ones(len(alive), bool)
             for at in places(keys[alive], level):
