@@ -21,20 +21,10 @@ from crawlprism.config import (
     THIRD_PARTY_TIERS,
 )
 
-# Frames made from Python values are broadcast up to this many rows; beyond it the join is planned
-# like any other.
-BROADCAST_ROWS = 100_000
-
-
 def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast `df` when it is known to have at most `rows` rows and that is few."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def round_to(c: str | Column, digits: int) -> Column:
     """Round a double half away from zero on its binary value.
 

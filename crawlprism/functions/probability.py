@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F, types as T
 
@@ -41,9 +42,9 @@ def chi2_tail(x: float, dof: float) -> float:
         c = (b + an / c) or tiny
         step = d * c
         f *= step
-        if abs(step - 1) < 1e-16:
-            break
-    return f * scale
+        if abs(step - 1) < 1e-15:
+            return f * scale
+    return math.nan  # no convergence: say so rather than give a rough value
 
 
 def _log_choose(n: float, k: float) -> float:
@@ -94,22 +95,22 @@ def fisher_two_sided(a: int, b: int, c: int, d: int) -> float:
 
 
 def mann_whitney_exact(u: float, n1: int, n2: int) -> float:
-    """Two-sided exact p for tie-free samples, from the number of arrangements with each U."""
-    counts = [1]
+    """Two-sided exact p for tie-free samples, from the number of arrangements with each U.
+
+    Only the tail is built: the coefficients of the Gaussian binomial up to the smaller U, as doubles.
+    """
     m, n = min(n1, n2), max(n1, n2)
-    # Gaussian binomial coefficients: multiply by (1 - q^(n+i)) and divide by (1 - q^i).
+    size = n1 * n2 - math.ceil(max(u, n1 * n2 - u)) + 1
+    counts = np.zeros(max(size, 0))
+    counts[:1] = 1.0
     for i in range(1, m + 1):
-        top = len(counts) + n
-        up = counts + [0] * n
-        for j in range(top - 1, n + i - 1, -1):
-            up[j] -= counts[j - n - i] if j - n - i < len(counts) else 0
-        for j in range(i, top):
-            up[j] += up[j - i]
-        counts = up[: i * n + 1]
-    total = sum(counts)
-    high = max(u, n1 * n2 - u)
-    k = math.ceil(high)
-    return min(1.0, 2 * sum(counts[k:]) / total)
+        # Multiply by (1 - q^(n+i)), divide by (1 - q^i): a running sum in steps of i.
+        if n + i < size:
+            counts[n + i :] -= counts[: size - n - i].copy()
+        padded = np.zeros(-(-size // i) * i)
+        padded[:size] = counts
+        counts = padded.reshape(-1, i).cumsum(axis=0).ravel()[:size]
+    return min(1.0, 2 * float(counts.sum()) / math.comb(m + n, m))
 
 
 @F.pandas_udf(T.DoubleType())

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from crawlprism.functions.columns import bounded_broadcast, col
+from crawlprism.functions.columns import col
 
 # scheme, userinfo, then the host up to port, path, query or fragment.
 _HOST = r"^\s*(?:(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//)?(?:[^/?#]*@)?(\[[^\]]*\]|[^/?#:\s]*)"
@@ -35,15 +35,17 @@ def full_host(url: str | Column) -> Column:
 
 
 def _compact_pattern(brand_tld: bool) -> str:
-    """One label and the longest public suffix by the compact rules: generic names, every
-    two-letter name, and registry words below two-letter names."""
+    """One label and the longest public suffix by the compact rules: registry words below two-letter
+    names, else the last label of a dotted host, listed or not. A host of one label is a suffix only
+    if it is a generic or two-letter name."""
     flat, words, generic = map("|".join, (FLAT_COUNTRIES, REGISTRY_WORDS, GENERIC_TLDS))
     registry = rf"(?:{words})\.(?!(?:{flat})$)[a-z]{{2}}"
-    suffix = rf"(?:{registry}|[a-z]{{2}}|{generic})$"
+    last = r"(?![0-9]+$)[^.\[\]:\s]+"
     label_start = r"(?<![^.])"
+    named = rf"(?!{registry}$)[^.]+\.(?:{registry}|{last})$"
     if brand_tld:
-        return rf"{label_start}(?:[^.]+\.)?{suffix}"
-    return rf"{label_start}(?!{registry}$)[^.]+\.{suffix}"
+        return rf"{label_start}(?:{named}|(?<!\.)(?:{registry}|[a-z]{{2}}|{generic})$)"
+    return rf"{label_start}{named}"
 
 
 def _cut(host: Column, suffix_len: Column, brand_tld: bool) -> Column:
@@ -96,37 +98,29 @@ def with_registered_domain(
     out: str = "domain",
     *,
     rules: DataFrame | None = None,
-    max_labels: int = 5,
-    max_rules: int = 50_000,
     brand_tld: bool = True,
 ) -> DataFrame:
     """Add the registrable domain, by a full rule table when one is given.
 
-    One map-side join per label depth, so rows are neither exploded nor shuffled. The table's size
-    is checked first; a list of more than `max_rules` rules is joined without a broadcast hint.
+    The table is applied to distinct hosts: each opens into its dot suffixes, of any depth, which meet
+    the rules; an exception beats a longer rule beats a shorter one, and a host that no rule names has
+    its last label as suffix. The hosts then join back to the rows. No hints: the measured sizes
+    decide which side, if any, is broadcast. Not for streams; those apply it batch by batch.
     """
     if rules is None:
         return df.withColumn(out, registered_domain(url, brand_tld))
-    n_rules = rules.limit(max_rules + 1).count()
-    best = rules.groupBy("rule", "labels").agg(
-        F.max(F.struct("rank", "suffix_labels")).alias("hit")
-    )
+    best = rules.groupBy("rule").agg(F.max(F.struct("rank", "suffix_labels")).alias("hit"))
     work = df.withColumn("_host", full_host(url))
+    hosts = work.select("_host").where(F.col("_host") != "").distinct()
     n = F.size(F.split(F.col("_host"), r"\."))
-    for k in range(1, max_labels + 1):
-        level = best.where(F.col("labels") == k).select(
-            F.col("rule").alias(f"_rule{k}"), F.col("hit").alias(f"_hit{k}")
-        )
-        if n_rules <= max_rules:
-            level = bounded_broadcast(level, n_rules)
-        key = F.when(n >= k, F.substring_index(F.col("_host"), ".", -k))
-        work = work.withColumn(f"_key{k}", key)
-        work = work.join(level, F.col(f"_key{k}") == F.col(f"_rule{k}"), "left")
-    hits = F.array_compact(F.array(*[F.col(f"_hit{k}") for k in range(1, max_labels + 1)]))
-    fits = F.filter(hits, lambda h: h["suffix_labels"] <= n)
-    suffix_len = F.array_max(fits)["suffix_labels"]
-    return work.select(
-        *[F.col(c) for c in df.columns], _cut(F.col("_host"), suffix_len, brand_tld).alias(out)
+    hits = hosts.select("_host", F.explode(host_suffixes("_host")).alias("rule")).join(best, "rule")
+    longest = hits.where(F.col("hit.suffix_labels") <= n).groupBy("_host").agg(F.max("hit").alias("hit"))
+    ruled = hosts.join(longest, "_host", "left").select(
+        "_host", F.coalesce("hit.suffix_labels", F.lit(1)).alias("_suffix_len")
+    )
+    domains = ruled.select("_host", _cut(F.col("_host"), F.col("_suffix_len"), brand_tld).alias("_domain_of"))
+    return work.join(domains, "_host", "left").select(
+        *[F.col(c) for c in df.columns], F.col("_domain_of").alias(out)
     )
 
 

@@ -2,7 +2,7 @@
 
 Frames derived from data are joined without a broadcast hint: adaptive execution broadcasts them
 when their measured size is small and otherwise keeps a sort-merge join whose skewed partitions it
-splits. Only frames with a row bound known up front (a top-n, a rule table) carry a hint.
+splits.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from crawlprism.config import Study
-from crawlprism.functions.columns import bounded_broadcast, percent, round_to
+from crawlprism.functions.columns import percent, round_to
 
 
 def active(df: DataFrame):
@@ -51,7 +51,7 @@ def top_keys(df: DataFrame, key: str, measure: str, n: int) -> DataFrame:
 def keep_top(df: DataFrame, key: str, measure: str, n: int) -> DataFrame:
     """Rows of the global top-n keys, so every profile shows the same set."""
     top = top_keys(df, key, measure, n).select(key)
-    return df.join(bounded_broadcast(top, n), key, "left_semi")
+    return df.join(top, key, "left_semi")
 
 
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:

@@ -19,7 +19,6 @@ from crawlprism.config import (
     check_choice,
 )
 from crawlprism.functions.columns import (
-    bounded_broadcast,
     count_if,
     percent,
     round_to,
@@ -45,7 +44,7 @@ def api_calls(
         .agg(F.count("*").alias("n_calls"))
     )
     return (
-        counts.join(bounded_broadcast(table, len(pairs)), "symbol")
+        counts.join(table, "symbol")
         .select("profile", "technique", "symbol", "n_calls")
         .orderBy("profile", "technique", F.col("n_calls").desc(), "symbol")
     )
@@ -103,16 +102,23 @@ def detect_audio(
     return _at_grain(found, keys, grain, ())
 
 
-def _symbol_bit(symbols: Sequence[str]) -> Column:
-    """One bit per listed symbol; null for others. Distinct symbols are then a bitwise OR, which
-    aggregates in place, unlike a collected set."""
-    if len(symbols) > 62:
-        raise ValueError("at most 62 symbols fit into one mask")
-    bit: Column | None = None
-    for i, name in enumerate(symbols):
-        hit, value = F.col("symbol") == name, F.lit(1 << i).cast("long")
-        bit = F.when(hit, value) if bit is None else bit.when(hit, value)
-    return bit
+MASK_BITS = 62
+
+
+def _symbol_masks(symbols: Sequence[str]) -> list[Column]:
+    """One bit per listed symbol, as many masks as they need; 0 for other symbols. Distinct symbols
+    are then bitwise ORs, which aggregate in place, unlike a collected set."""
+    masks = []
+    for first in range(0, len(symbols), MASK_BITS):
+        bit = F.when(F.lit(False), F.lit(0).cast("long"))
+        for i, name in enumerate(symbols[first : first + MASK_BITS]):
+            bit = bit.when(F.col("symbol") == name, F.lit(1 << i).cast("long"))
+        masks.append(F.bit_or(bit.otherwise(0)))
+    return masks
+
+
+def _distinct_symbols(masks: Sequence[Column]) -> Column:
+    return sum((F.coalesce(F.bit_count(m), F.lit(0)) for m in masks), F.lit(0))
 
 
 def detect_probers(
@@ -125,17 +131,22 @@ def detect_probers(
     check_choice("granularity", granularity, ENTITY_LEVELS)
     keys = ["profile", "script_url", granularity, "visit_id"]
     names = sorted(symbols)
-    listed = F.array(
-        *[F.when(F.col("_mask").bitwiseAND(F.lit(1 << i).cast("long")) != 0, n) for i, n in enumerate(names)]
-    )
+    masks = _symbol_masks(names)
+    columns = [F.col(f"_mask{i}") for i in range(len(masks))]
+
+    def read(i: int) -> Column:
+        return columns[i // MASK_BITS].bitwiseAND(F.lit(1 << i % MASK_BITS).cast("long")) != 0
+
+    listed = F.array(*[F.when(read(i), n) for i, n in enumerate(names)])
     return (
         scripts.where(F.col("symbol").isin(*names) & third_party())
         .groupBy(*keys)
-        .agg(F.bit_or(_symbol_bit(names)).alias("_mask"))
-        .where(F.bit_count("_mask") >= min_attributes)
+        .agg(*[m.alias(f"_mask{i}") for i, m in enumerate(masks)])
+        .withColumn("_n", _distinct_symbols(columns))
+        .where(F.col("_n") >= min_attributes)
         .select(
             *keys,
-            F.bit_count("_mask").cast("long").alias("n_attributes_read"),
+            F.col("_n").cast("long").alias("n_attributes_read"),
             F.array_join(F.array_compact(listed), ", ").alias("attributes_list"),
             F.lit(1).cast("long").alias("n_visits"),
         )
@@ -164,7 +175,7 @@ def detections(
         .groupBy("profile", "script_url", granularity, "visit_id")
         .agg(
             *[count_if(s.isin(*g)).alias(name) for name, g in groups.items()],
-            F.coalesce(F.bit_count(F.bit_or(_symbol_bit(PROBE_SYMBOLS))), F.lit(0)).alias("_probes"),
+            _distinct_symbols(_symbol_masks(PROBE_SYMBOLS)).alias("_probes"),
         )
     )
     hits = F.array_compact(

@@ -13,7 +13,6 @@ from crawlprism.config import (
     PLATFORM_FLAGS,
 )
 from crawlprism.functions.columns import (
-    bounded_broadcast,
     count_if,
     intensity_bucket,
     is_not_true,
@@ -41,21 +40,22 @@ def check_targets(
     return targets
 
 
-def match_rule_domains(df: DataFrame, url: str, rules: DataFrame, n_rules: int) -> DataFrame:
+def match_rule_domains(df: DataFrame, url: str, rules: DataFrame) -> DataFrame:
     """Rows whose host is a rule's domain or below it, once per rule. Hosts open into their dot
-    suffixes and meet the rule table in a map-side join."""
+    suffixes and meet the rule table."""
     opened = df.withColumn("_suffix", F.explode(host_suffixes(full_host(url))))
     return opened.join(
-        bounded_broadcast(rules, n_rules), F.col("_suffix") == F.col("rule_domain")
+        rules, F.col("_suffix") == F.col("rule_domain")
     ).drop("_suffix")
 
 
 def page_owners(enriched: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """One owner per page URL: that of a request to the page's own domain, else the smallest."""
+    """One owner per page URL: that of a request to the page's own domain, else the smallest. Requests
+    of unknown owner (an empty name) have no say."""
     own = F.coalesce(F.col("domain") == registered_domain("top_level_url"), F.lit(False))
     keys = [*by, "top_level_url"]
     return (
-        enriched.where(F.col("top_level_url").isNotNull() & F.col("parent_entity").isNotNull())
+        enriched.where(F.col("top_level_url").isNotNull() & (F.col("parent_entity") != ""))
         .groupBy(*keys)
         .agg(
             F.coalesce(
@@ -93,7 +93,9 @@ def pixel_hits(
             "is_technical_3p",
         )
     )
-    owners = page_owners(enriched, by).withColumnRenamed(
+    # Owners are worked out for the pages that have hits, not for all pages of the crawl.
+    pages = hits.select(*by, "top_level_url").distinct()
+    owners = page_owners(enriched.join(pages, [*by, "top_level_url"], "left_semi"), by).withColumnRenamed(
         "page_parent_entity", "top_level_parent_entity"
     )
     return hits.join(owners, [*by, "top_level_url"], "left")
@@ -133,7 +135,8 @@ def site_pixels(
     keys = list(by)
     known = hits
     for k in keys:
-        known = known.where(F.col(k).isNotNull())
+        named = F.col(k) != "" if dict(hits.dtypes)[k] == "string" else F.col(k).isNotNull()
+        known = known.where(named)
     small = known.groupBy(*keys, "pixel_type", "request_parent_entity").agg(
         count_if(passes).alias("_n")
     )
@@ -290,7 +293,7 @@ def score_ads(ads: DataFrame, affinity: Mapping[str, Iterable[str]]) -> DataFram
         "profile", F.col("on_target_category").alias("category"), F.lit(True).alias("_hit")
     )
     return (
-        ads.join(bounded_broadcast(wanted, len(pairs)), ["profile", "category"], "left")
+        ads.join(wanted, ["profile", "category"], "left")
         .withColumn("is_on_target", F.coalesce("_hit", F.lit(False)))
         .drop("_hit")
     )

@@ -12,7 +12,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-RANGES = 200
+#: Ranges per shuffle partition: enough for partitions to fill evenly.
+RANGES_PER_PARTITION = 4
 
 
 def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -20,35 +21,65 @@ def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame
 
 
 def with_running_count(
-    counts: DataFrame, value: str, by: Sequence[str] = (), n: str = "n", name: str = "n_before"
+    counts: DataFrame, value: str, by: Sequence[str] = (), n: str = "n", name: str = "n_before", keep_range: bool = False
 ) -> DataFrame:
     """Add the number of rows of the group with a smaller value. `counts` has one row per
-    (group, value)."""
+    (group, value). `keep_range` leaves the range's number in `_range`."""
     by = list(by)
+    ranges = RANGES_PER_PARTITION * int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = counts.agg(
-        F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 10 * RANGES).alias("cuts")
-    )
-    ranged = (
-        counts.withColumn("_cuts", cuts.scalar())
-        .withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value))))
-        .drop("_cuts")
+        F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 10 * ranges).alias("cuts")
     )
+    ranged = _with_range(counts.withColumn("_cuts", cuts.scalar()), value, ranges).drop("_cuts")
     inside = W.partitionBy(*by, "_range").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    # At most RANGES rows per group.
+    # One row per range and group.
     before = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
     offsets = (
         ranged.groupBy(*by, "_range")
-        .agg(F.sum(n).alias("_n"))
-        .withColumn("_offset", F.coalesce(F.sum("_n").over(before), zero))
-        .drop("_n")
+        .agg(F.sum(n).alias("_total_n"))
+        .withColumn("_offset", F.coalesce(F.sum("_total_n").over(before), zero))
+        .drop("_total_n")
     )
-    return (
+    counted = (
         ranged.withColumn("_inside", F.coalesce(F.sum(n).over(inside), zero))
         .join(offsets, [*by, "_range"])
         .withColumn(name, F.col("_offset") + F.col("_inside"))
-        .drop("_offset", "_inside", "_range")
+        .drop("_offset", "_inside")
     )
+    return counted if keep_range else counted.drop("_range")
+
+
+def with_minimum_from_right(ranged: DataFrame, value: str, measure: str, by: Sequence[str], name: str) -> DataFrame:
+    """Add the minimum of `measure` over the group's rows of this or a larger value. `ranged` has one
+    row per (group, value) and its `_range`."""
+    by = list(by)
+    inside = W.partitionBy(*by, "_range").orderBy(F.col(value).desc()).rowsBetween(W.unboundedPreceding, 0)
+    later = W.partitionBy(*by).orderBy(F.col("_range").desc()).rowsBetween(W.unboundedPreceding, -1)
+    beyond = (
+        ranged.groupBy(*by, "_range")
+        .agg(F.min(measure).alias("_least"))
+        .withColumn("_beyond", F.min("_least").over(later))
+        .drop("_least")
+    )
+    return (
+        ranged.withColumn("_inside", F.min(measure).over(inside))
+        .join(beyond, [*by, "_range"])
+        .withColumn(name, F.least("_inside", "_beyond"))
+        .drop("_inside", "_beyond")
+    )
+
+
+def _with_range(df: DataFrame, value: str, most: int) -> DataFrame:
+    """Add `_range`: how many of the sorted `_cuts` lie below the value, by binary search."""
+    df = df.withColumn("_range", F.lit(0))
+    step = 1 << most.bit_length()
+    while step:
+        here = F.col("_range")
+        ahead = F.get("_cuts", here + F.lit(step - 1)) < F.col(value)
+        df = df.withColumn("_range", F.when(ahead, here + F.lit(step)).otherwise(here))
+        step >>= 1
+    return df
 
 
 def mid_rank(n_before: str = "n_before", n: str = "n") -> Column:

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from crawlprism.config import Study
 from crawlprism.functions.columns import (
-    bounded_broadcast,
     condition_label,
     percent,
     ratio,
@@ -103,7 +102,7 @@ def category_by_pixel_grid(distribution: DataFrame, top_n: int = 12) -> DataFram
         .orderBy(F.col("_t").desc(), "category")
         .limit(top_n)
     )
-    return distribution.join(bounded_broadcast(top, top_n), "category", "left_semi").withColumn(
+    return distribution.join(top, "category", "left_semi").withColumn(
         "pixel_label", F.when(F.col("site_has_pixel"), "Pixel present").otherwise("Pixel absent")
     )
 

@@ -23,7 +23,7 @@ from crawlprism.functions.probability import (
 )
 from crawlprism.functions.urls import has_http_scheme, hostname
 from crawlprism.operators.common import with_group_total
-from crawlprism.operators.ranks import mid_rank, with_running_count
+from crawlprism.operators.ranks import mid_rank, with_minimum_from_right, with_running_count
 
 RESULT_COLUMNS = (
     "test_name", "comparison", "statistic", "p_value", "p_value_corrected", "correction_method",
@@ -42,22 +42,48 @@ def correct_pvalues(
     *,
     family: Sequence[str] = (),
     name: str = "p_value_corrected",
-    key: Sequence[str] = (),
+    listed: bool = False,
 ) -> DataFrame:
-    """Correct a family of p-values; null p-values stay null and do not count as tests.
+    """Correct families of p-values, one row per test; null p-values stay null and are no tests.
 
-    One row per test. `key` breaks ties between equal p-values; it does not change the result.
+    Families that grow with the data are handled by distinct p-values in ranges: counts, ranks and the
+    minimum from the right come from range totals, so no family has to fit into one task. A family
+    whose tests are a list given in Python (`listed`: profiles, trackers) is one small window.
     """
     check_choice("correction", method, CORRECTIONS)
-    group = W.partitionBy(*family) if family else W.partitionBy(F.lit(1))
+    by = list(family)
+    if listed:
+        return _correct_listed(df, p, method, by, name)
+    tests = df.where(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count("*").alias("_n"))
+    totals = tests.groupBy(*by).agg(F.sum("_n").alias("_m"))
+
+    def with_m(rows: DataFrame) -> DataFrame:
+        return rows.join(totals, by, "left") if by else rows.withColumn("_m", totals.scalar())
+
+    if method == "bonferroni":
+        return with_m(df).withColumn(name, F.when(F.col(p).isNotNull(), F.least(F.col(p) * F.col("_m"), F.lit(1.0)))).drop("_m")
+    ranked = with_m(with_running_count(tests, p, by, n="_n", name="_before", keep_range=True))
+    # Of equal p-values the last rank gives the smallest value, and all of them take the minimum.
+    scaled = ranked.withColumn("_scaled", F.col(p) * F.col("_m") / (F.col("_before") + F.col("_n")))
+    adjusted = with_minimum_from_right(scaled, p, "_scaled", by, "_adjusted")
+    return (
+        df.join(adjusted.select(*by, p, "_adjusted"), [*by, p], "left")
+        .withColumn(name, F.least("_adjusted", F.lit(1.0)))
+        .select(*df.columns, name)
+    )
+
+
+def _correct_listed(df: DataFrame, p: str, method: str, by: Sequence[str], name: str) -> DataFrame:
+    group = W.partitionBy(*by) if by else W.partitionBy(F.lit(1))
     m = F.count(p).over(group)
     if method == "bonferroni":
         return df.withColumn(name, F.when(F.col(p).isNotNull(), F.least(F.col(p) * m, F.lit(1.0))))
-    ranked = group.orderBy(F.col(p).asc_nulls_last(), *key)
+    ranked = group.orderBy(F.col(p).asc_nulls_last())
     from_right = ranked.rowsBetween(0, W.unboundedFollowing)
+    last_rank = F.max("_rank").over(W.partitionBy(*by, p))
     return (
         df.withColumn("_rank", F.row_number().over(ranked))
-        .withColumn("_scaled", F.col(p) * m / F.col("_rank"))
+        .withColumn("_scaled", F.col(p) * m / last_rank)
         .withColumn(
             name,
             F.when(F.col(p).isNotNull(), F.least(F.min("_scaled").over(from_right), F.lit(1.0))),
@@ -109,16 +135,19 @@ def tested_2x2(tables: DataFrame, yates: bool = True) -> DataFrame:
     Chi-square, or Fisher's exact test as soon as an expected cell is below 5.
     """
     exact = F.coalesce(min_expected() < 5, F.lit(True))
+    # Each tail is computed where it counts: other rows go in as empty tables or as 0.
+    cell = lambda c: F.when(F.col("_exact"), F.col(c)).otherwise(F.lit(0))
     return (
         tables.withColumn("_exact", exact)
-        .withColumn("_chi2", chi2_2x2(yates))
+        .withColumn("_chi2", F.when(F.col("_exact"), F.lit(0.0)).otherwise(chi2_2x2(yates)))
+        .withColumns({f"_{c}": cell(c) for c in "abcd"})
         .withColumn("statistic", F.when(F.col("_exact"), odds_ratio()).otherwise(F.col("_chi2")))
         .withColumn("_one", F.lit(1.0))
         .withColumn("_p_chi", chi2_sf(F.col("_chi2"), F.col("_one")))
-        .withColumn("_p_exact", fisher_p("a", "b", "c", "d"))
+        .withColumn("_p_exact", fisher_p("_a", "_b", "_c", "_d"))
         .withColumn("p_value", F.when(F.col("_exact"), F.col("_p_exact")).otherwise(F.col("_p_chi")))
         .withColumn("test", F.when(F.col("_exact"), "fisher").otherwise("chi2"))
-        .drop("_exact", "_chi2", "_one", "_p_chi", "_p_exact")
+        .drop("_exact", "_chi2", "_one", "_p_chi", "_p_exact", "_a", "_b", "_c", "_d")
     )
 
 
@@ -206,7 +235,7 @@ def presence_tests(
     if correction is None:
         rows = rows.withColumn("p_value_corrected", F.col("p_value"))
     else:
-        rows = correct_pvalues(rows, method=correction, key=("comparison",))
+        rows = correct_pvalues(rows, method=correction, listed=True)
     return (
         rows.withColumn("correction_method", F.lit(correction or "none"))
         .withColumn("reject_null", F.col("p_value_corrected") < alpha)
@@ -383,18 +412,16 @@ def mann_whitney(
     pairs: Sequence[tuple[str, str]],
     name: str,
     value: str = "metric_value",
-    max_exact: int = 4_000_000,
 ) -> DataFrame:
-    """Two-sided U test for every pair. Exact where a sample has at most 8 rows and nothing is tied
-    (as long as the count table stays under `max_exact` cells), else the normal approximation with
-    continuity correction."""
+    """Two-sided U test for every pair. Exact where a sample has at most 8 rows and nothing is tied,
+    else the normal approximation with continuity correction."""
     sums = rank_sums(metrics, pairs, value)
     n1, n2 = _d("n_a"), _d("n_b")
     n = n1 + n2
     usable = (F.col("n_a") > 0) & (F.col("n_b") > 0)
     variance = n1 * n2 / 12 * ((n + 1) - F.try_divide(F.col("tie_term"), n * (n - 1)))
     z = F.try_divide(F.greatest("u_a", "u_b") - n1 * n2 / 2 - 0.5, F.sqrt(variance))
-    small = usable & (F.least("n_a", "n_b") <= 8) & (F.col("tie_term") == 0) & (n1 * n2 <= max_exact)
+    small = usable & (F.least("n_a", "n_b") <= 8) & (F.col("tie_term") == 0)
     keep = F.when(small, F.col("u_a")).otherwise(0.0)
     tested = (
         sums.withColumn("_z", F.coalesce(z, F.lit(0.0)))
@@ -447,7 +474,7 @@ def pairwise_battery(
         .withColumn("ord", F.lit(-1))
     )
     tests = correct_pvalues(
-        mann_whitney(metrics, pairs, name, value), method=correction, key=("ord",)
+        mann_whitney(metrics, pairs, name, value), method=correction, listed=True
     ).withColumn("correction_method", F.lit(correction))
     return (
         omnibus.unionByName(tests)
@@ -587,7 +614,7 @@ def category_fisher(
         "odds_ratio", odds_ratio()
     )
     return (
-        correct_pvalues(tested, method=correction, name="p_adj", key=("category",))
+        correct_pvalues(tested, method=correction, name="p_adj")
         .select(
             "category",
             F.col("a").alias("n_a"),

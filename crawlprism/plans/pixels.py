@@ -55,7 +55,6 @@ register(
         t.table("pages").select("page_id", "url"),
         "url",
         t.spark.createDataFrame(list(_RULES), "rule_domain string, rule_id int"),
-        len(_RULES),
     ),
     """SELECT page_id, url, rule_domain, rule_id FROM pages JOIN (VALUES ('example.com',1),('example.net',2),('example.org',3)) r(rule_domain, rule_id)
       ON ends_with('.'||lower(regexp_extract(url, '://([^/?#:]+)', 1)), '.'||rule_domain)""",

@@ -354,23 +354,44 @@ register(
 
 
 def _stream_labels(t: Roles):
-    out, checkpoint = scratch(t, "label-out"), scratch(t, "label-checkpoint")
-    arrivals = _event_files(t, "label-arrivals")
+    """Documents that arrive twice, in different files, without those assigned elsewhere."""
+    path, out, checkpoint = (scratch(t, n) for n in ("label-arrivals", "label-out", "label-checkpoint"))
+    docs = t.table("documents").select(F.col("doc_id").alias("index"), "n_chars", "lang")
+    for _ in range(2):
+        docs.repartition(2, "index").write.mode("append").parquet(path)
+    arrivals = t.spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(path)
     query = incremental.label_stream(
         arrivals,
-        lambda df: df.groupBy("profile", "symbol").agg(F.count("*").alias("n")),
+        lambda df: df.select("index", (F.col("n_chars") > 500).alias("is_long")),
         out,
         checkpoint,
-        key=("profile", "visit_id", "script_url", "symbol"),
+        assigned=t.table("labels").where("toxic = 1").select(F.col("doc_id").alias("index")),
     )
     query.awaitTermination()
-    return t.spark.read.parquet(out).groupBy("profile").agg(F.count_distinct("symbol").alias("n_symbols"))
+    return t.spark.read.parquet(out).groupBy("index").agg(F.count("*").alias("n_labels"), F.max("is_long").alias("is_long"))
 
 
 register(
     "l1_streamed_labels",
     _stream_labels,
-    with_ctes("SELECT profile, count(DISTINCT symbol) AS n_symbols FROM script_calls GROUP BY 1", "script_calls"),
+    """SELECT doc_id AS "index", 1 AS n_labels, n_chars > 500 AS is_long FROM documents
+    WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)""",
+)
+
+
+def _tier_stream(t: Roles):
+    """The tiers of enriched rows that arrive file by file, counted as they come."""
+    path, out, checkpoint = (scratch(t, n) for n in ("tier-arrivals", "tier-out", "tier-checkpoint"))
+    t.scripts.write.parquet(path)
+    arrivals = t.spark.readStream.schema(t.scripts.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    incremental.tier_count_stream(arrivals, out, checkpoint).awaitTermination()
+    return t.spark.read.parquet(out)
+
+
+register(
+    "l2_tier_counts",
+    _tier_stream,
+    with_ctes("SELECT relationship_tier, count(*) AS n_rows FROM scripts GROUP BY 1", "scripts"),
 )
 
 # --- sampling --------------------------------------------------------------------------------

@@ -269,12 +269,12 @@ def _pseudo_p(t):
 
 register(
     "i2_bonferroni",
-    lambda t: stats.correct_pvalues(_pseudo_p(t), method="bonferroni", key=("s_name",)),
+    lambda t: stats.correct_pvalues(_pseudo_p(t), method="bonferroni"),
     "SELECT s_name, p_value, least(p_value * count(*) OVER (), 1.0) AS p_value_corrected FROM (SELECT s_name, (s_suppkey * 7919) % 1000 / 1000.0::DOUBLE + 0.0005::DOUBLE AS p_value FROM supplier)",
 )
 register(
     "i3_e4_benjamini_hochberg",
-    lambda t: stats.correct_pvalues(_pseudo_p(t), method="benjamini-hochberg", key=("s_name",)),
+    lambda t: stats.correct_pvalues(_pseudo_p(t), method="benjamini-hochberg"),
     """SELECT s_name, p_value, least(min(p_value * m / r) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1.0) AS p_value_corrected
     FROM (SELECT *, row_number() OVER (ORDER BY p_value, s_name) AS r, count(*) OVER () AS m
       FROM (SELECT s_name, (s_suppkey * 7919) % 1000 / 1000.0::DOUBLE + 0.0005::DOUBLE AS p_value FROM supplier))""",

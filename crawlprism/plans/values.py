@@ -19,6 +19,7 @@ from crawlprism.functions.urls import (
     hostname,
     last_two_labels,
     registered_domain,
+    with_registered_domain,
 )
 from crawlprism.operators import reports, topics
 from crawlprism.operators.common import top_per_group
@@ -47,6 +48,25 @@ register(
     ),
     f"SELECT page_id, array_to_string(list_slice(string_split({_HOST}, '.'), -2, -1), '.') AS domain, CAST(NULL AS VARCHAR) AS of_suffix FROM pages",
 )
+# Hosts below wildcard, exception, deep and unlisted names, by page.
+_SUFFIX_RULES = (("com", 1, 1, 1), ("jp", 1, 1, 1), ("kawasaki.jp", 2, 3, 1), ("city.kawasaki.jp", 3, 2, 2), ("a.b.c.d.e.cn", 6, 6, 1), ("cn", 1, 1, 1))
+_TAILS = ("x.y.kawasaki.jp", "x.city.kawasaki.jp", "x.a.b.c.d.e.cn", "x.y.unlisted", "x.e.cn")
+_DOMAINS = ("x.y.kawasaki.jp", "city.kawasaki.jp", "x.a.b.c.d.e.cn", "y.unlisted", "e.cn")
+
+
+def _by_rules(t):
+    tails = F.array(*[F.lit(x) for x in _TAILS])
+    tail = F.element_at(tails, (F.col("page_id") % len(_TAILS) + 1).cast("int"))
+    pages = t.table("pages").select("page_id", F.concat(F.lit("https://"), full_host("url"), F.lit("."), tail, F.lit("/p")).alias("u"))
+    rules = t.spark.createDataFrame(_SUFFIX_RULES, "rule string, labels int, suffix_labels int, rank int")
+    return with_registered_domain(pages, "u", rules=rules).select("page_id", "domain")
+
+
+register(
+    "b1_registered_domain_by_rules",
+    _by_rules,
+    f"SELECT page_id, list_extract({list(_DOMAINS)}, CAST(page_id % {len(_DOMAINS)} + 1 AS INT)) AS domain FROM pages",
+)
 register(
     "b3_full_host",
     lambda t: t.table("pages").select("page_id", full_host("url").alias("host")),

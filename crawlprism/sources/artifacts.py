@@ -166,7 +166,7 @@ def flat_ads(
     else:
         base = base.withColumn("_png", F.lit(None).cast("string"))
     return base.select(
-        F.xxhash64("path").alias("index"),
+        F.xxhash64("path", "pos").alias("index"),
         "profile",
         "visit_id",
         "page_url",
@@ -241,5 +241,6 @@ def resolve_images(ads: DataFrame, images: DataFrame, root: str, path: str = "pn
 
 
 def file_index(files: DataFrame, path: str = "path") -> DataFrame:
-    """A stable key per file, the same on every run and without ordering all files."""
+    """A stable key per file, the same on every run and without ordering all files. Records of a file
+    are told apart by their position as well: see `flat_ads`."""
     return files.withColumn("index", F.xxhash64(path))

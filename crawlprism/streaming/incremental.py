@@ -40,8 +40,11 @@ def resume_labels(
     assigned: DataFrame | None = None,
     key: str = "index",
 ) -> None:
-    """Label what the output does not hold yet and append it. Safe to run again after a failure."""
-    done = spark.read.parquet(output) if path_exists(spark, output) else None
+    """Label what the output does not hold yet and append it. Safe to run again after a failure, also
+    one that left a folder without a committed file: the output is read with the labels' own schema."""
+    done = None
+    if path_exists(spark, output):
+        done = spark.read.schema(label(ads).schema).parquet(output)
     label(pending(ads, done, assigned, key)).write.mode("append").option(
         "compression", "zstd"
     ).parquet(output)
@@ -53,14 +56,25 @@ def label_stream(
     output: str,
     checkpoint: str,
     key: Sequence[str] = ("index",),
+    assigned: DataFrame | None = None,
 ) -> StreamingQuery:
-    """Label new files as they arrive. Each micro-batch goes to its own folder, written by
-    overwrite, so a batch that is replayed after a failure replaces itself."""
+    """Label new files as they arrive, each key once: repeats within a micro-batch, keys that earlier
+    batches labelled and keys assigned elsewhere are left out. The labels must keep the key columns.
+
+    Each micro-batch goes to its own folder, written by overwrite, and is compared with the folders of
+    the others, so a batch that is replayed after a failure replaces itself.
+    """
+    keys = list(key)
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
-        label(batch.dropDuplicates(list(key))).write.mode("overwrite").option(
-            "compression", "zstd"
-        ).parquet(f"{output}/batch={batch_id}")
+        spark, todo = batch.sparkSession, batch.dropDuplicates(keys)
+        if path_exists(spark, output):
+            schema = label(todo).schema.add("batch", "long")
+            done = spark.read.schema(schema).parquet(output).where(F.col("batch") != batch_id)
+            todo = todo.join(done.select(*keys), keys, "left_anti")
+        if assigned is not None:
+            todo = todo.join(assigned.select(*keys), keys, "left_anti")
+        label(todo).write.mode("overwrite").option("compression", "zstd").parquet(f"{output}/batch={batch_id}")
 
     return (
         arrivals.writeStream.foreachBatch(one_batch)
@@ -97,12 +111,11 @@ def enrich_stream(
     )
 
 
-def tier_count_stream(enriched: DataFrame, checkpoint: str, name: str) -> StreamingQuery:
-    """Running rows per tier, kept as state; a handful of keys."""
+def tier_count_stream(enriched: DataFrame, output: str, checkpoint: str) -> StreamingQuery:
+    """Running rows per tier, kept as state (a handful of keys); each batch replaces the written table."""
     return (
         tier_counts(enriched)
-        .writeStream.format("memory")
-        .queryName(name)
+        .writeStream.foreachBatch(lambda counts, _: counts.write.mode("overwrite").parquet(output))
         .option("checkpointLocation", checkpoint)
         .outputMode("complete")
         .trigger(availableNow=True)

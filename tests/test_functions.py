@@ -38,6 +38,10 @@ URLS = {
     "http://[::1]:80/": (None, None),
     "": (None, None),
     "localhost": (None, None),
+    "a.shop.photography": ("shop.photography", "shop.photography"),
+    "news.email": ("news.email", "news.email"),
+    "https://x.y.xn--p1ai/": ("y.xn--p1ai", "y.xn--p1ai"),
+    "10.0.0.1": (None, None),
     "data:image/png;base64,aa": (None, None),
     "co.uk": ("co.uk", None),
     "http://x.y.z.de/?u=http://other.com": ("z.de", "z.de"),
@@ -59,7 +63,7 @@ def test_registered_domain(spark):
 
 def test_registered_domain_by_rule_file(spark, tmp_path):
     rules = tmp_path / "rules.txt"
-    rules.write_text("// comment\n\ncom\nuk\nco.uk\n*.ck\n!www.ck\nck\n")
+    rules.write_text("// comment\n\ncom\nuk\nco.uk\n*.ck\n!www.ck\nck\na.b.c.d.e.uk\n")
     table = read_suffix_rules(spark, str(rules))
     cases = {
         "https://a.b.co.uk/": "b.co.uk",
@@ -67,7 +71,10 @@ def test_registered_domain_by_rule_file(spark, tmp_path):
         "https://x.y.foo.ck": "y.foo.ck",
         "https://a.www.ck": "www.ck",
         "https://foo.ck": "foo.ck",
-        "https://n.unlisted": None,
+        "https://n.unlisted": "n.unlisted",
+        "https://p.a.b.c.d.e.uk": "p.a.b.c.d.e.uk",
+        "https://x.p.a.b.c.d.e.uk": "p.a.b.c.d.e.uk",
+        "https://10.0.0.1/": None,
     }
     df = spark.createDataFrame([(u,) for u in cases], "u string")
     got = {r.u: r.domain for r in with_registered_domain(df, "u", rules=table).collect()}

@@ -87,7 +87,10 @@ def test_corrections(spark):
     ps = [0.01, 0.04, 0.03, 0.005, 0.5, None, 0.03]
     df = spark.createDataFrame(list(enumerate(ps)), "i int, p_value double")
     bon = {r.i: r.p_value_corrected for r in stats.correct_pvalues(df).collect()}
-    bh = {r.i: r.p_value_corrected for r in stats.correct_pvalues(df, method="benjamini-hochberg", key=("i",)).collect()}
+    bh = {r.i: r.p_value_corrected for r in stats.correct_pvalues(df, method="benjamini-hochberg").collect()}
+    for method, got in (("bonferroni", bon), ("benjamini-hochberg", bh)):
+        listed = {r.i: r.p_value_corrected for r in stats.correct_pvalues(df, method=method, listed=True).collect()}
+        assert listed == pytest.approx(got)
     known = [i for i, p in enumerate(ps) if p is not None]
     assert bon[5] is None and bh[5] is None
     for i in known:
