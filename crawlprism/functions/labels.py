@@ -68,7 +68,7 @@ def with_network(
     )
     return (
         df.withColumn("_by_src", first_match(src, rules))
-        .withColumn("_by_html", first_match(html, rules))
+        .withColumn("_by_html", F.when(by_src.isNull(), first_match(html, rules)))
         .withColumn(out, result)
         .drop("_by_src", "_by_html")
     )

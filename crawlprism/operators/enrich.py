@@ -126,9 +126,10 @@ def enrich(
     site = visit_domains(visits, visit_keys)
     if context_column is not None and context_column in df.columns:
         base = with_registered_domain(base, context_column, "_context", rules=suffix_rules)
-        base = base.join(site, list(visit_keys), "left").withColumn(
-            "_top", F.coalesce("_context", "visit_domain")
-        )
+        # Only rows without a page of their own look their visit up; the others are not shuffled for it.
+        own = base.where(F.col("_context").isNotNull()).withColumn("_top", F.col("_context"))
+        other = base.where(F.col("_context").isNull()).join(site, list(visit_keys), "left")
+        base = own.unionByName(other.withColumn("_top", F.col("visit_domain")).drop("visit_domain"))
     else:
         base = base.join(site, list(visit_keys), "left").withColumn("_top", F.col("visit_domain"))
     labelled = with_owner(with_owner(base, index, "_domain", "_r_"), index, "_top", "_t_")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from crawlprism.config import (
     DEFAULT_TARGET_PIXELS,
     INTENSITY_BUCKETS,
+    PERSONA_AFFINITY,
     PIXEL_SIGNATURES,
     PLATFORM_FLAGS,
 )
@@ -285,7 +286,7 @@ def persona_affinity(df: DataFrame, affinity: Mapping[str, Iterable[str]]) -> Da
     return df.sparkSession.createDataFrame(pairs, "profile string, on_target_category string")
 
 
-def score_ads(ads: DataFrame, affinity: Mapping[str, Iterable[str]]) -> DataFrame:
+def score_ads(ads: DataFrame, affinity: Mapping[str, Iterable[str]] = PERSONA_AFFINITY) -> DataFrame:
     """Flag ads whose category the persona is expected to attract."""
     pairs = [(p, c) for p, cats in affinity.items() for c in dict.fromkeys(cats)]
     wanted = persona_affinity(ads, {p: list(dict.fromkeys(c)) for p, c in affinity.items()})

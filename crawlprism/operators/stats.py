@@ -68,7 +68,7 @@ def correct_pvalues(
     adjusted = with_minimum_from_right(scaled, p, "_scaled", by, "_adjusted")
     return (
         df.join(adjusted.select(*by, p, "_adjusted"), [*by, p], "left")
-        .withColumn(name, F.least("_adjusted", F.lit(1.0)))
+        .withColumn(name, F.when(F.col("_adjusted").isNotNull(), F.least("_adjusted", F.lit(1.0))))
         .select(*df.columns, name)
     )
 
@@ -299,9 +299,9 @@ def metric(name: str, **tables: DataFrame) -> DataFrame:
 
 def metric_from_sql(spark, template: str, profiles: Sequence[str]) -> DataFrame:
     """A caller's own metric: SQL over registered views with a `{profiles}` placeholder, giving
-    (profile, visit_id, metric_value)."""
+    (profile, visit_id, metric_value). Other braces, as in patterns, stay as they are."""
     listed = ", ".join("'" + p.replace("'", "''") + "'" for p in profiles)
-    return spark.sql(template.format(profiles=f"({listed})"))
+    return spark.sql(template.replace("{profiles}", f"({listed})"))
 
 
 # --- rank tests ------------------------------------------------------------------------------

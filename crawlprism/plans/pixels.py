@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from crawlprism.config import INTENSITY_BUCKETS
 from crawlprism.functions.columns import intensity_bucket
 from crawlprism.functions.labels import with_pixel
 from crawlprism.operators import pixels, reports, stats
@@ -148,9 +149,12 @@ register(
 )
 _SEEDED = "SELECT profile, site_was_seeded_with_pixel, site_has_pixel, count(*) AS n_ads, count(*) FILTER (is_on_target) AS n_on_target, 100.0 * (count(*) FILTER (is_on_target) / count(*)) AS pct_on_target FROM scored GROUP BY 1, 2, 3"
 register("d46_seeded_impact", lambda t: pixels.seeded_impact(t.scored), with_ctes(_SEEDED, "scored"))
-_INTENSITY = """SELECT profile, CASE WHEN site_tracker_entities <= 1 THEN '1 (Low)' WHEN site_tracker_entities <= 5 THEN '2-5 (Med)' WHEN site_tracker_entities <= 10 THEN '6-10 (High)' ELSE '11+ (Extreme)' END AS intensity_bucket,
-      CASE WHEN site_tracker_entities <= 1 THEN 0 WHEN site_tracker_entities <= 5 THEN 1 WHEN site_tracker_entities <= 10 THEN 2 ELSE 3 END AS bucket_order,
-      count(*) AS n_ads, count(*) FILTER (is_on_target) AS n_on_target, 100.0 * (count(*) FILTER (is_on_target) / count(*)) AS pct_on_target FROM scored GROUP BY 1, 2, 3"""
+_ORDER = "CASE " + " ".join(
+    f"WHEN site_tracker_entities <= {top} THEN {i}" if top is not None else f"ELSE {i}" for i, (top, _) in enumerate(INTENSITY_BUCKETS)
+) + " END"
+_INTENSITY = f"""SELECT profile, list_extract({[label for _, label in INTENSITY_BUCKETS]}, bucket_order + 1) AS intensity_bucket, bucket_order,
+      count(*) AS n_ads, count(*) FILTER (is_on_target) AS n_on_target, 100.0 * (count(*) FILTER (is_on_target) / count(*)) AS pct_on_target
+    FROM (SELECT *, {_ORDER} AS bucket_order FROM scored) GROUP BY ALL"""
 register("d47_intensity_response", lambda t: pixels.intensity_response(t.scored), with_ctes(_INTENSITY, "scored"))
 register(
     "b28_intensity_bucket",

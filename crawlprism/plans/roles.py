@@ -16,9 +16,10 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from crawlprism.config import CANVAS_READ_SYMBOLS, CANVAS_WRITE_SYMBOLS, Study
+from crawlprism.config import CANVAS_READ_SYMBOLS, CANVAS_WRITE_SYMBOLS, PLATFORM_FLAGS, Study
 from crawlprism.operators import enrich as E
 from crawlprism.operators.fingerprint import PROBE_SYMBOLS
+from crawlprism.operators.pixels import AD_CONTEXT_COLUMNS
 from crawlprism.session import shared_dir, ship_package, tune
 from crawlprism.sources.tagged import write_table
 
@@ -397,6 +398,9 @@ class Roles:
 
     @cached_property
     def context(self) -> DataFrame:
+        return self.stored("ads_with_context", self._context)
+
+    def _context(self) -> DataFrame:
         from crawlprism.operators.pixels import ads_with_pixel_context, page_owners
 
         ads = self.ads.withColumn("category", F.trim("category"))
@@ -430,6 +434,25 @@ def case_of(expr: str, table: dict) -> str:
 
 
 # name -> (SQL, names it reads)
+def _context_sql() -> str:
+    """The operator's output columns, one by one: those of the ad, then the site's with their defaults."""
+    of_site = {"site_has_pixel": "has_pixel", "site_pixel_hits": "n_pixel_hits", "site_distinct_pixels": "n_distinct_pixel_types",
+               "site_tracker_entities": "distinct_tracker_entities", "site_pixel_types": "pixel_types"}
+    of_site |= {f"site_{flag}": flag for flag in PLATFORM_FLAGS}
+    missing = {"has_pixel": "false", "pixel_types": "NULL"} | {c: "0" for c in of_site.values() if c.startswith(("n_", "distinct_"))}
+    columns = [
+        "trim(category) AS category" if c == "category" else c for c in AD_CONTEXT_COLUMNS
+    ]
+    columns += [f"coalesce(s.{c}, {missing.get(c, 'false')}) AS {name}" for name, c in of_site.items()]
+    columns += ["z.has_pixel IS NOT NULL AS site_was_seeded_with_pixel", "z.pixel_types AS seeded_pixel_types"]
+    owned = "(SELECT * EXCLUDE (top_level_url) FROM ads LEFT JOIN page_owner ON top_level_url = page_url WHERE is_valid_ad AND category IS NOT NULL AND coalesce(NOT same_company, true)) a"
+    site = "ON (a.profile, page_parent_entity) = ({0}.{1}, {0}.top_level_parent_entity)"
+    return (
+        f"SELECT {', '.join(f'a.{c}' if c in ('profile',) else c for c in columns)} FROM {owned} "
+        f"LEFT JOIN sites s {site.format('s', 'profile')} LEFT JOIN seeded z {site.format('z', 'persona')}"
+    )
+
+
 CTES: dict[str, tuple[str, tuple[str, ...]]] = {
     "profiles": (
         "SELECT unnest([" + _PROFILES + f"]) AS profile, unnest(range({len(STUDY.profiles)})) AS ord",
@@ -580,7 +603,7 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
       relationship_tier, is_technical_3p, owner AS top_level_parent_entity
     FROM enriched e LEFT JOIN (
       SELECT profile, top_level_url, coalesce(min(CASE WHEN domain = replace(replace(top_level_url,'https://www.',''),'/','') THEN parent_entity END), min(parent_entity)) AS owner
-      FROM enriched WHERE top_level_url IS NOT NULL GROUP BY profile, top_level_url) p
+      FROM enriched WHERE top_level_url IS NOT NULL AND parent_entity <> '' GROUP BY profile, top_level_url) p
       ON p.profile = e.profile AND p.top_level_url = e.top_level_url
     WHERE part % 200 IN (0,1,2,3,4,6)""",
         ("enriched",),
@@ -611,25 +634,10 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
     ),
     "page_owner": (
         """SELECT top_level_url, coalesce(min(CASE WHEN domain = replace(replace(top_level_url,'https://www.',''),'/','') THEN parent_entity END), min(parent_entity)) AS page_parent_entity
-    FROM enriched WHERE top_level_url IS NOT NULL AND parent_entity IS NOT NULL GROUP BY top_level_url""",
+    FROM enriched WHERE top_level_url IS NOT NULL AND parent_entity <> '' GROUP BY top_level_url""",
         ("enriched",),
     ),
-    "context": (
-        """SELECT a.profile, a.visit_id, a.page_url, o.page_parent_entity, a.ad_hash, a.advertiser_network,
-      a.capture_network, a.networks_agree, a.confidence, TRIM(a.category) AS category, a.product, a.brand,
-      a.vlm_confidence, a.same_company, coalesce(s.has_pixel, false) AS site_has_pixel,
-      coalesce(s.n_pixel_hits, 0) AS site_pixel_hits, coalesce(s.n_distinct_pixel_types, 0) AS site_distinct_pixels,
-      coalesce(s.distinct_tracker_entities, 0) AS site_tracker_entities, s.pixel_types AS site_pixel_types,
-      coalesce(s.has_meta, false) AS site_has_meta, coalesce(s.has_tiktok, false) AS site_has_tiktok,
-      coalesce(s.has_doubleclick, false) AS site_has_doubleclick, coalesce(s.has_google_ads, false) AS site_has_google_ads,
-      coalesce(s.has_criteo, false) AS site_has_criteo, coalesce(z.has_pixel, false) AS site_was_seeded_with_pixel,
-      z.pixel_types AS seeded_pixel_types
-    FROM ads a LEFT JOIN page_owner o ON a.page_url = o.top_level_url
-    LEFT JOIN sites s ON s.profile = a.profile AND s.top_level_parent_entity = o.page_parent_entity
-    LEFT JOIN seeded z ON z.persona = a.profile AND z.top_level_parent_entity = o.page_parent_entity
-    WHERE a.is_valid_ad = true AND a.category IS NOT NULL AND a.same_company IS NOT TRUE""",
-        ("ads", "page_owner", "sites", "seeded"),
-    ),
+    "context": (_context_sql(), ("ads", "page_owner", "sites", "seeded")),
     "affinity": (
         "SELECT * FROM (VALUES "
         + ", ".join(f"('{p}','{c}')" for p, cats in AFFINITY.items() for c in cats)

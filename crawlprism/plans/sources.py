@@ -6,11 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from crawlprism.operators import enrich, review, topics
+from crawlprism.operators import ads, enrich, review, stats, topics
 from crawlprism.plans.registry import register
 from crawlprism.plans.roles import STUDY, Roles, profile_of, with_ctes
 from crawlprism.session import shared_dir
-from crawlprism.sources import artifacts, catalog, tagged
+from crawlprism.sources import artifacts, catalog, entities, tagged
 from crawlprism.streaming import incremental
 
 
@@ -170,6 +170,99 @@ register(
 )
 
 
+def _with_files(t: Roles):
+    """Flat ads with extracted text and screenshots: every second file has either. Keys are unique."""
+    files = _files(t).select("path", F.regexp_replace("path", r"\.json$", "").alias("key"))
+    half = F.regexp_extract("key", "_([0-9]+)$", 1).cast("long") % 2
+    text = files.where(half == 0).select(F.col("key").alias("path"), F.lit("seen").alias("ocr_text"))
+    images = files.where(half == 1).select(F.concat("key", F.lit(".png")).alias("path"))
+    made = artifacts.flat_ads(_files(t), text, images)
+    return made.groupBy("profile", "has_screenshot", "ocr_text").agg(
+        F.count("*").alias("n_ads"), F.count_distinct("index").alias("n_keys"), F.count_distinct("png_path").alias("n_images")
+    )
+
+
+register(
+    "a14_ads_with_files",
+    _with_files,
+    with_ctes(
+        """SELECT profile, odd = 1 AS has_screenshot, CASE odd WHEN 1 THEN '' ELSE 'seen' END AS ocr_text, count(*) AS n_ads, count(*) AS n_keys,
+      CASE odd WHEN 1 THEN count(DISTINCT path) ELSE 1 END AS n_images
+    FROM (SELECT *, l_suppkey % 2 AS odd FROM files WHERE l_linenumber IN (1, 2, 4, 7)) JOIN (VALUES (0), (1)) k(i) ON i = 0 OR l_linenumber = 2 GROUP BY profile, odd""",
+        "base",
+        extra=_FILES_SQL,
+    ),
+)
+_SOURCE_COUNTS = f"SELECT verification_source, count(*) AS n_ads, count(*) FILTER (networks_agree) AS n_agree FROM ({_FLAT_SQL}) GROUP BY 1"
+register(
+    "d54_verification_sources",
+    lambda t: ads.verification_breakdown(t.stored("flat_ads", lambda: artifacts.flat_ads(_files(t)))),
+    with_ctes(_SOURCE_COUNTS, "base", extra=_FILES_SQL),
+)
+
+
+def _scanned(t: Roles):
+    """Nations as captured records, one JSON file each below their region's folder, scanned back."""
+    root = scratch(t, "scanned")
+    nations = t.table("nation").join(t.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    for region in STUDY.profiles:
+        own = nations.where(F.col("n_regionkey") == STUDY.profiles.index(region))
+        own.select(F.col("n_nationkey").alias("visit_id"), F.col("n_name").alias("page_url")).coalesce(1).write.option(
+            "maxRecordsPerFile", 1
+        ).json(f"{root}/{region}/ads/day")
+    found = artifacts.flat_ads(artifacts.scan_artifacts(t.spark, root))
+    return found.select("profile", "visit_id", "page_url", (F.col("index").isNotNull() & F.col("ad_hash").startswith("part")).alias("keyed"))
+
+
+register(
+    "a10_scanned_artifacts",
+    _scanned,
+    f"SELECT list_extract({list(STUDY.profiles)}, CAST(n_regionkey + 1 AS INT)) AS profile, CAST(n_nationkey AS BIGINT) AS visit_id, n_name AS page_url, true AS keyed FROM nation",
+)
+
+
+def _tree_file(t: Roles):
+    """Suppliers below their nation as a CSV tree, read back into an owner index."""
+    path = scratch(t, "tree")
+    nation, supplier = t.table("nation"), t.table("supplier")
+    top = nation.select(F.concat(F.lit("/"), "n_name").alias("path"), F.col("n_name").alias("subsidiary_entity"), F.col("n_name").alias("parent_entity"))
+    leaf = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
+        F.concat(F.lit("/"), "n_name", F.lit("/s"), F.col("s_suppkey").cast("string"), F.lit(".net")).alias("path"),
+        F.col("s_name").alias("subsidiary_entity"), F.col("n_name").alias("parent_entity"),
+    )
+    more = {"source": F.lit("fixture"), "priority": F.lit(1)}
+    top.unionByName(leaf).withColumns(more).write.option("header", True).csv(path)
+    return entities.load_index(t.spark, path).select("entity_domain", "subsidiary_entity", "parent_entity")
+
+
+register(
+    "a20_entity_tree_file",
+    _tree_file,
+    """SELECT 's'||s_suppkey||'.net' AS entity_domain, s_name AS subsidiary_entity, n_name AS parent_entity FROM supplier JOIN nation ON s_nationkey = n_nationkey
+    UNION ALL SELECT n_name, n_name, n_name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)""",
+)
+
+
+def _own_metric(t: Roles):
+    """A metric as SQL over a view, with a pattern whose braces stay."""
+    t.enriched.createOrReplaceTempView("own_metric_rows")
+    return stats.metric_from_sql(
+        t.spark,
+        "SELECT profile, visit_id, count(*) AS metric_value FROM own_metric_rows WHERE profile IN {profiles} AND url RLIKE '[a-z]{3}' GROUP BY 1, 2",
+        STUDY.profiles[:2],
+    )
+
+
+register(
+    "i8_own_sql_metric",
+    _own_metric,
+    with_ctes(
+        f"SELECT profile, visit_id, count(*) AS metric_value FROM enriched WHERE profile IN {STUDY.profiles[:2]} AND regexp_matches(url, '[a-z]{{3}}') GROUP BY 1, 2",
+        "enriched",
+    ),
+)
+
+
 def _audit(t: Roles):
     path = scratch(t, "audit")
     ads = t.stored("flat_ads", lambda: artifacts.flat_ads(_files(t)))
