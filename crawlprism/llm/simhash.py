@@ -201,8 +201,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) of every node that has a link; the root is the smallest node of its component.
 
     Large-star and small-star steps alternate until nothing changes. Each is a map-side minimum per
-    node and a join on the node, whose skewed partitions adaptive execution splits; neighbours are
-    never gathered. Each step is written to the shared folder.
+    node and a join on the node; the minima are written first, so both sides of the join are shuffled or
+    measured and adaptive execution splits the partitions of a hub. Neighbours are never gathered. Each
+    step is written to the shared folder.
     """
 
     def mark(edges: DataFrame) -> tuple:
@@ -214,10 +215,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     before = mark(edges)
     while before[0]:
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = stored(large, "large_star")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = stored(moved.union(least.select("u", F.col("m").alias("v"))).distinct(), "small_star")
         after = mark(edges)
