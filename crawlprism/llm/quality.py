@@ -1,10 +1,11 @@
 """Quality rules by host: page rules, failure rates per host shrunk by an empirical beta prior.
 
 Every document gets the base measures of its text and a verdict of the page rules. Failures are
-counted per host; the prior Beta(a, b) is fitted to the hosts' rates by moments, and a host is
-rejected while its shrunk rate (a + failures) / (a + b + documents) is above `max_host_rate`: a few
-bad pages of a small host do not condemn it, and a large host is judged by its own rate. A document
-is kept if it passes the page rules and its host is not rejected.
+counted per host; the prior Beta(a, b) is fitted to the hosts' rates by moments, and shrinks a host's
+rate to r = (a + failures) / (a + b + documents). A host is rejected if even the lower bound of that
+rate, r less `BOUND` standard deviations of the posterior, is above `max_host_rate`: a few bad pages of
+a small host do not condemn its good ones, and a large host is judged by its own rate. A document is
+kept if it passes the page rules and its host is not rejected.
 
 Defined cases: a null or empty text has no words and fails. Null hosts are one host. Without
 documents there are no hosts and no rows; with one host, or hosts that all have the same rate, the
@@ -24,6 +25,7 @@ MIN_WORDS = 20
 MAX_REPEATED_PERCENT = 30
 MAX_HOST_RATE = 0.5
 STRONGEST_PRIOR = 1000.0
+BOUND = 1.645
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -102,9 +104,10 @@ def host_verdicts(measured: DataFrame, *, host_column: str = "source", max_host_
     ).first()
     mean, weight = beta_prior(moments.docs, moments.hosts, moments.mean, moments.square, strongest_prior)
     shrunk = (F.lit(mean) * F.lit(weight) + F.col("n_failed")) / (F.lit(weight) + F.col("n_docs"))
-    return hosts.select(
-        "host", "n_docs", "n_failed", shrunk.alias("host_rate"), (shrunk > max_host_rate).alias("host_rejected")
-    )
+    rated = hosts.select("host", "n_docs", "n_failed", shrunk.alias("host_rate"))
+    rate, total = F.col("host_rate"), F.lit(weight) + F.col("n_docs")
+    low = rate - BOUND * F.sqrt(rate * (1 - rate) / (total + 1))
+    return rated.withColumn("host_rejected", low > max_host_rate)
 
 
 def beta_prior(docs: int | None, hosts: int, mean: float | None, square: float | None, strongest: float):

@@ -88,7 +88,8 @@ WITH docs AS (
   SELECT m, CASE WHEN (sq - m * m - m * (1 - m) * hosts / docs) * 1000 <= m * (1 - m) THEN 1000.0
                  ELSE greatest(m * (1 - m) / (sq - m * m - m * (1 - m) * hosts / docs) - 1, 1.0) END AS w FROM moments
 ), verdicts AS (
-  SELECT source, (m * w + f) / (w + n) > 0.5 AS bad FROM hosts, prior
+  SELECT source, r - 1.645::DOUBLE * sqrt(r * (1 - r) / (w + n + 1)) > 0.5 AS bad
+  FROM (SELECT source, n, w, (m * w + f) / (w + n) AS r FROM hosts, prior)
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT bad AS kept
 FROM failed JOIN verdicts ON failed.source IS NOT DISTINCT FROM verdicts.source

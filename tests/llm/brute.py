@@ -157,3 +157,16 @@ def personal_data(text: str | None) -> list[tuple[str, int, int]]:
                 continue
             found.append((m.start(), i, m.end()))
     return [(PII[i][0], a, b) for a, i, b in sorted(found)]
+
+
+def first_fit(lengths: list[int], capacity: int = 2048) -> int:
+    """Sequences that first fit needs, longest first."""
+    room: list[int] = []
+    for n in sorted(lengths, reverse=True):
+        for i, left in enumerate(room):
+            if left >= n:
+                room[i] -= n
+                break
+        else:
+            room.append(capacity - n)
+    return len(room)
