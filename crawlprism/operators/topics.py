@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -11,7 +11,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
-from crawlprism.config import NOISE_LABELS, OUTLIER_KEYWORDS, SMOOTHING_PCT, Study
+from crawlprism.config import LABEL_SETS, NOISE_LABELS, OUTLIER_KEYWORDS, SMOOTHING_PCT, Study, check_choice
 from crawlprism.functions.columns import count_if, percent, smoothed_lift
 from crawlprism.functions.text import clean_text, tokens
 from crawlprism.operators.common import top_per_group, with_share
@@ -21,6 +21,11 @@ SCORE_SCHEMA = (
 )
 
 
+def label_set(name: str, sets: Mapping[str, Sequence[str]] = LABEL_SETS) -> tuple[str, ...]:
+    """The label texts of a persona; an unknown name is an error, not an empty set."""
+    return tuple(sets[check_choice("label set", name, tuple(sets))])
+
+
 def score_labels(
     df: DataFrame,
     vector: str,

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crawlprism.config import Study
-from crawlprism.operators import ads, cookies, enrich, fingerprint, pixels, prevalence, review
+from crawlprism.operators import ads, cookies, enrich, fingerprint, pixels, prevalence, review, topics
 
 STUDY = Study(profiles=("a", "b", "c"))
 ENRICHED = (
@@ -37,6 +37,35 @@ def test_guards(spark):
     assert STUDY.resolve_pair() == ("b", "a") and STUDY.others("b") == ("a", "c")
 
 
+def test_unknown_owner_does_not_own_a_page(spark):
+    df = requests(spark, [("a", 1, "x.com", "", "unknown"), ("a", 1, "y.com", "G", EXT)])
+    assert [r.page_parent_entity for r in pixels.page_owners(df).collect()] == ["G"]
+    only = requests(spark, [("a", 1, "x.com", "", "unknown")])
+    assert pixels.page_owners(only).collect() == []
+
+
+def test_any_number_of_labels(spark):
+    n = 1001
+    labels = spark.createDataFrame([(f"l{i:04d}", [float(i == k) for k in range(4)] + [float(i)]) for i in range(n)], "label string, vector array<double>")
+    rows = spark.createDataFrame([(1, [0.0, 0.0, 0.0, 0.0, 1.0]), (2, [0.0, 1.0, 0.0, 0.0, 0.0]), (3, None)], "id int, x array<double>")
+    got = {r.id: r for r in topics.score_labels(rows, "x", labels).collect()}
+    listed = {r.id: r for r in topics.score_labels(rows, "x", [(r.label, r.vector) for r in labels.where("label <> 'l0000'").collect()]).collect()}
+    assert got.keys() == {1, 2} and got[2].top_label == "l0001"
+    assert got[2].second_label == listed[2].second_label
+    assert got[2].top_confidence == pytest.approx(listed[2].top_confidence)
+    with pytest.raises(ValueError):
+        topics.label_set("nobody")
+
+
+def test_more_symbols_than_one_mask_holds(spark):
+    names = [f"s{i}" for i in range(100)]
+    rows = [("a", f"https://x.com/{k}", "o", 1, s, EXT, 1.0) for k, some in enumerate((names, names[60:63], names[:4])) for s in some]
+    df = spark.createDataFrame(rows, "profile string, script_url string, parent_entity string, visit_id long, symbol string, relationship_tier string, is_technical_3p double")
+    got = {r.script_url[-1]: r for r in fingerprint.detect_probers(df, 3, symbols=names).collect()}
+    assert {k: r.n_attributes_read for k, r in got.items()} == {"0": 100, "1": 3, "2": 4}
+    assert got["1"].attributes_list == "s60, s61, s62"
+
+
 def test_empty_inputs_keep_their_schema(spark):
     df = requests(spark, [])
     assert prevalence.prevalence_by_profile(df).columns[:2] == ["profile", "n_visits"]

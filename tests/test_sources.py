@@ -110,6 +110,41 @@ def test_label_stream_resumes_from_its_checkpoint(spark, tmp_path):
     assert run() == list(range(8))
 
 
+def test_stream_labels_each_key_once(spark, tmp_path):
+    """The same keys in two files, in two runs, and keys that are assigned elsewhere."""
+    source, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    rows = spark.range(5).withColumnRenamed("id", "index").coalesce(1)
+    assigned = spark.createDataFrame([(3,)], "index long")
+
+    def run():
+        stream = spark.readStream.schema("index long").option("maxFilesPerTrigger", 1).parquet(source)
+        label = lambda df: df.withColumn("label", F.lit("x"))
+        incremental.label_stream(stream, label, out, check, assigned=assigned).awaitTermination()
+        return sorted(r["index"] for r in spark.read.parquet(out).collect())
+
+    for _ in range(2):
+        rows.write.mode("append").parquet(source)
+    assert run() == [0, 1, 2, 4]
+    rows.write.mode("append").parquet(source)
+    assert run() == [0, 1, 2, 4]
+
+
+def test_resume_after_a_first_run_that_left_no_file(spark, tmp_path):
+    out = tmp_path / "labels"
+    (out / "_temporary" / "0").mkdir(parents=True)
+    ads = spark.range(3).withColumnRenamed("id", "index")
+    for _ in range(2):
+        incremental.resume_labels(spark, ads, lambda df: df.withColumn("label", F.lit("x")), str(out))
+    assert sorted(r["index"] for r in spark.read.parquet(str(out)).collect()) == [0, 1, 2]
+
+
+def test_records_of_one_file_have_keys_of_their_own(spark):
+    rec = '{"visit_id":1,"src":"https://x.com/"}'
+    files = spark.createDataFrame([("a", "/d/a/ads/m.json", f"[{rec},{rec}]"), ("a", "/d/a/ads/n.json", rec)], "profile string, path string, value string")
+    got = artifacts.flat_ads(files).select("index", "ad_hash").collect()
+    assert len({r["index"] for r in got}) == 3 and {r.ad_hash for r in got} == {"m_0", "m_1", "n"}
+
+
 def test_pending(spark):
     ads = spark.createDataFrame([(i, f"h{i}") for i in range(6)], "index long, ad_hash string")
     done = spark.createDataFrame([(0,), (2,)], "index long")
