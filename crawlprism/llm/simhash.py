@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from crawlprism.llm.common import mix, small, stored
+from crawlprism.llm.common import mix, stored
 
 SHINGLE = 3
 MAX_BITS = 3
