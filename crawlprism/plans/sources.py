@@ -174,8 +174,8 @@ def _with_files(t: Roles):
     """Flat ads with extracted text and screenshots: every second file has either. Keys are unique."""
     files = _files(t).select("path", F.regexp_replace("path", r"\.json$", "").alias("key"))
     half = F.regexp_extract("key", "_([0-9]+)$", 1).cast("long") % 2
-    text = files.where(half == 0).select(F.col("key").alias("path"), F.lit("seen").alias("ocr_text"))
-    images = files.where(half == 1).select(F.concat("key", F.lit(".png")).alias("path"))
+    text = files.where(half == 0).select(F.col("key").alias("path"), F.lit("seen").alias("ocr_text")).distinct()
+    images = files.where(half == 1).select(F.concat("key", F.lit(".png")).alias("path")).distinct()
     made = artifacts.flat_ads(_files(t), text, images)
     return made.groupBy("profile", "has_screenshot", "ocr_text").agg(
         F.count("*").alias("n_ads"), F.count_distinct("index").alias("n_keys"), F.count_distinct("png_path").alias("n_images")
@@ -186,7 +186,7 @@ register(
     "a14_ads_with_files",
     _with_files,
     with_ctes(
-        """SELECT profile, odd = 1 AS has_screenshot, CASE odd WHEN 1 THEN '' ELSE 'seen' END AS ocr_text, count(*) AS n_ads, count(*) AS n_keys,
+        """SELECT profile, odd = 1 AS has_screenshot, CASE odd WHEN 1 THEN '' ELSE 'seen' END AS ocr_text, count(*) AS n_ads, count(DISTINCT path||'#'||i) AS n_keys,
       CASE odd WHEN 1 THEN count(DISTINCT path) ELSE 1 END AS n_images
     FROM (SELECT *, l_suppkey % 2 AS odd FROM files WHERE l_linenumber IN (1, 2, 4, 7)) JOIN (VALUES (0), (1)) k(i) ON i = 0 OR l_linenumber = 2 GROUP BY profile, odd""",
         "base",

@@ -310,7 +310,7 @@ def _brand_counts(t):
 
 def _pvalues(source: str, baseline: str) -> str:
     return f"""SELECT profile, category, a AS n_persona, c AS n_control, 100.0 * a / (a + b) AS pct_persona, 100.0 * c / (c + d) AS pct_control,
-      round(p, 6) AS p_raw, round(least(p * count(p) OVER (), 1.0), 4) AS p_adj, test_used,
+      round(p, 6) AS p_raw, CASE WHEN p IS NOT NULL THEN round(least(p * count(p) OVER (), 1.0), 4) END AS p_adj, test_used,
       CASE WHEN p IS NULL THEN '' WHEN least(p * count(p) OVER (), 1.0) < 0.001 THEN '***' WHEN least(p * count(p) OVER (), 1.0) < 0.01 THEN '**' WHEN least(p * count(p) OVER (), 1.0) < 0.05 THEN '*' ELSE 'ns' END AS sig FROM (
       SELECT *, CASE test_used WHEN 'skipped' THEN NULL WHEN 'fisher' THEN {fisher('a', 'b', 'c', 'd')} ELSE {ERFC.format(x='sqrt(x / 2)')} END AS p FROM (
         SELECT *, CASE WHEN a + c = 0 THEN 'skipped' WHEN {expected_below_5('a', 'b', 'c', 'd')} THEN 'fisher' ELSE 'chi2' END AS test_used, {CHI2.format(a='a', b='b', c='c', d='d')} AS x FROM (
