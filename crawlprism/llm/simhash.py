@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from crawlprism.llm.common import mix, stored
+from crawlprism.llm.common import mix, small, stored
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -80,13 +80,6 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> bytes:
     return _majority(_shingle_hashes(text, shingle))
 
 
-def signature(text: bytes, shingle: int, prints: int) -> bytes:
-    """Several fingerprints side by side, of the distinct shingles: a similarity of sets, whatever repeats.
-    Each fingerprint but the first hashes the hashes again."""
-    hashes = np.unique(_shingle_hashes(text, shingle))
-    return b"".join(_majority(mix(hashes + np.uint64(i * _AGAIN & _FULL)) if i else hashes) for i in range(prints))
-
-
 def fingerprints(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text",
                  shingle: int = SHINGLE) -> DataFrame:
     """id, th (hash of the text) and fp (the fingerprint as a long) of every document."""
@@ -254,124 +247,313 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
 
 STAGE_SHINGLE = 5
 SIMILARITY = 0.8
-PRINTS = 8
-BLOCK = 1 << 15
-
-
-def most_bits(similarity: float, prints: int) -> int:
-    """The differing bits expected at a Jaccard similarity of two sets of one size."""
-    return int(round(64 * prints * np.arccos(2 * similarity / (1 + similarity)) / np.pi))
-
+BANDS, BAND_BITS = 96, 18
+CHECK_BITS = 96
+PRINTS = BANDS * BAND_BITS // 64 + 2  # 27 fingerprints make the bands, two are for the check
+FEW = 20
+SLOTS = 4096
+BLOCK = 1024
+DENSE = 8
+
+
+def differing(similarity: float) -> float:
+    """The share of bits expected to differ at a Jaccard similarity of two sets of one size; of sets
+    of two sizes fewer differ."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def check_limit(similarity: float) -> int:
+    """The most differing check bits of a proposed pair: four standard deviations above the mean."""
+    p = differing(similarity)
+    return int(np.ceil(CHECK_BITS * p + 4 * np.sqrt(CHECK_BITS * p * (1 - p))))
+
+
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """The distinct shingles of a text as sorted hashes."""
+    return np.unique(_shingle_hashes(text, shingle))
+
+
+def _majorities(words: np.ndarray) -> np.ndarray:
+    """Per row: the bits set in over half of its words, counted in bit slices by full adders."""
+    n, level, sums = words.shape[1], words, []
+    if not n:
+        return np.zeros(len(words), np.uint64)
+    while True:
+        carries = []
+        while level.shape[1] > 1:
+            k = level.shape[1] // 3
+            a, b = (level[:, :k], level[:, k : 2 * k]) if k else (level[:, :1], level[:, 1:])
+            one = a ^ b
+            if k:
+                c = level[:, 2 * k : 3 * k]
+                carries.append((a & b) | (c & one))
+                level = np.concatenate([one ^ c, level[:, 3 * k :]], axis=1)
+            else:
+                carries.append(a & b)
+                level = one
+        sums.append(level[:, 0])
+        if not carries:
+            break
+        level = np.concatenate(carries, axis=1)
+    more, same = np.zeros(len(words), np.uint64), np.full(len(words), _FULL, np.uint64)
+    for i in reversed(range(len(sums))):
+        if n // 2 >> i & 1:
+            same &= sums[i]
+        else:
+            more |= same & sums[i]
+            same &= ~sums[i]
+    return more
+
+
+def signature(hashes: np.ndarray, prints: int = PRINTS) -> np.ndarray:
+    """Several fingerprints of one set of hashes. Each but the first hashes the hashes again."""
+    some = max(1, (1 << 20) // max(1, len(hashes)))
+    made = []
+    for first in range(0, prints, some):
+        salts = np.array([i * _AGAIN & _FULL for i in range(first, min(prints, first + some))], np.uint64)
+        words = mix(hashes[None, :] + salts[:, None])
+        if not first:
+            words[0] = hashes
+        made.append(_majorities(words))
+    return np.concatenate(made)
+
+
+def signatures(docs: DataFrame, *, id_column: str, text_column: str, shingle: int, similarity: float) -> DataFrame:
+    """id, th (hash of the text), point (hash of the set of shingles), sig and, of sets of at most
+    `FEW`, those smallest hashes of which two sets of that similarity share one."""
+    from xxhash import xxh64_intdigest
 
-def signatures(docs: DataFrame, *, id_column: str, text_column: str, shingle: int, prints: int) -> DataFrame:
-    """id, th (hash of the text) and sig (the signature) of every document."""
     text = F.coalesce(F.col(text_column), F.lit(""))
     read = docs.select(F.col(id_column).alias("id"), F.xxhash64(F.col(text_column)).alias("th"), text.cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [signature(t, shingle, prints) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], ["id", "th", "sig"])
+            points, made, few = [], [], []
+            for t in batch.column(2):
+                hashes = shingle_set(t.as_py(), shingle)
+                n = len(hashes)
+                points.append(xxh64_intdigest(hashes.tobytes(), SEED))
+                made.append(signature(hashes).tobytes())
+                few.append(hashes[: n - int(np.ceil(similarity * n - 1e-9)) + 1].tobytes() if 0 < n <= FEW else b"")
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(np.array(points, np.uint64).view(np.int64)),
+                 pa.array(made, pa.binary()), pa.array(few, pa.binary())],
+                ["id", "th", "point", "sig", "few"],
+            )
 
     kind = read.schema["id"].dataType.simpleString()
-    return read.mapInArrow(run, f"id {kind}, th long, sig binary")
+    return read.mapInArrow(run, f"id {kind}, th long, point long, sig binary, few binary")
 
 
-def linked_signatures(values: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """(member, first member of its component) for signatures given as rows of uint64.
+def _postings(points: np.ndarray, sigs: np.ndarray, few: list[bytes]) -> np.ndarray:
+    """Rows of six uint32: key, point (two), check bits (three). A key is a band and its bits, or 31
+    bits of a hash below a leading one."""
+    n = len(points)
+    bits = np.unpackbits(sigs[:, : BANDS * BAND_BITS // 64].astype(">u8").view(np.uint8).reshape(n, -1), axis=1)
+    keys = bits.reshape(n, BANDS, BAND_BITS).astype(np.uint32) @ (np.uint32(1) << np.arange(BAND_BITS, dtype=np.uint32))
+    keys += np.arange(BANDS, dtype=np.uint32) << np.uint32(BAND_BITS)
+    own = np.concatenate([points.reshape(-1, 1).view(np.uint32), sigs[:, -2:].copy().view(np.uint32)[:, : CHECK_BITS // 32]], axis=1)
+    short = np.frombuffer(b"".join(few), np.uint64)
+    rows = np.concatenate([np.repeat(np.arange(n), BANDS), np.repeat(np.arange(n), [len(x) // 8 for x in few])])
+    every = np.concatenate([keys.ravel(), (short >> np.uint64(33)).astype(np.uint32) | np.uint32(1 << 31)])
+    return np.concatenate([every[:, None], own[rows]], axis=1)
+
+
+def _differences(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
+def _forest(check: np.ndarray, most: int) -> tuple[list[int], list[int]]:
+    """Links (found, finder) that connect what chains of at most `most` differing bits connect.
 
     Breadth first: members found so far are compared with those not found yet, so a dense group costs
     little more than one comparison each.
     """
-    found, rest = [], np.arange(len(values))
+    found, finder, rest = [], [], np.arange(len(check))
     while len(rest) > 1:
-        seed, rest = int(rest[0]), rest[1:]
-        front = [seed]
+        front, rest = [int(rest[0])], rest[1:]
         while front and len(rest):
-            some, front = front[:16], front[16:]
-            hit = np.zeros(len(rest), bool)
-            for i in some:
-                hit |= np.bitwise_count(values[rest] ^ values[i]).sum(axis=1, dtype=np.int64) <= most
+            i = front.pop()
+            hit = _differences(check[rest], check[i]) <= most
             new = rest[hit].tolist()
             rest = rest[~hit]
             front += new
-            found += [(x, seed) for x in new]
-    return found
+            found += new
+            finder += [i] * len(new)
+    return found, finder
 
 
-def signature_links(points: DataFrame, *, prints: int, most: int, block: int = BLOCK) -> DataFrame:
-    """Pairs (a, b) of signatures whose components are those of all links that meet in the index.
+def met_pairs(posted: np.ndarray, loose: int, tight: int, block: int) -> tuple[np.ndarray, ...]:
+    """(key, a, b, bits) of the pairs that share a key and differ in at most `loose` check bits.
 
-    Each fingerprint of a signature posts its eight triples of positional bytes. A posting of two is a
-    pair; a larger one goes to one task as a list or, beyond `block` members, as all pairs of its
-    blocks, so no link in it is lost. Points travel as 8-byte hashes until they have met.
+    Where a key has more than `block` members, or more pairs than `DENSE` per member, its links of at
+    most `tight` bits are given as a forest and each member once as its own pair, to be compared again.
     """
-    named = points.select(F.xxhash64("sig").alias("point"), "sig")
+    posted = posted[np.argsort(posted[:, 0], kind="stable")]
+    keys, check = posted[:, 0], posted[:, 3:]
+    points = posted[:, 1:3].copy().view(np.uint64).ravel()
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    sizes = np.diff(np.append(starts, len(keys)))
+    run = np.repeat(np.arange(len(starts)), sizes)
+    alive = np.flatnonzero((sizes > 1)[run] & (sizes <= block)[run])
+    first, second = [], []
+    for d in range(1, block):
+        alive = alive[alive + d < len(keys)]
+        alive = alive[run[alive + d] == run[alive]]
+        if not len(alive):
+            break
+        near = alive[_differences(check[alive], check[alive + d]) <= loose]
+        first.append(near)
+        second.append(near + d)
+    i, j = (np.concatenate([*x, np.empty(0, np.int64)]).astype(np.int64) for x in (first, second))
+    dense = (sizes > block) | (np.bincount(run[i], minlength=len(sizes)) > DENSE * sizes)
+    keep = ~dense[run[i]]
+    first, second, again = [i[keep]], [j[keep]], []
+    for r in np.flatnonzero(dense).tolist():
+        span = np.arange(starts[r], starts[r] + sizes[r])
+        span = span[np.argsort(points[span], kind="stable")]
+        found, finder = _forest(check[span], tight)
+        first.append(span[found] if found else span[:0])
+        second.append(span[finder] if finder else span[:0])
+        again.append(span)
+    i, j = (np.concatenate([*x, *again]).astype(np.int64) for x in (first, second))
+    a, b = points[i].view(np.int64), points[j].view(np.int64)
+    return keys[i].astype(np.int64), np.minimum(a, b), np.maximum(a, b), _differences(check[i], check[j])
+
+
+def proposed(points: DataFrame, *, loose: int, tight: int, block: int) -> DataFrame:
+    """(key, a, b, bits) of what `met_pairs` finds. Postings travel packed, many to a row."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            data = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(n, prints, BYTES).astype(np.int64)
-            keys = np.empty((n, prints, len(TRIPLES)), np.int64)
-            for t, (x, y, z) in enumerate(TRIPLES):
-                keys[:, :, t] = (data[:, :, x] << 16) | (data[:, :, y] << 8) | data[:, :, z]
-            keys += np.arange(prints * len(TRIPLES)).reshape(prints, -1) << 24
-            points = np.repeat(batch.column(0).to_numpy(), prints * len(TRIPLES))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(points)], ["key", "point"])
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if not batch.num_rows:
+                continue
+            sigs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, PRINTS)
+            made = _postings(batch.column(0).to_numpy().view(np.uint64), sigs, batch.column(2).to_pylist())
+            slots = (mix(made[:, 0].astype(np.uint64)) % np.uint64(SLOTS)).astype(np.int32)
+            order = np.argsort(slots, kind="stable")
+            made, slots = made[order], slots[order]
+            at = np.flatnonzero(np.append(True, slots[1:] != slots[:-1]))
+            rows = [made[s:e].tobytes() for s, e in zip(at.tolist(), [*at[1:].tolist(), len(made)])]
+            yield pa.RecordBatch.from_arrays([pa.array(slots[at]), pa.array(rows, pa.binary())], ["slot", "data"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = b"".join(x for batch in batches for x in batch.column(1).to_pylist())
+        made = met_pairs(np.frombuffer(held, np.uint32).reshape(-1, 6), loose, tight, block)
+        if len(made[0]):
+            yield pa.RecordBatch.from_arrays([*map(pa.array, made)], ["key", "a", "b", "bits"])
+
+    posts = points.select("point", "sig", "few").mapInArrow(post, "slot int, data binary").repartition("slot")
+    return posts.mapInArrow(meet, "key long, a long, b long, bits long")
+
+
+def across(dense: DataFrame, points: DataFrame, groups: DataFrame, loose: int) -> DataFrame:
+    """Pairs (a, b) of one dense key that are of different groups and differ in at most `loose` bits."""
+    labelled = dense.join(groups, "point", "left").select("key", "point", F.coalesce("group", "point").alias("group"))
+    mixed = labelled.groupBy("key").agg(F.min("group").alias("l"), F.max("group").alias("h")).where("l <> h").select("key")
+    check = points.select("point", F.substring("sig", 8 * (PRINTS - 2) + 1, CHECK_BITS // 8).alias("check"))
+    lists = labelled.join(mixed, "key").join(check, "point").groupBy("key").agg(
+        F.collect_list("point").alias("points"), F.collect_list("group").alias("groups"), F.collect_list("check").alias("checks")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (
-                np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, prints) for i in (0, 1)
-            )
-            near = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= most
-            yield batch.filter(pa.array(near))
+            for points, groups, checks in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                points, groups = np.array(points, np.int64), np.array(groups, np.int64)
+                order = np.argsort(groups, kind="stable")
+                points, groups = points[order], groups[order]
+                check = np.frombuffer(b"".join(checks), np.uint32).reshape(len(points), -1)[order]
+                ends = np.searchsorted(groups, groups, "right")
+                for i, e in enumerate(ends.tolist()):
+                    other = points[e:][_differences(check[e:], check[i]) <= loose]
+                    if len(other):
+                        a, b = np.minimum(other, points[i]), np.maximum(other, points[i])
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return lists.select("points", "groups", "checks").mapInArrow(run, "a long, b long").distinct()
 
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles have that Jaccard similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = [], []
-            for sigs in batch.column(0).to_pylist():
-                for x, top in linked_signatures(np.frombuffer(b"".join(sigs), np.uint64).reshape(-1, prints), most):
-                    a.append(sigs[x])
-                    b.append(sigs[top])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
-
-    posts = named.mapInArrow(post, "key long, point long")
-    met = stored(
-        posts.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("point").alias("a"), F.max("point").alias("b")).where("n > 1"),
-        "postings",
+            near = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                near.append(shared >= similarity * (len(x) + len(y) - shared))
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    first, second = (sets.select(F.col("point").alias(c), F.col("set").alias(f"set_{c}")) for c in ("a", "b"))
+    fits = F.least(F.length("set_a"), F.length("set_b")) >= similarity * F.greatest(F.length("set_a"), F.length("set_b"))
+    return pairs.join(first, "a").join(second, "b").where(fits).select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+
+
+def similar_links(docs: DataFrame, points: DataFrame, *, id_column: str, text_column: str, shingle: int,
+                  similarity: float, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b) of points of that Jaccard similarity whose components are those of all such pairs
+    that the index proposes.
+
+    Close pairs are gathered into groups first and each member is verified against the smallest of its
+    group, so dense groups need one comparison per member. Every other proposed pair of two different
+    groups is verified itself.
+    """
+    loose, tight = check_limit(similarity), round(CHECK_BITS * differing((1 + similarity) / 2))
+    met = stored(proposed(points, loose=loose, tight=tight, block=block), "met")
+    pairs = stored(met.where("a <> b").groupBy("a", "b").agg(F.min("bits").alias("bits")), "pairs")
+    dense = met.where("a = b").select("key", F.col("a").alias("point")).distinct()
+    need = met.select("a").union(met.select("b")).distinct().withColumnRenamed("a", "point")
+    wanted = stored(
+        points.join(need, "point").select(F.struct(F.col("least.id").alias("id"), F.col("least.th").alias("th"), "point").alias("__want")),
+        "wanted",
     )
-    pairs = met.where("n = 2").select("a", "b").distinct()
-    first, second = (named.select(F.col("point").alias(c), F.col("sig").alias(f"sig_{c}")) for c in ("a", "b"))
-    two = pairs.join(first, "a").join(second, "b").select(F.col("sig_a").alias("a"), F.col("sig_b").alias("b"))
-    more = posts.join(met.where("n > 2").select("key", "n"), "key").join(named, "point")
-    blocks = F.ceil(F.col("n") / block)
-    own = F.pmod(F.xxhash64("point"), blocks)
-    beside = F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("other")
-    spread = more.select("key", "sig", own.alias("own"), beside).select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sig"
+    texts = docs.select(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("th"), F.col(text_column).alias("text"))
+    wanted_texts = texts.join(
+        small(wanted, wanted.count(), 64), F.col("id").eqNullSafe(F.col("__want.id")) & (F.col("th") == F.col("__want.th"))
+    ).select(F.col("__want.point").alias("point"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [shingle_set(t.as_py(), shingle).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["point", "set"])
+
+    sets = stored(wanted_texts.mapInArrow(run, "point long, set binary").dropDuplicates(["point"]), "sets")
+    roots = components(pairs.where(F.col("bits") <= tight)).where("node <> root")
+    stars = stored(verified(roots.select(F.col("node").alias("a"), F.col("root").alias("b")), sets, similarity), "stars")
+    groups = stars.select(F.col("a").alias("point"), F.col("b").alias("group"))
+    of_a, of_b = (groups.select(F.col("point").alias(c), F.col("group").alias(f"group_{c}")) for c in ("a", "b"))
+    apart = (
+        pairs.join(of_a, "a", "left").join(of_b, "b", "left")
+        .where(F.coalesce("group_a", "a") != F.coalesce("group_b", "b")).select("a", "b")
     )
-    lists = spread.groupBy("key", "i", "j").agg(F.collect_list("sig").alias("sigs")).select("sigs")
-    return two.mapInArrow(verify, "a binary, b binary").union(lists.mapInArrow(link, "a binary, b binary")).distinct()
+    rest = stored(apart.union(across(dense, points, groups, loose)).distinct(), "rest")
+    return stars.union(verified(rest, sets, similarity))
 
 
 def keep_one(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", shingle: int = STAGE_SHINGLE,
-             similarity: float = SIMILARITY, prints: int = PRINTS, block: int = BLOCK) -> DataFrame:
+             similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """The documents, one of each group of near duplicates: that of the smallest id (then text hash).
 
-    Near duplicates are linked while their signatures differ in no more bits than sets of shingles with
-    that Jaccard similarity are expected to. One 64-bit fingerprint links at three bits, which is far
-    closer than 0.8; several of them estimate lower similarities and give the index more places to meet:
-    with 8 fingerprints nearly all pairs of similarity 0.9 meet, and about 7 in 10 of those of 0.8.
+    Near duplicates are linked where their distinct shingles have that Jaccard similarity, computed
+    exactly. The fingerprints only propose: 96 bands of 18 bits, of which two sets of similarity 0.8
+    share one with probability 0.994, then a check of 96 more bits with a limit four deviations above
+    their mean. Sets of at most `FEW` shingles also meet in their smallest hashes, as bits of small
+    sets differ more. Texts of equal sets are one point.
     """
     made = stored(
-        signatures(docs, id_column=id_column, text_column=text_column, shingle=shingle, prints=prints), "signatures"
+        signatures(docs, id_column=id_column, text_column=text_column, shingle=shingle, similarity=similarity), "signatures"
     )
     place = F.struct("id", "th")
-    points = stored(made.groupBy("sig").agg(F.min(place).alias("least")), "points")
-    links = stored(signature_links(points, prints=prints, most=most_bits(similarity, prints), block=block), "links")
+    points = stored(
+        made.groupBy("point").agg(F.min(place).alias("least"), F.min("sig").alias("sig"), F.min("few").alias("few")), "points"
+    )
+    links = stored(
+        similar_links(docs, points, id_column=id_column, text_column=text_column, shingle=shingle, similarity=similarity, block=block),
+        "links",
+    )
     roots = components(links)
-    rooted = points.join(roots, points["sig"] == roots["node"], "left").select("least", F.coalesce("root", "sig").alias("root"))
+    rooted = points.join(roots, points["point"] == roots["node"], "left").select("least", F.coalesce("root", "point").alias("root"))
     kept = stored(rooted.groupBy("root").agg(F.min("least").alias("__kept")).select("__kept"), "kept")
     one = docs.join(
         kept.hint("merge"),

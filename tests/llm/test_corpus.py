@@ -245,6 +245,40 @@ def test_keep_one_of_each_group(spark, block):
     assert {r.doc_id for r in kept} == {min(t[0] for t in texts if t[2] == g) for g in range(12)}
 
 
+def test_keep_one_links_by_exact_similarity(spark):
+    """8 changed words of 400 leave a Jaccard similarity of 0.817, 9 leave 0.796; short texts are exact."""
+    texts, want = [], set()
+    for g in range(60):
+        w = prose(800 + g, 400, 5000).split()
+        texts.append((len(texts), " ".join(w)))
+        want.add(texts[-1][0])
+        edits = 8 if g < 30 else 9
+        for c in range(edits):
+            w[20 + c * 40] = f"edit{c}"
+        texts.append((len(texts), " ".join(w)))
+        want |= {texts[-1][0]} if edits == 9 else set()
+    for g in range(20):
+        short = prose(900 + g, 9, 5000)
+        texts += [(len(texts), short), (len(texts) + 1, short.rsplit(" ", 1)[0])]  # 4 of 5 shingles
+        want.add(texts[-2][0])
+    kept = simhash.keep_one(spark.createDataFrame(texts, "doc_id int, text string")).collect()
+    assert {r.doc_id for r in kept} == want
+
+
+def test_dense_keys_lose_no_pair():
+    """A key of many members gives a forest and its members, which are compared again across groups."""
+    pick = np.random.default_rng(5)
+    base = pick.integers(0, 1 << 32, (6, 3), dtype=np.uint32)
+    check = np.repeat(base, 50, axis=0)
+    check[:, 0] ^= np.uint32(1) << pick.integers(0, 32, 300).astype(np.uint32)
+    posted = np.concatenate([np.full((300, 1), 7, np.uint32), np.arange(600, dtype=np.uint32).reshape(300, 2), check], axis=1)
+    for block in (1024, 40):
+        keys, a, b, bits = simhash.met_pairs(posted, 29, 10, block)
+        own = a == b
+        assert own.sum() == 300 and len(np.unique(a[own])) == 300 and (keys == 7).all()
+        assert (~own).sum() == 300 - 6 and (bits <= 10).all()
+
+
 def test_quality_measures_and_hosts(spark, docs, rows):
     got = {r.doc_id: r for r in quality.judge(docs).collect()}
     for r in rows:
