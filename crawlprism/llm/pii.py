@@ -41,6 +41,7 @@ _IP = re.compile(r"([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _RUN = re.compile(r"[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9]([\x20().0-9-]++)")
+_DIGITS_ONLY = str.maketrans("", "", " ().-")
 _URL = re.compile(r"[A-Za-z]++://[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?+(?::[0-9]++)?+(?:[/?#][^\s\"'<>\[\]{}|\\^`]*+)?+")
 _IBAN = re.compile(r"[ \t:#-]{0,4}+([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{1,4}){3,8})(?![A-Za-z0-9])")
 _ACCOUNT = re.compile(r"(?:[ ._-]?(?:number|num|no|id|nr))?+[\s.:#=-]{1,4}([A-Za-z0-9](?:-?[A-Za-z0-9]){3,33})(?![A-Za-z0-9])", re.I)
@@ -118,7 +119,7 @@ def phone_at(text: str, at: int, least: int) -> tuple[Span | None, int]:
     body = found.group(1).rstrip(" ().-")
     if len(body) < 2:
         return None, at + 1
-    digits = 1 + sum(map(str.isdigit, body)) if len(body) < 4096 else 99
+    digits = 1 + len(body.translate(_DIGITS_ONLY))
     end = at + 2 + len(body)
     return ((at, end) if 10 <= digits <= 15 else None), end
 

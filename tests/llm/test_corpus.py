@@ -403,6 +403,16 @@ def test_pii_on_random_texts():
         assert [s for s in pii.spans(text) if s[0] in pii.BASE] == brute.personal_data(text), text
 
 
+def test_phone_with_long_separator_runs():
+    for run in (" ", ".", "-", "( "):
+        for n in (4090, 4100, 9000):
+            for digits in ("2345678901", "2345", "23456789012345678"):
+                text = "call +1 " + run * n + " " + digits + " now"
+                got = [x for x in pii.spans(text) if x[0] == "phone"]
+                want = [m.span() for m in dict(brute.PII)["phone"].finditer(text) if 10 <= sum(map(str.isdigit, m[0])) <= 15]
+                assert [x[1:] for x in got] == want and len(want) == (len(digits) == 10)
+
+
 def test_pii_added_spans():
     text = "See https://a.example/x?y=1. Account number: AB-1234-99, IBAN DE89 3704 0044 0532 0130 00; account of him"
     found = {(k, text[a:b]) for k, a, b in pii.spans(text)}
