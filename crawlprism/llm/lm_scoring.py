@@ -13,8 +13,8 @@ The probability of a token v after u is smoothed towards the token's own:
 
 The base score beside it takes exact counts of single tokens. They are sorted arrays broadcast with the
 filter. If filter and arrays measure more than `MOST_MODEL_BYTES`, nothing is broadcast: the documents'
-distinct grams are joined with the (quantised and exact) counts instead, which gives the same scores
-without the filter's rare false positives.
+distinct grams are joined with the (quantised and exact) counts instead: without the filter's false
+positives, so `score` differs a little between the two ways.
 
 Defined cases: a null or empty text is the end token alone. Without training rows N and V are 0, all
 counts are 0, and p(v) is 1. A null id counts as the empty string for the hold-out; in the joined way
