@@ -180,8 +180,15 @@ def record_bytes(record: dict) -> bytes:
     return CRLF.join([*head, f"Content-Length: {len(block)}", "", ""]).encode() + block + (CRLF * 2).encode()
 
 
+_NEXT = re.compile(rb"\n\r?\n(WARC/1\.)")
+
+
 def parse_records(data: bytes) -> Iterator[dict]:
-    """The records of a WARC file's bytes, one gzip member or many, or plain."""
+    """The records of a WARC file's bytes, one gzip member or many, or plain.
+
+    A malformed record, or one whose length reaches over the start of later ones, gives one record of
+    type null; reading goes on at the next line after a blank one that begins with `WARC/1.`.
+    """
     import gzip
 
     if data[:2] == b"\x1f\x8b":
@@ -193,13 +200,24 @@ def parse_records(data: bytes) -> Iterator[dict]:
         named = [line.partition(":")[::2] for line in head[1:]]
         values = {k.strip().lower(): v.strip() for k, v in named}
         if not head or not head[0].startswith("WARC/") or not values.get("content-length", "").isdigit():
-            yield dict.fromkeys(FIELDS) | {"block": data[at:].decode("utf-8", "replace")}
-            return
+            following = _NEXT.search(data, at)
+            stop = following.start(1) if following else len(data)
+            yield dict.fromkeys(FIELDS) | {"block": data[at:stop].decode("utf-8", "replace")}
+            at = stop
+            continue
         begin = end + 4
-        block = data[begin : begin + int(values["content-length"])]
-        at = begin + len(block)
-        while data[at : at + 2] == b"\r\n":
-            at += 2
+        last = begin + int(values["content-length"])
+        after = last
+        while data[after : after + 2] == b"\r\n":
+            after += 2
+        if last > len(data) or not (after == len(data) or data.startswith(b"WARC/", after)):
+            following = _NEXT.search(data, end, min(last + 16, len(data)))
+            if following and following.start(1) <= last:  # the length reaches over later records
+                yield dict.fromkeys(FIELDS) | {"block": data[at : following.start(1)].decode("utf-8", "replace")}
+                at = following.start(1)
+                continue
+        block = data[begin:last]
+        at = min(after, len(data))
         record = {f: values.get(name.lower()) for f, name in HEADERS.items()}
         if record["type"] == "response":
             source, cut, body = block.partition(b"\r\n\r\n")

@@ -480,6 +480,17 @@ def test_warc_records(spark):
     assert first["metadata"].split("\r\n")[:5] == ["title: T & x", "languages-declared: de", "link-count: 1", "outlink: /l", ""]
 
 
+def test_warc_goes_on_after_damaged_records():
+    good = [dict.fromkeys(warc.FIELDS) | {"type": "resource", "block": f"body {i}", "source_headers": ""} for i in range(4)]
+    parts = [warc.record_bytes(r) for r in good]
+    for bad in (b"junk\r\n\r\n", b"WARC/1.1\r\nContent-Length: x\r\n\r\nlost\r\n\r\n",
+                *(parts[0].replace(b"Content-Length: 6", b"Content-Length: " + n) for n in (b"2", b"60", b"99999"))):
+        assert bad != parts[0]
+        got = list(warc.parse_records(parts[0] + bad + b"".join(parts[1:])))
+        assert [r["block"] for r in got if r["type"] and r["block"].startswith("body")] == [f"body {i}" for i in range(4)], bad
+        assert any(r["type"] is None for r in got)
+
+
 def test_warc_files_round_trip(spark, tmp_path):
     responses = warc.responses(spark.createDataFrame(PAGES, "page_id int, url string, html string"))
     every = responses.union(warc.derivatives(responses))
