@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crawlprism.llm import decontaminate, line_dedup, lm_scoring, packing, pii, quality, simhash, token_counts, toxicity, warc
+from crawlprism.llm import (
+    decontaminate, line_dedup, lm_scoring, packing, periodic, pii, quality, simhash, token_counts, toxicity, warc,
+)
 from crawlprism.session import ship_package
 
 
@@ -67,10 +69,14 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.digest(pii.find_personal_data(table(spark, folder, "documents")))
 
 
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic.digest(periodic.find_runs(periodic.planted(table(spark, folder, "documents"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_line_dedup, op2_lm_scoring, op3_decontamination, op4_toxicity, op5_simhash, op6_quality_rules, op7_warc,
-        op8_token_counts, op9_packing, op10_pii,
+        op8_token_counts, op9_packing, op10_pii, op11_periodic_runs,
     )
     return {f.__name__: _ready(f) for f in own}
 
