@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from crawlprism.llm import (
-    decontaminate, language, line_dedup, lm_scoring, packing, periodic, pii, quality, simhash, token_counts, toxicity,
-    warc,
+    decontaminate, language, line_dedup, lm_scoring, packing, periodic, pii, quality, repair, simhash,
+    token_counts, toxicity, warc,
 )
 from crawlprism.session import ship_package
 
@@ -74,6 +74,10 @@ def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return periodic.digest(periodic.find_runs(periodic.planted(table(spark, folder, "documents"))))
 
 
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repair.repair(repair.damaged(table(spark, folder, "conversations")))
+
+
 def op13_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(table(spark, folder, "documents"))
 
@@ -81,7 +85,8 @@ def op13_language_id(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_line_dedup, op2_lm_scoring, op3_decontamination, op4_toxicity, op5_simhash, op6_quality_rules, op7_warc,
-        op8_token_counts, op9_packing, op10_pii, op11_periodic_runs, op13_language_id,
+        op8_token_counts, op9_packing, op10_pii, op11_periodic_runs,
+        op12_conversation_repair, op13_language_id,
     )
     return {f.__name__: _ready(f) for f in own}
 
