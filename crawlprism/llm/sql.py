@@ -95,4 +95,73 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM failed JOIN verdicts ON failed.source IS NOT DISTINCT FROM verdicts.source
 """
 
-ORACLES = {"op1_line_dedup": OP1, "op3_decontamination": OP3, "op6_quality_rules": OP6}
+# States: 0 nothing yet, 1 after the system message, 2 after a user's, 3 after an assistant's. Two inserts in
+# one gap never pay: the state after them allows no more than the state before.
+OP12 = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(c ORDER BY b) AS crcs FROM (
+    SELECT b, list_reduce(list_concat([b], range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c
+    FROM range(256) r(b))
+), keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce(
+           list_concat([4294967295::BIGINT], list_transform(
+             string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT)),
+           lambda c, b: xor(c // 256, crcs[(xor(c, b) % 256) + 1])), 4294967295) % 20 AS kind
+  FROM conversations, crc_table
+), damaged AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE kind WHEN 0 THEN []::INT[] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM keyed
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM damaged
+), judged AS (
+  SELECT *, regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS body,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+         lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1] AS pair
+  FROM numbered
+), faults AS (
+  SELECT *, body = '' AS blank, body <> '' AND again AS duplicate,
+         body <> '' AND NOT again AND right(body, 1) NOT IN ('.', '!', '?') AS truncated
+  FROM judged
+), best AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS i, 0 AS q, 0::BIGINT AS cost, '' AS audit, ''::VARCHAR AS said FROM faults
+  UNION ALL
+  SELECT conv_id, i, q, cost, audit, said FROM (
+    SELECT b.conv_id, f.i,
+           CASE e.edit WHEN 'D' THEN b.q WHEN 'K' THEN CASE f.role[1] WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END
+                       ELSE CASE b.q WHEN 2 THEN 3 ELSE 2 END END AS q,
+           b.cost + CASE e.edit WHEN 'D' THEN 2 WHEN 'K' THEN 0 ELSE 1 END + CASE WHEN f.truncated AND e.edit <> 'D' THEN 5 ELSE 0 END AS cost,
+           b.audit || e.edit AS audit,
+           b.said || CASE e.edit WHEN 'D' THEN '' WHEN 'K' THEN f.role || ':' || f.text || chr(10)
+                     ELSE CASE b.q WHEN 2 THEN 'assistant:' ELSE 'user:' END || f.text || chr(10) END AS said
+    FROM (
+      SELECT conv_id, i, CASE WHEN ins THEN CASE q WHEN 2 THEN 3 ELSE 2 END ELSE q END AS q, cost + 5 * ins::INT AS cost,
+             audit || CASE WHEN ins THEN 'I' ELSE '' END AS audit,
+             said || CASE WHEN ins THEN CASE q WHEN 2 THEN 'assistant:' ELSE 'user:' END || chr(10) ELSE '' END AS said
+      FROM best, (VALUES (false), (true)) g(ins)
+    ) b JOIN faults f ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND f.i = b.i + 1, (VALUES ('D'), ('K'), ('R')) e(edit)
+    WHERE e.edit = 'D' OR (NOT f.blank AND NOT f.duplicate AND (e.edit = 'R' OR (f.role[1] = 's' AND b.q = 0)
+          OR (f.role[1] = 'u' AND b.q <> 2) OR (f.role[1] = 'a' AND b.q = 2)))
+  ) QUALIFY row_number() OVER (PARTITION BY conv_id, q ORDER BY cost, audit) = 1
+), sums AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank,
+         count_if(duplicate) AS duplicate, count_if(truncated) AS truncated,
+         count_if(pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n
+  FROM faults GROUP BY conv_id
+), closed AS (
+  SELECT s.conv_id, cost + CASE q WHEN 2 THEN 5 ELSE 0 END AS cost, audit || CASE q WHEN 2 THEN 'I' ELSE '' END AS audit,
+         said || CASE q WHEN 2 THEN 'assistant:' || chr(10) ELSE '' END AS said
+  FROM sums s JOIN best b ON s.conv_id IS NOT DISTINCT FROM b.conv_id AND b.i = s.n AND b.q <> 1
+), ends AS (
+  SELECT * FROM closed QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY cost, audit) = 1
+)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit,
+       sha256(coalesce(left(said, length(said) - 1), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN sums s ON s.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
+ORACLES = {"op1_line_dedup": OP1, "op3_decontamination": OP3, "op6_quality_rules": OP6, "op12_conversation_repair": OP12}

@@ -17,7 +17,7 @@ import brute  # noqa: E402
 
 import __spark_entry__ as entry  # noqa: E402
 from crawlprism.llm import (  # noqa: E402
-    decontaminate, lm_scoring, line_dedup, packing, pii, quality, simhash, token_counts, toxicity, warc,
+    decontaminate, language, lm_scoring, line_dedup, packing, periodic, pii, quality, simhash, token_counts, toxicity, warc,
 )
 
 sys.path.insert(0, str(Path(entry.__file__).parent / "tools"))
@@ -92,6 +92,8 @@ RUNS = {
     "pack": lambda d, spark: packing.pack(d, tokenizer()),
     "pii": lambda d, spark: pii.digest(pii.find_personal_data(d)),
     "redact": lambda d, spark: pii.redact(d),
+    "periodic": lambda d, spark: periodic.digest(periodic.find_runs(periodic.planted(d))),
+    "language": lambda d, spark: language.identify(d, lang_column="source"),
     "warc": lambda d, spark: warc.derivatives(warc.responses(d, id_column="doc_id", url_column="source", html_column="text")),
 }
 
@@ -107,7 +109,7 @@ def test_empty_table(spark, none, name):
     assert RUNS[name](none, spark).collect() == []
 
 
-@pytest.mark.parametrize("name", [n for n in RUNS if n not in ("lm", "lm_join", "pack")])
+@pytest.mark.parametrize("name", [n for n in RUNS if n not in ("lm", "lm_join", "pack", "language")])
 def test_repeated_rows_and_clashing_columns(spark, docs, odd, name):
     """Every row comes back as often as it went in (kept once where one of each group stays)."""
     once, twice = RUNS[name](docs, spark), RUNS[name](odd, spark)
@@ -513,7 +515,7 @@ def test_warc_files_round_trip(spark, tmp_path):
 # --- registered queries ---------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("name", ["op1_line_dedup", "op3_decontamination", "op6_quality_rules"])
+@pytest.mark.parametrize("name", ["op1_line_dedup", "op3_decontamination", "op6_quality_rules", "op12_conversation_repair"])
 def test_query_against_sql(spark, sf, name):
     con = duckdb.connect()
     for t in TABLES:
@@ -526,4 +528,4 @@ def test_query_against_sql(spark, sf, name):
 
 def test_registered_names():
     names = {re.match(r"op(\d+)_", n)[1] for n in entry.queries() if n.startswith("op")}
-    assert names == {str(i) for i in range(1, 11)} and "pipeline" in entry.queries()
+    assert names == {str(i) for i in range(1, 14)} and "pipeline" in entry.queries()
