@@ -25,11 +25,12 @@ component unless all are null. Repeated rows are in one component.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from crawlprism.llm.common import mix, small, stored
 
@@ -251,9 +252,9 @@ BANDS, BAND_BITS = 96, 18
 CHECK_BITS = 96
 PRINTS = BANDS * BAND_BITS // 64 + 2  # 27 fingerprints make the bands, two are for the check
 FEW = 20
-SLOTS = 4096
 BLOCK = 1024
-DENSE = 8
+CHUNK = 256
+TILE_COLUMNS = 4096
 
 
 def differing(similarity: float) -> float:
@@ -363,66 +364,41 @@ def _differences(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
-def _forest(check: np.ndarray, most: int) -> tuple[list[int], list[int]]:
-    """Links (found, finder) that connect what chains of at most `most` differing bits connect.
+def met_members(posted: np.ndarray, loose: int, tight: int, block: int) -> tuple[np.ndarray, ...]:
+    """(key, point, other): the members of each key that differ from another member in at most `loose`
+    check bits, each with the first member before it at `tight` bits or less (itself if there is none).
 
-    Breadth first: members found so far are compared with those not found yet, so a dense group costs
-    little more than one comparison each.
+    Of a key with more than `block` members all are given; they are compared in blocks, for `other` only.
     """
-    found, finder, rest = [], [], np.arange(len(check))
-    while len(rest) > 1:
-        front, rest = [int(rest[0])], rest[1:]
-        while front and len(rest):
-            i = front.pop()
-            hit = _differences(check[rest], check[i]) <= most
-            new = rest[hit].tolist()
-            rest = rest[~hit]
-            front += new
-            found += new
-            finder += [i] * len(new)
-    return found, finder
-
-
-def met_pairs(posted: np.ndarray, loose: int, tight: int, block: int) -> tuple[np.ndarray, ...]:
-    """(key, a, b, bits) of the pairs that share a key and differ in at most `loose` check bits.
-
-    Where a key has more than `block` members, or more pairs than `DENSE` per member, its links of at
-    most `tight` bits are given as a forest and each member once as its own pair, to be compared again.
-    """
-    posted = posted[np.argsort(posted[:, 0], kind="stable")]
+    posted = posted[np.lexsort((posted[:, 1], posted[:, 2], posted[:, 0]))]
     keys, check = posted[:, 0], posted[:, 3:]
     points = posted[:, 1:3].copy().view(np.uint64).ravel()
     starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
     sizes = np.diff(np.append(starts, len(keys)))
     run = np.repeat(np.arange(len(starts)), sizes)
-    alive = np.flatnonzero((sizes > 1)[run] & (sizes <= block)[run])
-    first, second = [], []
+    wide = (sizes > block)[run]
+    pieces = (np.arange(len(keys)) - np.repeat(starts, sizes)) // block + (np.cumsum(-(-sizes // block)) - -(-sizes // block))[run]
+    near = wide.copy()
+    other = np.arange(len(keys))
+    alive = np.flatnonzero((sizes > 1)[run])
     for d in range(1, block):
         alive = alive[alive + d < len(keys)]
-        alive = alive[run[alive + d] == run[alive]]
+        alive = alive[pieces[alive + d] == pieces[alive]]
         if not len(alive):
             break
-        near = alive[_differences(check[alive], check[alive + d]) <= loose]
-        first.append(near)
-        second.append(near + d)
-    i, j = (np.concatenate([*x, np.empty(0, np.int64)]).astype(np.int64) for x in (first, second))
-    dense = (sizes > block) | (np.bincount(run[i], minlength=len(sizes)) > DENSE * sizes)
-    keep = ~dense[run[i]]
-    first, second, again = [i[keep]], [j[keep]], []
-    for r in np.flatnonzero(dense).tolist():
-        span = np.arange(starts[r], starts[r] + sizes[r])
-        span = span[np.argsort(points[span], kind="stable")]
-        found, finder = _forest(check[span], tight)
-        first.append(span[found] if found else span[:0])
-        second.append(span[finder] if finder else span[:0])
-        again.append(span)
-    i, j = (np.concatenate([*x, *again]).astype(np.int64) for x in (first, second))
-    a, b = points[i].view(np.int64), points[j].view(np.int64)
-    return keys[i].astype(np.int64), np.minimum(a, b), np.maximum(a, b), _differences(check[i], check[j])
+        bits = _differences(check[alive], check[alive + d])
+        some = alive[bits <= loose]
+        near[some] = near[some + d] = True
+        close = alive[bits <= tight]
+        other[close + d] = np.minimum(other[close + d], close)
+    at = np.flatnonzero(near)
+    return keys[at].astype(np.int64), points[at].view(np.int64), points[other[at]].view(np.int64)
 
 
 def proposed(points: DataFrame, *, loose: int, tight: int, block: int) -> DataFrame:
-    """(key, a, b, bits) of what `met_pairs` finds. Postings travel packed, many to a row."""
+    """(key, point, other) of what `met_members` finds. Postings travel packed, many to a row, in slots
+    of keys; a task holds one slot at a time and there are more slots the more points there are."""
+    slots = 1 << max(8, int(points.count() * BANDS >> 16).bit_length())
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -430,47 +406,32 @@ def proposed(points: DataFrame, *, loose: int, tight: int, block: int) -> DataFr
                 continue
             sigs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, PRINTS)
             made = _postings(batch.column(0).to_numpy().view(np.uint64), sigs, batch.column(2).to_pylist())
-            slots = (mix(made[:, 0].astype(np.uint64)) % np.uint64(SLOTS)).astype(np.int32)
-            order = np.argsort(slots, kind="stable")
-            made, slots = made[order], slots[order]
-            at = np.flatnonzero(np.append(True, slots[1:] != slots[:-1]))
+            slot = (mix(made[:, 0].astype(np.uint64)) % np.uint64(slots)).astype(np.int32)
+            order = np.argsort(slot, kind="stable")
+            made, slot = made[order], slot[order]
+            at = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))
             rows = [made[s:e].tobytes() for s, e in zip(at.tolist(), [*at[1:].tolist(), len(made)])]
-            yield pa.RecordBatch.from_arrays([pa.array(slots[at]), pa.array(rows, pa.binary())], ["slot", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array(slot[at]), pa.array(rows, pa.binary())], ["slot", "data"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = b"".join(x for batch in batches for x in batch.column(1).to_pylist())
-        made = met_pairs(np.frombuffer(held, np.uint32).reshape(-1, 6), loose, tight, block)
-        if len(made[0]):
-            yield pa.RecordBatch.from_arrays([*map(pa.array, made)], ["key", "a", "b", "bits"])
-
-    posts = points.select("point", "sig", "few").mapInArrow(post, "slot int, data binary").repartition("slot")
-    return posts.mapInArrow(meet, "key long, a long, b long, bits long")
-
-
-def across(dense: DataFrame, points: DataFrame, groups: DataFrame, loose: int) -> DataFrame:
-    """Pairs (a, b) of one dense key that are of different groups and differ in at most `loose` bits."""
-    labelled = dense.join(groups, "point", "left").select("key", "point", F.coalesce("group", "point").alias("group"))
-    mixed = labelled.groupBy("key").agg(F.min("group").alias("l"), F.max("group").alias("h")).where("l <> h").select("key")
-    check = points.select("point", F.substring("sig", 8 * (PRINTS - 2) + 1, CHECK_BITS // 8).alias("check"))
-    lists = labelled.join(mixed, "key").join(check, "point").groupBy("key").agg(
-        F.collect_list("point").alias("points"), F.collect_list("group").alias("groups"), F.collect_list("check").alias("checks")
-    )
+        held, slot = [], None
+
+        def done() -> pa.RecordBatch:
+            made = met_members(np.frombuffer(b"".join(held), np.uint32).reshape(-1, 6), loose, tight, block)
+            return pa.RecordBatch.from_arrays([*map(pa.array, made)], ["key", "point", "other"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for points, groups, checks in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                points, groups = np.array(points, np.int64), np.array(groups, np.int64)
-                order = np.argsort(groups, kind="stable")
-                points, groups = points[order], groups[order]
-                check = np.frombuffer(b"".join(checks), np.uint32).reshape(len(points), -1)[order]
-                ends = np.searchsorted(groups, groups, "right")
-                for i, e in enumerate(ends.tolist()):
-                    other = points[e:][_differences(check[e:], check[i]) <= loose]
-                    if len(other):
-                        a, b = np.minimum(other, points[i]), np.maximum(other, points[i])
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            for of, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if held and of != slot:
+                    yield done()
+                    held = []
+                slot = of
+                held.append(data)
+        if held:
+            yield done()
 
-    return lists.select("points", "groups", "checks").mapInArrow(run, "a long, b long").distinct()
+    posts = points.select("point", "sig", "few").mapInArrow(post, "slot int, data binary")
+    return posts.repartition("slot").sortWithinPartitions("slot").mapInArrow(meet, "key long, point long, other long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -486,24 +447,136 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     first, second = (sets.select(F.col("point").alias(c), F.col("set").alias(f"set_{c}")) for c in ("a", "b"))
-    fits = F.least(F.length("set_a"), F.length("set_b")) >= similarity * F.greatest(F.length("set_a"), F.length("set_b"))
-    return pairs.join(first, "a").join(second, "b").where(fits).select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+    return pairs.join(first, "a").join(second, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+
+
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles every two of some sets share, by products of 0/1 matrices over a part of the
+    shingles at a time; shingles of one set only are left out."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    every = np.concatenate([*sets, np.empty(0, np.uint64)])
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    new = np.append(True, every[1:] != every[:-1])[: len(every)]
+    column = np.cumsum(new) - 1
+    twice = np.bincount(column)[column] > 1 if len(column) else new
+    owner, column = owner[twice], column[twice]
+    column = np.cumsum(np.append(True, column[1:] != column[:-1])[: len(column)]) - 1
+    total = np.zeros((len(sets), len(sets)), np.float32)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, TILE_COLUMNS):
+        begin, end = np.searchsorted(column, [first, first + TILE_COLUMNS])
+        part = np.zeros((len(sets), TILE_COLUMNS), np.float32)
+        part[owner[begin:end], column[begin:end] - first] = 1
+        total += part @ part.T
+    return total.astype(np.int64)
+
+
+def tile_links(points: list[int], groups: list[int], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links among the members of a tile that join its groups as far as exact similarity does: a
+    spanning forest over the groups, not all pairs."""
+    shared = shared_counts(sets)
+    sizes = np.array([len(x) for x in sets])
+    near = shared >= similarity * (sizes[:, None] + sizes[None, :] - shared)
+    group = np.array(groups)
+    a, b = np.nonzero(np.tril(near & (group[:, None] != group[None, :]), -1))
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    found = []
+    for i, j in zip(a.tolist(), b.tolist()):
+        x, y = root(groups[i]), root(groups[j])
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            found.append((points[i], points[j]))
+    return found
+
+
+def _tiles(members: DataFrame, stage: int, chunk: int) -> DataFrame:
+    """(key, tile, point, group): what is compared of each key in a stage. A key of at most `chunk`
+    members is one tile. Larger ones are cut into chunks by hash: first each chunk with itself, then
+    the first chunk with every other, and last all that is outside the key's largest group with all."""
+    parts = F.ceil(F.col("n") / chunk).cast("int")
+    of = F.pmod(F.xxhash64("point"), parts).cast("int")
+    if stage < 2:
+        tile = F.array(of) if stage == 0 else F.when(of == 0, F.sequence(F.lit(1), F.greatest(F.lit(1), parts - 1))).otherwise(F.array(of))
+        return members.select("key", F.explode(tile).alias("tile"), "point", "group")
+    sizes = members.groupBy("key", "group").count().groupBy("key").agg(F.max(F.struct("count", "group")).alias("top"))
+    split = members.join(sizes, "key").select(
+        "key", "point", "group", "n", (F.col("group") == F.col("top.group")).alias("main"), F.col("top.count").alias("n_main")
+    )
+    tails, mains = (F.greatest(F.lit(1), F.ceil(x / chunk).cast("int")) for x in (F.col("n") - F.col("n_main"), F.col("n_main")))
+    own = F.when(F.col("main"), F.pmod(F.xxhash64("point"), mains)).otherwise(F.pmod(F.xxhash64("point"), tails)).cast("int")
+    # Tile i, j of the tail's chunk i with the main group's chunk j, and i, -1 - j of two tail chunks i <= j.
+    name = lambda i, j: F.concat_ws(",", i, j)
+    with_main = F.transform(F.sequence(F.lit(0), F.when(F.col("main"), tails).otherwise(mains) - 1),
+                            lambda k: F.when(F.col("main"), name(k, own)).otherwise(name(own, k)))
+    with_tail = F.when(F.col("main"), F.array().cast("array<string>")).otherwise(
+        F.transform(F.sequence(F.lit(0), tails - 1), lambda k: name(F.least(own, k), -1 - F.greatest(own, k)))
+    )
+    return split.select("key", F.explode(F.concat(with_main, with_tail)).alias("tile"), "point", "group")
+
+
+def linked_in_rounds(lists: DataFrame, sets: DataFrame, stars: DataFrame, similarity: float, chunk: int) -> list[DataFrame]:
+    """Links (a, b) that join what the members of each key are joined by, beyond the links `stars`.
+
+    Members that share a group need no comparison, so a key takes part only while its members are of
+    several groups. In each round a member's largest keys come first, twice as many as the round before;
+    their members are compared in tiles of at most two chunks, exactly and inside one task each, and the
+    groups that link become one. Rows grow with members, never with pairs.
+    """
+    links, every, turn = [stars], stars, 0
+    lists = lists.withColumn("stage", F.lit(0))
+    while True:
+        groups = stored(components(every), "groups")
+        named = lists.join(groups.withColumnRenamed("node", "point"), "point", "left").select(
+            "key", "point", "stage", F.coalesce("root", "point").alias("group")
+        )
+        mixed = named.groupBy("key").agg(F.min("group").alias("l"), F.max("group").alias("h"), F.count(F.lit(1)).alias("n"))
+        lists = stored(named.join(mixed.where("l <> h").select("key", "n"), "key"), "lists")
+        first = Window.partitionBy("point").orderBy(F.col("n").desc(), "key")
+        picked = lists.select("key", "n", "point").withColumn("r", F.row_number().over(first)).where(F.col("r") <= 1 << turn)
+        now = stored(lists.join(picked.select("key").distinct(), "key"), "members")
+        stages = [r.stage for r in now.select("stage").distinct().collect()]
+        if not stages:
+            return links
+        tiles = [_tiles(now.where(F.col("stage") == stage), stage, chunk).select("key", F.col("tile").cast("string").alias("tile"), "point", "group")
+                 for stage in sorted(stages)]
+        tiles = reduce(DataFrame.union, tiles)
+        several = tiles.groupBy("key", "tile").agg(F.min("group").alias("l"), F.max("group").alias("h")).where("l <> h").select("key", "tile")
+
+        def compare(group: pa.Table) -> pa.Table:
+            sets = [np.frombuffer(x, np.uint64) for x in group["set"].to_pylist()]
+            found = tile_links(group["point"].to_pylist(), group["group"].to_pylist(), sets, similarity)
+            return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+        work = tiles.join(several, ["key", "tile"]).join(sets, "point").select("key", "tile", "point", "group", "set")
+        made = stored(work.groupBy("key", "tile").applyInArrow(compare, "a long, b long"), "round")
+        links.append(made)
+        every = every.union(made)
+        # A key of one tile, or after its last stage, is done.
+        after = F.when(F.col("n") <= chunk, 3).otherwise(F.col("stage") + 1)
+        chosen = now.select("key", F.lit(True).alias("chosen")).distinct()
+        lists = lists.join(chosen, "key", "left").select("key", "point", F.when(F.col("chosen"), after).otherwise(F.col("stage")).alias("stage")).where("stage < 3")
+        turn += 1
 
 
 def similar_links(docs: DataFrame, points: DataFrame, *, id_column: str, text_column: str, shingle: int,
-                  similarity: float, block: int = BLOCK) -> DataFrame:
+                  similarity: float, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
     """Pairs (a, b) of points of that Jaccard similarity whose components are those of all such pairs
     that the index proposes.
 
-    Close pairs are gathered into groups first and each member is verified against the smallest of its
-    group, so dense groups need one comparison per member. Every other proposed pair of two different
-    groups is verified itself.
+    Close members are gathered into groups first and each is verified against the smallest of its
+    group, so most dense groups need one comparison per member. What is still apart after that is compared
+    in rounds, key by key.
     """
     loose, tight = check_limit(similarity), round(CHECK_BITS * differing((1 + similarity) / 2))
     met = stored(proposed(points, loose=loose, tight=tight, block=block), "met")
-    pairs = stored(met.where("a <> b").groupBy("a", "b").agg(F.min("bits").alias("bits")), "pairs")
-    dense = met.where("a = b").select("key", F.col("a").alias("point")).distinct()
-    need = met.select("a").union(met.select("b")).distinct().withColumnRenamed("a", "point")
+    need = met.select("point").distinct()
     wanted = stored(
         points.join(need, "point").select(F.struct(F.col("least.id").alias("id"), F.col("least.th").alias("th"), "point").alias("__want")),
         "wanted",
@@ -519,20 +592,14 @@ def similar_links(docs: DataFrame, points: DataFrame, *, id_column: str, text_co
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["point", "set"])
 
     sets = stored(wanted_texts.mapInArrow(run, "point long, set binary").dropDuplicates(["point"]), "sets")
-    roots = components(pairs.where(F.col("bits") <= tight)).where("node <> root")
+    close = met.where("point <> other").select(F.col("point").alias("a"), F.col("other").alias("b")).distinct()
+    roots = components(close).where("node <> root")
     stars = stored(verified(roots.select(F.col("node").alias("a"), F.col("root").alias("b")), sets, similarity), "stars")
-    groups = stars.select(F.col("a").alias("point"), F.col("b").alias("group"))
-    of_a, of_b = (groups.select(F.col("point").alias(c), F.col("group").alias(f"group_{c}")) for c in ("a", "b"))
-    apart = (
-        pairs.join(of_a, "a", "left").join(of_b, "b", "left")
-        .where(F.coalesce("group_a", "a") != F.coalesce("group_b", "b")).select("a", "b")
-    )
-    rest = stored(apart.union(across(dense, points, groups, loose)).distinct(), "rest")
-    return stars.union(verified(rest, sets, similarity))
+    return reduce(DataFrame.union, linked_in_rounds(met.select("key", "point"), sets, stars, similarity, chunk))
 
 
 def keep_one(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", shingle: int = STAGE_SHINGLE,
-             similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+             similarity: float = SIMILARITY, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
     """The documents, one of each group of near duplicates: that of the smallest id (then text hash).
 
     Near duplicates are linked where their distinct shingles have that Jaccard similarity, computed
@@ -549,7 +616,7 @@ def keep_one(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "
         made.groupBy("point").agg(F.min(place).alias("least"), F.min("sig").alias("sig"), F.min("few").alias("few")), "points"
     )
     links = stored(
-        similar_links(docs, points, id_column=id_column, text_column=text_column, shingle=shingle, similarity=similarity, block=block),
+        similar_links(docs, points, id_column=id_column, text_column=text_column, shingle=shingle, similarity=similarity, block=block, chunk=chunk),
         "links",
     )
     roots = components(links)
