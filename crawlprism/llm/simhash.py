@@ -525,21 +525,21 @@ def linked_in_rounds(lists: DataFrame, sets: DataFrame, stars: DataFrame, simila
     """Links (a, b) that join what the members of each key are joined by, beyond the links `stars`.
 
     Members that share a group need no comparison, so a key takes part only while its members are of
-    several groups. In each round a member's largest keys come first, twice as many as the round before;
+    several groups. In each round a member's largest keys come first, four times as many as the round before;
     their members are compared in tiles of at most two chunks, exactly and inside one task each, and the
     groups that link become one. Rows grow with members, never with pairs.
     """
-    links, every, turn = [stars], stars, 0
+    links, turn = [stars], 0
+    groups = stored(components(stars), "groups")
     lists = lists.withColumn("stage", F.lit(0))
     while True:
-        groups = stored(components(every), "groups")
         named = lists.join(groups.withColumnRenamed("node", "point"), "point", "left").select(
             "key", "point", "stage", F.coalesce("root", "point").alias("group")
         )
         mixed = named.groupBy("key").agg(F.min("group").alias("l"), F.max("group").alias("h"), F.count(F.lit(1)).alias("n"))
         lists = stored(named.join(mixed.where("l <> h").select("key", "n"), "key"), "lists")
         first = Window.partitionBy("point").orderBy(F.col("n").desc(), "key")
-        picked = lists.select("key", "n", "point").withColumn("r", F.row_number().over(first)).where(F.col("r") <= 1 << turn)
+        picked = lists.select("key", "n", "point").withColumn("r", F.row_number().over(first)).where(F.col("r") <= 4**turn)
         now = stored(lists.join(picked.select("key").distinct(), "key"), "members")
         stages = [r.stage for r in now.select("stage").distinct().collect()]
         if not stages:
@@ -556,8 +556,9 @@ def linked_in_rounds(lists: DataFrame, sets: DataFrame, stars: DataFrame, simila
 
         work = tiles.join(several, ["key", "tile"]).join(sets, "point").select("key", "tile", "point", "group", "set")
         made = stored(work.groupBy("key", "tile").applyInArrow(compare, "a long, b long"), "round")
-        links.append(made)
-        every = every.union(made)
+        if not made.isEmpty():
+            links.append(made)
+            groups = stored(components(reduce(DataFrame.union, links)), "groups")
         # A key of one tile, or after its last stage, is done.
         after = F.when(F.col("n") <= chunk, 3).otherwise(F.col("stage") + 1)
         chosen = now.select("key", F.lit(True).alias("chosen")).distinct()
