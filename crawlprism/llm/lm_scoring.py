@@ -11,15 +11,17 @@ The probability of a token v after u is smoothed towards the token's own:
 
     p(v) = (c(v) + 1) / (N + V + 1)        p(v | u) = (min(c(uv), c(u)) + MASS * p(v)) / (c(u) + MASS)
 
-The base score beside it takes exact counts of single tokens. They are sorted arrays broadcast with the
-filter. If filter and arrays measure more than `MOST_MODEL_BYTES`, nothing is broadcast: the documents'
-distinct grams are joined with the (quantised and exact) counts instead: without the filter's false
-positives, so `score` differs a little between the two ways.
+The base score beside it takes exact counts of single tokens. Filter and counts are kept in segments by
+the hash of the gram. While they measure at most `MOST_MODEL_BYTES` they are broadcast and probed where
+the texts are. Beyond that the probes travel instead: texts are laid into slices, the distinct grams of
+a slice go to the tasks of their segments, and the levels read there come back to the slice. Either
+way the same bits are probed and the same scores result.
 
 Defined cases: a null or empty text is the end token alone. Without training rows N and V are 0, all
-counts are 0, and p(v) is 1. A null id counts as the empty string for the hold-out; in the joined way
-documents are told apart by row, so repeated ids score each for itself. Hash collisions (64 bits)
-are taken as equal words. Only the named columns are read.
+counts are 0, and p(v) is 1. A null id counts as the empty string for the hold-out. Very long texts are
+slices of their own and read whole. Repeated rows each count in training and are scored each for itself.
+Hash collisions (64 bits) are taken as equal words. Only the named columns are read, others may have any
+names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from crawlprism.llm.common import hold_out, mix, stored, text_slices, word_hashes
@@ -105,12 +108,39 @@ def probability(pair, before, token, total: int, distinct: int):
     return np.log10((np.minimum(pair, before) + MASS * own) / (before + MASS))
 
 
-def places(keys: np.ndarray, level: int) -> Iterator[np.ndarray]:
-    """The bits of grams at a level, within their segment, one probe after the other."""
+def places(keys: np.ndarray, level: int, size: int = SEGMENT_BITS) -> Iterator[np.ndarray]:
+    """The bits of grams at a level, within their segment of `size` bits, one probe after the other."""
     h = mix(keys + np.uint64(level * _LEVEL & (1 << 64) - 1))
     step = (h >> np.uint64(32)) | _ONE
     for i in range(PROBES):
-        yield (h + np.uint64(i) * step) & np.uint64(SEGMENT_BITS - 1)
+        yield (h + np.uint64(i) * step) & np.uint64(size - 1)
+
+
+def read_levels(flat: np.ndarray, base: np.ndarray, keys: np.ndarray, size: int = SEGMENT_BITS) -> np.ndarray:
+    """The levels of keys whose segments, of `size` bits, begin at the bytes `base` of `flat`."""
+    found = np.zeros(len(keys), np.int64)
+    alive = np.arange(len(keys))
+    level = 0
+    while len(alive) and level < 64:  # no count reaches a 64th level
+        level += 1
+        held = np.ones(len(alive), bool)
+        for at in places(keys[alive], level, size):
+            byte = flat[base[alive] + (at >> np.uint64(3)).astype(np.int64)]
+            held &= (byte >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        alive = alive[held]
+        found[alive] = level
+    return found
+
+
+def segments_of(keys: np.ndarray, segments: int) -> np.ndarray:
+    return ((keys >> np.uint64(32)) % np.uint64(segments)).astype(np.int64)
+
+
+def exact_counts(sorted_keys: np.ndarray, counts: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    if not len(sorted_keys):
+        return np.zeros(len(keys), np.int64)
+    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    return np.where(sorted_keys[at] == keys, counts[at].astype(np.int64), 0)
 
 
 @dataclass
@@ -120,45 +150,66 @@ class Filter:
     bits: np.ndarray  # segments x bytes
 
     def segment(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys >> np.uint64(32)) % np.uint64(len(self.bits))).astype(np.int64)
+        return segments_of(keys, len(self.bits))
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
-        found = np.zeros(len(keys), np.int64)
-        flat, alive = self.bits.ravel(), np.arange(len(keys))
-        base = self.segment(keys) * (SEGMENT_BITS // 8)
-        level = 0
-        while len(alive) and level < 64:  # no count reaches a 64th level
-            level += 1
-            held = np.ones(len(alive), bool)
-            for at in places(keys[alive], level):
-                byte = flat[base[alive] + (at >> np.uint64(3)).astype(np.int64)]
-                held &= (byte >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-            alive = alive[held]
-            found[alive] = level
-        return found
-
-
-def filter_segments(counts: DataFrame, segments: int) -> DataFrame:
-    """(segment, bits): each segment is filled by one task from the grams that fall into it."""
+        width = self.bits.shape[1]
+        return read_levels(self.bits.ravel(), self.segment(keys) * width, keys, 8 * width)
+
+
+def filter_segments(counts: DataFrame, segments: int, size: int = SEGMENT_BITS) -> DataFrame:
+    """(segment, bits, keys, n): each segment is filled by one task from the grams that fall into it;
+    beside its bits the exact counts of its single tokens, sorted by key."""
     keyed = counts.select(
-        "key", _level().alias("level"), (F.shiftrightunsigned("key", 32) % segments).cast("int").alias("segment")
+        "key", "n", _level().alias("level"), (F.shiftrightunsigned("key", 32) % segments).cast("int").alias("segment")
     ).repartition("segment")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[int, np.ndarray] = {}
+        single: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for batch in batches:
-            keys = batch.column(0).to_numpy().view(np.uint64)
-            levels, where = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            keys, n = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            levels, where = batch.column(2).to_numpy(), batch.column(3).to_numpy()
             for s in np.unique(where).tolist():
-                bits = made.setdefault(s, np.zeros(SEGMENT_BITS // 8, np.uint8))
-                own, top = keys[where == s], levels[where == s]
+                bits = made.setdefault(s, np.zeros(size // 8, np.uint8))
+                at = where == s
+                own, top = keys[at], levels[at]
+                token = own & _ONE == 0
+                single.setdefault(s, []).append((own[token], n[at][token]))
                 for level in range(1, int(top.max()) + 1):
-                    for at in places(own[top >= level], level):
-                        np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+                    for place in places(own[top >= level], level, size):
+                        np.bitwise_or.at(bits, (place >> np.uint64(3)).astype(np.int64), np.uint8(1) << (place & np.uint64(7)).astype(np.uint8))
         for s, bits in made.items():
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([bits.tobytes()], pa.binary())], ["segment", "bits"])
-
-    return keyed.mapInArrow(run, "segment int, bits binary")
+            keys, n = map(np.concatenate, zip(*single[s]))
+            order = np.argsort(keys)
+            parts = [bits, keys[order], n[order]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([s], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in parts)], ["segment", "bits", "keys", "n"]
+            )
+
+    return keyed.mapInArrow(run, "segment int, bits binary, keys binary, n binary")
+
+
+class Grams:
+    """The tokens of some texts, with the distinct grams that are to be looked up."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        self.texts = len(offsets) - 1
+        self.rows, tokens, before, self.pairs = token_streams(data, offsets)
+        self.names, back = np.unique(np.append(tokens, START), return_inverse=True)
+        self.which = back[:-1]
+        self.context = back[np.where(before == START, len(tokens), np.arange(-1, len(tokens) - 1))]
+        self.names = np.where(self.names == START, END, self.names)  # as many starts as ends
+
+    def scores(self, exact: np.ndarray, names: np.ndarray, pairs: np.ndarray, total: int, distinct: int):
+        """n_tokens, n_known, base_score, score per text, from the exact counts and levels of the names and the
+        levels of the pairs."""
+        read, seen = middle(names, LEAST[0]), middle(pairs, LEAST[1])
+        logs = probability(seen, read[self.context], read[self.which], total, distinct)
+        own = exact[self.which]
+        base = np.log10((own + 1) / (total + distinct + 1))
+        count = lambda weights=None: np.bincount(self.rows, weights, self.texts)
+        return count(), count(own > 0).astype(np.int64), count(base), count(logs)
 
 
 @dataclass
@@ -171,30 +222,10 @@ class Model:
     keys: np.ndarray
     counts: np.ndarray
 
-    def exact(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(len(keys), np.int64)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.counts[at].astype(np.int64), 0)
-
     def score(self, data: np.ndarray, offsets: np.ndarray):
-        """n_tokens, n_known, base_score, score per text."""
-        n = len(offsets) - 1
-        rows, tokens, before, pairs = token_streams(data, offsets)
-        names, back = np.unique(np.append(tokens, START), return_inverse=True)
-        exact = self.exact(names)
-        read = middle(self.filter.levels(np.where(names == START, END, names)), LEAST[0])  # as many starts as ends
-        which = back[:-1]
-        context = back[np.where(before == START, len(tokens), np.arange(-1, len(tokens) - 1))]
-        seen = middle(self.filter.levels(pairs), LEAST[1])
-        logs = probability(seen, read[context], read[which], self.total, self.distinct)
-        base = np.log10((exact[which] + 1) / (self.total + self.distinct + 1))
-        return (
-            np.bincount(rows, minlength=n),
-            np.bincount(rows, weights=exact[which] > 0, minlength=n).astype(np.int64),
-            np.bincount(rows, weights=base, minlength=n),
-            np.bincount(rows, weights=logs, minlength=n),
-        )
+        grams = Grams(data, offsets)
+        exact = exact_counts(self.keys, self.counts, grams.names)
+        return grams.scores(exact, self.filter.levels(grams.names), self.filter.levels(grams.pairs), self.total, self.distinct)
 
 
 _RESULT = "n_tokens long, n_known long, base_score double, score double"
@@ -215,60 +246,72 @@ def _by_broadcast(read: DataFrame, model: Model) -> DataFrame:
     return read.mapInArrow(run, f"id {read.schema['id'].dataType.simpleString()}, {_RESULT}")
 
 
-def _by_join(read: DataFrame, counts: DataFrame, total: int, distinct: int) -> DataFrame:
-    """The same scores with shuffles: distinct (token, token before) of each document meet the counts of
-    the pair, of the token before and of the token; sums return to the document."""
+def _in_slice(texts: pa.Array) -> tuple[Grams, np.ndarray]:
+    """The grams of a slice and its distinct keys."""
+    column = pa.array(texts.to_pylist(), pa.large_string())
+    (_, _, data, offsets), *more = [*text_slices(column, 1 << 62)] or [(0, 0, np.empty(0, np.uint8), np.zeros(1, np.int64))]
+    grams = Grams(data, offsets)
+    return grams, np.unique(np.concatenate([grams.names, grams.pairs]))
+
+
+def _by_shuffle(read: DataFrame, filled: DataFrame, segments: int, total: int, distinct: int) -> DataFrame:
+    """The same with the probes sent to the segments, packed by slice and segment."""
     kind = read.schema["id"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slices = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for first, last, data, offsets in text_slices(batch.column(2)):
-                rows, tokens, before, pairs = token_streams(data, offsets)
-                order = np.lexsort((pairs, rows))
-                new = np.ones(len(order), bool)
-                new[1:] = (rows[order][1:] != rows[order][:-1]) | (pairs[order][1:] != pairs[order][:-1])
-                at = np.flatnonzero(new)
-                one = order[at]
-                many = np.diff(np.append(at, len(order)))
-                before = np.where(before == START, END, before)
+            for first, last, _, _ in text_slices(batch.column(1)):
+                ids, texts = (pa.ListArray.from_arrays(pa.array([0, last - first], pa.int32()), batch.column(i).slice(first, last - first)) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array([slices], pa.int64()), ids, texts], ["slice", "ids", "texts"])
+                slices += 1
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, texts in zip(batch.column(0).to_pylist(), batch.column(1)):
+                _, keys = _in_slice(texts.values)
+                where = segments_of(keys, segments)
+                order = np.argsort(where, kind="stable")
+                keys, where = keys[order], where[order]
+                at = np.flatnonzero(np.append(True, where[1:] != where[:-1]))
+                parts = [keys[s:e].tobytes() for s, e in zip(at.tolist(), [*at[1:].tolist(), len(keys)])]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(pa.array(rows[one] + first)),
-                        batch.column(1).take(pa.array(rows[one] + first)),
-                        *(pa.array(x[one].view(np.int64)) for x in (pairs, before, tokens)),
-                        pa.array(many.astype(np.int64)),
-                    ],
-                    ["id", "row", "pair", "before", "token", "many"],
+                    [pa.array(where[at].astype(np.int32)), pa.array([number] * len(at), pa.int64()), pa.array(parts, pa.binary())],
+                    ["segment", "slice", "asked"],
                 )
 
-    grams = stored(read.withColumn("row", F.monotonically_increasing_id()).select("id", "row", "text"), "texts").mapInArrow(
-        run, f"id {kind}, row long, pair long, before long, token long, many long"
-    )
-    single = counts.where(~_is_pair())
-    read_back = lambda name, least: (
-        F.when(F.col(name).isNull(), F.lit(0.0)).otherwise(
-            (least * F.pow(F.lit(2.0), F.col(name) - 1) + least * F.pow(F.lit(2.0), F.col(name)) - 1) / 2
-        )
-    )
-    met = (
-        grams.join(counts.where(_is_pair()).select(F.col("key").alias("pair"), _level().alias("l_pair")), "pair", "left")
-        .join(single.select(F.col("key").alias("before"), _level().alias("l_before")), "before", "left")
-        .join(single.select(F.col("key").alias("token"), _level().alias("l_token"), F.col("n").alias("n_token")), "token", "left")
-    )
-    own = (read_back("l_token", LEAST[0]) + 1) / F.lit(float(total + distinct + 1))
-    context = read_back("l_before", LEAST[0])
-    smoothed = F.log10((F.least(read_back("l_pair", LEAST[1]), context) + MASS * own) / (context + MASS))
-    exact = F.coalesce(F.col("n_token"), F.lit(0))
-    return met.groupBy("id", "row").agg(
-        F.sum("many").alias("n_tokens"),
-        F.sum(F.when(exact > 0, F.col("many")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("many") * F.log10((exact + 1) / F.lit(float(total + distinct + 1)))).alias("base_score"),
-        F.sum(F.col("many") * smoothed).alias("score"),
-    ).drop("row")
+    def answer(asked: pa.Table, segment: pa.Table) -> pa.Table:
+        slices = asked["slice"].to_pylist()
+        parts = [np.frombuffer(x, np.uint64) for x in asked["asked"].to_pylist()]
+        keys = np.concatenate([*parts, np.empty(0, np.uint64)])
+        if segment.num_rows:
+            bits, own, n = (np.frombuffer(segment[c][0].as_py(), t) for c, t in (("bits", np.uint8), ("keys", np.uint64), ("n", np.int64)))
+            levels = read_levels(bits, np.zeros(len(keys), np.int64), keys, 8 * len(bits))
+            exact = exact_counts(own, n, keys)
+        else:
+            levels = exact = np.zeros(len(keys), np.int64)
+        made = np.stack([keys.view(np.int64), levels, exact], axis=1)
+        ends = np.cumsum([len(x) for x in parts]).tolist()
+        rows = [made[e - len(x) : e].tobytes() for x, e in zip(parts, ends)]
+        return pa.table({"slice": pa.array(slices, pa.int64()), "answer": pa.array(rows, pa.binary())})
+
+    def finish(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        grams, _ = _in_slice(texts["texts"].chunk(0)[0].values)
+        known = np.frombuffer(b"".join(answers["answer"].to_pylist()), np.int64).reshape(-1, 3)
+        known = known[np.argsort(known[:, 0].view(np.uint64))]
+        at = lambda keys: np.searchsorted(known[:, 0].view(np.uint64), keys)
+        names, pairs = at(grams.names), at(grams.pairs)
+        values = grams.scores(known[names, 2], known[names, 1], known[pairs, 1], total, distinct)
+        return pa.table([texts["ids"].chunk(0)[0].values, *map(pa.array, values)], ["id", *_NAMES])
+
+    slices = stored(read.mapInArrow(cut, f"slice long, ids array<{kind}>, texts array<string>"), "slices")
+    asked = slices.select("slice", "texts").mapInArrow(ask, "segment int, slice long, asked binary")
+    answers = asked.groupBy("segment").cogroup(filled.groupBy("segment")).applyInArrow(answer, "slice long, answer binary")
+    return slices.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(finish, f"id {kind}, {_RESULT}")
 
 
 def score_texts(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text",
-                most_model_bytes: int = MOST_MODEL_BYTES) -> DataFrame:
+                most_model_bytes: int = MOST_MODEL_BYTES, segment_bits: int = SEGMENT_BITS) -> DataFrame:
     """Per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     held_out = hold_out(F.col(id_column), FOLDS) == HELD_OUT
     counted = count_grams(docs.where(~held_out), text_column=text_column)
@@ -279,21 +322,23 @@ def score_texts(docs: DataFrame, *, id_column: str = "doc_id", text_column: str
         F.sum(_level()).alias("entries"),
     ).first()
     total, distinct, entries = shape.total or 0, shape.distinct, shape.entries or 0
-    segments = max(1, -(-entries * BITS_PER_ENTRY // SEGMENT_BITS))
+    segments = max(1, -(-entries * BITS_PER_ENTRY // segment_bits))
     read = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    if segments * SEGMENT_BITS // 8 + 16 * distinct <= most_model_bytes:
-        bits = np.zeros((segments, SEGMENT_BITS // 8), np.uint8)
-        for row in filter_segments(counts, segments).toLocalIterator():
+    filled = filter_segments(counts, segments, segment_bits)
+    if segments * segment_bits // 8 + 16 * distinct <= most_model_bytes:
+        bits = np.zeros((segments, segment_bits // 8), np.uint8)
+        keys, n = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        for row in filled.toLocalIterator():
             bits[row.segment] = np.frombuffer(row.bits, np.uint8)
-        single = counts.where(~_is_pair()).select("key", "n").toArrow()
-        keys = single.column("key").to_numpy().view(np.uint64)
+            keys.append(np.frombuffer(row.keys, np.uint64))
+            n.append(np.frombuffer(row.n, np.int64))
+        keys, n = np.concatenate(keys), np.concatenate(n)
         order = np.argsort(keys)
-        n = single.column("n").to_numpy()[order]
-        n = n.astype(np.min_scalar_type(int(n.max(initial=0))))  # the narrowest type that holds every count
+        n = n[order].astype(np.min_scalar_type(int(n.max(initial=0))))  # the narrowest type that holds every count
         model = Model(total, distinct, Filter(bits), keys[order], n)
         scored = _by_broadcast(read, model)
     else:
-        scored = _by_join(read, counts, total, distinct)
+        scored = _by_shuffle(read, stored(filled, "filter"), segments, total, distinct)
     return scored.select(
         F.col("id").alias(id_column),
         (hold_out(F.col("id"), FOLDS) == HELD_OUT).alias("held_out"),
