@@ -17,6 +17,7 @@ from crawlprism.config import (
     REASON_UNREADABLE,
 )
 from crawlprism.functions.columns import any_of, col
+from crawlprism.functions.suffixes import SuffixTrie
 from crawlprism.functions.urls import full_host, registered_domain
 
 
@@ -86,6 +87,7 @@ def with_pixel(
     out: str = "pixel",
     signatures: Sequence[tuple[str, Sequence[str], Sequence[str]]] = PIXEL_SIGNATURES,
     allow_domain_only: bool = False,
+    rules: SuffixTrie | None = None,
 ) -> DataFrame:
     """Add struct(pixel_type, matched_domain, pattern) of the first signature that fits, else null.
 
@@ -113,7 +115,7 @@ def with_pixel(
         F.regexp_substr(host, hosts).alias("matched_domain"),
         F.get(confirmed, F.lit(0)).alias("pattern"),
     )
-    known = found.isNotNull() & registered_domain(address, brand_tld=False).isNotNull()
+    known = found.isNotNull() & registered_domain(address, brand_tld=False, rules=rules).isNotNull()
     return (
         df.withColumn("_host", full_host(url))
         .withColumn("_signature", F.when(host.rlike(domain_pattern(every)), label))

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from crawlprism.functions import suffixes
 from crawlprism.functions.columns import col
 
 # scheme, userinfo, then the host up to port, path, query or fragment.
 _HOST = r"^\s*(?:(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//)?(?:[^/?#]*@)?(\[[^\]]*\]|[^/?#:\s]*)"
-_IPV4 = r"^\d{1,3}(\.\d{1,3}){3}$"
+# Addresses are no names: IPv4, and IPv6 in brackets.
+_NO_NAME = r"^\[|^\d{1,3}(\.\d{1,3}){3}$"
 
-# Top-level names and second-level registry words of the compact default rules.
+# Top-level names and second-level registry words of the compact rules, which hold where
+# the session has no list of suffixes.
 GENERIC_TLDS = (
     "com", "net", "org", "edu", "gov", "mil", "int", "info", "biz", "name", "pro", "mobi", "asia",
     "jobs", "travel", "cat", "tel", "aero", "coop", "museum", "post", "xxx", "app", "dev", "page",
@@ -48,28 +51,32 @@ def _compact_pattern(brand_tld: bool) -> str:
     return rf"{label_start}{named}"
 
 
-def _cut(host: Column, suffix_len: Column, brand_tld: bool) -> Column:
-    labels = F.split(host, r"\.")
-    n = F.size(labels)
-    dotted = F.when(
-        n > suffix_len, F.array_join(F.slice(labels, n - suffix_len, suffix_len + 1), ".")
-    )
-    # A leading dot leaves an empty label: then there is no name in front of the suffix.
-    domain = F.when(~dotted.startswith("."), dotted)
-    if brand_tld:
-        bare = F.ltrim(host, F.lit("."))
-        only_suffix = (n == suffix_len) | (dotted == F.concat(F.lit("."), bare))
-        domain = F.coalesce(domain, F.when(only_suffix, bare))
-    return F.when((host != "") & ~host.rlike(_IPV4) & ~host.startswith("["), domain)
+def _name(host: Column, domain: Column) -> Column:
+    """The domain of a host; null for addresses and where it is empty."""
+    return F.when(~host.rlike(_NO_NAME) & (domain != ""), domain)
+
+
+def default_rules() -> suffixes.SuffixTrie | None:
+    """The rules that hold where none are given: those of the session's Java runtime, as far as they are
+    not private; None (the compact rules) where it brings no list."""
+    return suffixes.installed()
 
 
-def registered_domain(url: str | Column, brand_tld: bool = True) -> Column:
-    """Registrable domain (suffix plus one label) by the compact rules, lower-case.
+def registered_domain(url: str | Column, brand_tld: bool = True, rules: suffixes.SuffixTrie | None = None) -> Column:
+    """Registrable domain (public suffix plus one label), lower-case, by a trie of suffix rules.
 
-    Null for null, empty, IP and unparseable input. A host that is itself a suffix gives that
-    suffix with `brand_tld`, else null. Two regular expressions, evaluated in the scan stage.
+    Null for null, empty, IP and unparseable input. A host that is itself a suffix gives that suffix
+    with `brand_tld`, else null; of a host no rule names, the last label is the suffix if there is more
+    than one. One expression in the scan stage, no join; `with_registered_domain` is quicker for whole
+    tables. Without `rules`, see `default_rules`.
     """
-    return F.regexp_substr(full_host(url), F.lit(_compact_pattern(brand_tld)))
+    rules = rules or default_rules()
+    if rules is None:
+        return F.regexp_substr(full_host(url), F.lit(_compact_pattern(brand_tld)))
+    # Bound step by step as the element of an array, which keeps generated code small wherever this stands.
+    marked = F.transform(F.array(F.ltrim(full_host(url), F.lit("."))), lambda h: F.when(~h.rlike(_NO_NAME), rules.marked(h)))
+    found = F.transform(marked, lambda m: rules.registered(m, brand_tld))
+    return F.get(F.filter(found, lambda d: d != ""), F.lit(0))
 
 
 def read_suffix_rules(spark: SparkSession, path: str) -> DataFrame:
@@ -97,28 +104,40 @@ def with_registered_domain(
     url: str,
     out: str = "domain",
     *,
-    rules: DataFrame | None = None,
+    rules: DataFrame | suffixes.SuffixTrie | None = None,
     brand_tld: bool = True,
 ) -> DataFrame:
-    """Add the registrable domain, by a full rule table when one is given.
+    """Add the registrable domain, by a trie of rules or a rule table when one is given.
 
-    The table is applied to distinct hosts: each opens into its dot suffixes, of any depth, which meet
-    the rules; an exception beats a longer rule beats a shorter one, and a host that no rule names has
-    its last label as suffix. The hosts then join back to the rows. No hints: the measured sizes
-    decide which side, if any, is broadcast. Not for streams; those apply it batch by batch.
+    A table up to `suffixes.TRIE_BYTES` becomes a trie. A larger one is joined: distinct hosts open into
+    their dot suffixes, of any depth, which meet the rules; an exception beats a longer rule beats a
+    shorter one, and a host that no rule names has its last label as suffix. The hosts then join back
+    to the rows. No hints: the measured sizes decide which side, if any, is broadcast. Only that way is
+    not for streams.
     """
-    if rules is None:
-        return df.withColumn(out, registered_domain(url, brand_tld))
+    if isinstance(rules, DataFrame):
+        rules = suffixes.from_table(rules) or rules
+    if not isinstance(rules, DataFrame):
+        rules = rules or default_rules()
+        if rules is None:
+            return df.withColumn(out, registered_domain(url, brand_tld))
+        # In steps, so that generated code holds each of them once.
+        return (
+            df.withColumn("_host_of", F.ltrim(full_host(url), F.lit(".")))
+            .withColumn("_marked_of", rules.marked(F.col("_host_of")))
+            .withColumn("_domain_of", rules.registered(F.col("_marked_of"), brand_tld))
+            .select(*[F.col(c) for c in df.columns], _name(F.col("_host_of"), F.col("_domain_of")).alias(out))
+        )
     best = rules.groupBy("rule").agg(F.max(F.struct("rank", "suffix_labels")).alias("hit"))
-    work = df.withColumn("_host", full_host(url))
+    work = df.withColumn("_host", F.ltrim(full_host(url), F.lit(".")))
     hosts = work.select("_host").where(F.col("_host") != "").distinct()
     n = F.size(F.split(F.col("_host"), r"\."))
     hits = hosts.select("_host", F.explode(host_suffixes("_host")).alias("rule")).join(best, "rule")
     longest = hits.where(F.col("hit.suffix_labels") <= n).groupBy("_host").agg(F.max("hit").alias("hit"))
-    ruled = hosts.join(longest, "_host", "left").select(
-        "_host", F.coalesce("hit.suffix_labels", F.lit(1)).alias("_suffix_len")
-    )
-    domains = ruled.select("_host", _cut(F.col("_host"), F.col("_suffix_len"), brand_tld).alias("_domain_of"))
+    ruled = hosts.join(longest, "_host", "left").withColumn("_n", F.coalesce("hit.suffix_labels", F.when(n > 1, 1)))
+    cut = F.call_function("substring_index", F.concat(F.lit("!."), F.col("_host")), F.lit("."), -(F.col("_n") + 1))
+    cut = F.replace(cut, F.lit("!."), F.lit("")) if brand_tld else F.split_part(cut, F.lit("!."), F.lit(1))
+    domains = ruled.select("_host", _name(F.col("_host"), cut).alias("_domain_of"))
     return work.join(domains, "_host", "left").select(
         *[F.col(c) for c in df.columns], F.col("_domain_of").alias(out)
     )

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from crawlprism.config import EXTERNAL, FIRST_PARTY, INTER_FAMILY, UNKNOWN_TIER
 from crawlprism.functions.columns import col
-from crawlprism.functions.urls import registered_domain, with_registered_domain
+from crawlprism.functions.suffixes import SuffixTrie, from_table
+from crawlprism.functions.urls import with_registered_domain
+from crawlprism.session import fits_broadcast
 
 
 @dataclass(frozen=True)
@@ -63,12 +66,14 @@ def entity_children(tree: DataFrame, path: str = "path") -> DataFrame:
 
 
 def visit_domains(
-    visits: DataFrame, keys: tuple[str, ...] = ("profile", "visit_id"), url: str = "site_url"
+    visits: DataFrame,
+    keys: tuple[str, ...] = ("profile", "visit_id"),
+    url: str = "site_url",
+    rules: DataFrame | SuffixTrie | None = None,
 ) -> DataFrame:
-    """Registered domain of the visited site, one row per visit."""
-    return visits.groupBy(*keys).agg(
-        F.max(registered_domain(url)).alias("visit_domain")
-    )
+    """Registered domain of the visited site, one row per visit, by the rules that the requests go by."""
+    named = with_registered_domain(visits, url, "_site_domain", rules=rules)
+    return named.groupBy(*keys).agg(F.max("_site_domain").alias("visit_domain"))
 
 
 def with_owner(
@@ -114,24 +119,37 @@ def enrich(
     domain_column: str,
     context_column: str | None = None,
     visit_keys: tuple[str, ...] = ("profile", "visit_id"),
-    suffix_rules: DataFrame | None = None,
+    suffix_rules: DataFrame | SuffixTrie | None = None,
     keep_context: bool = False,
 ) -> DataFrame:
     """Add domain, subsidiary_entity, parent_entity, relationship_tier and is_technical_3p.
 
-    The page's domain comes from the context column, else from the visit. Where either side stays
-    unresolved the labels are '' and the tier is unknown.
+    The page's domain comes from the context column, else from the visit; all three go by the same
+    suffix rules. Where either side stays unresolved the labels are '' and the tier is unknown.
     """
+    if isinstance(suffix_rules, DataFrame):
+        suffix_rules = from_table(suffix_rules) or suffix_rules
     base = with_registered_domain(df, domain_column, "_domain", rules=suffix_rules)
-    site = visit_domains(visits, visit_keys)
-    if context_column is not None and context_column in df.columns:
+    site = visit_domains(visits, visit_keys, rules=suffix_rules)
+    has_context = context_column is not None and context_column in df.columns
+    if has_context:
         base = with_registered_domain(base, context_column, "_context", rules=suffix_rules)
+    if fits_broadcast(visits.select(*visit_keys, "site_url")):
+        joined = base.join(F.broadcast(site), list(visit_keys), "left")
+        base = joined.withColumn("_top", F.coalesce("_context", "visit_domain") if has_context else F.col("visit_domain"))
+    elif has_context and not df.isStreaming:
         # Only rows without a page of their own look their visit up; the others are not shuffled for it.
         own = base.where(F.col("_context").isNotNull()).withColumn("_top", F.col("_context"))
         other = base.where(F.col("_context").isNull()).join(site, list(visit_keys), "left")
         base = own.unionByName(other.withColumn("_top", F.col("visit_domain")).drop("visit_domain"))
     else:
-        base = base.join(site, list(visit_keys), "left").withColumn("_top", F.col("visit_domain"))
+        base = base.join(site, list(visit_keys), "left")
+        base = base.withColumn("_top", F.coalesce("_context", "visit_domain") if has_context else F.col("visit_domain"))
+    return with_tiers(base, df.columns, index, keep_context=keep_context)
+
+
+def with_tiers(base: DataFrame, columns: Sequence[str], index: DataFrame, *, keep_context: bool = False) -> DataFrame:
+    """Owners and tier of rows whose own domain is in `_domain` and whose page's is in `_top`."""
     labelled = with_owner(with_owner(base, index, "_domain", "_r_"), index, "_top", "_t_")
     technical, by_sub, by_parent = relationship_flags(
         "_domain", "_r_subsidiary_entity", "_r_parent_entity",
@@ -145,7 +163,7 @@ def enrich(
         else []
     )
     return labelled.select(
-        *[F.col(c) for c in df.columns],
+        *[F.col(c) for c in columns],
         F.coalesce("_domain", F.lit("")).alias("domain"),
         F.when(known, F.col("_r_subsidiary_entity")).otherwise("").alias("subsidiary_entity"),
         F.when(known, F.col("_r_parent_entity")).otherwise("").alias("parent_entity"),

@@ -23,8 +23,10 @@ from crawlprism.functions.columns import (
     round_to,
 )
 from crawlprism.functions.labels import with_pixel
+from crawlprism.functions.suffixes import SuffixTrie
 from crawlprism.functions.urls import full_host, host_suffixes, registered_domain
 from crawlprism.operators.common import with_share
+from crawlprism.session import written
 
 SITE_KEYS = ("profile", "top_level_parent_entity")
 
@@ -50,10 +52,10 @@ def match_rule_domains(df: DataFrame, url: str, rules: DataFrame) -> DataFrame:
     ).drop("_suffix")
 
 
-def page_owners(enriched: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def page_owners(enriched: DataFrame, by: Sequence[str] = (), rules: SuffixTrie | None = None) -> DataFrame:
     """One owner per page URL: that of a request to the page's own domain, else the smallest. Requests
     of unknown owner (an empty name) have no say."""
-    own = F.coalesce(F.col("domain") == registered_domain("top_level_url"), F.lit(False))
+    own = F.coalesce(F.col("domain") == registered_domain("top_level_url", rules=rules), F.lit(False))
     keys = [*by, "top_level_url"]
     return (
         enriched.where(F.col("top_level_url").isNotNull() & (F.col("parent_entity") != ""))
@@ -72,13 +74,14 @@ def pixel_hits(
     by: Sequence[str] = ("profile",),
     signatures=PIXEL_SIGNATURES,
     allow_domain_only: bool = False,
+    rules: SuffixTrie | None = None,
 ) -> DataFrame:
     """One row per request that fires an advertising pixel, with the owners on both sides.
 
-    Requests are classified in the scan stage and only the few hits are shuffled.
+    Requests are classified in the scan stage and the few hits are written, then shuffled.
     """
     hits = (
-        with_pixel(enriched, "url", "_hit", signatures, allow_domain_only)
+        with_pixel(enriched, "url", "_hit", signatures, allow_domain_only, rules)
         .where(F.col("_hit").isNotNull())
         .select(
             *by,
@@ -94,9 +97,10 @@ def pixel_hits(
             "is_technical_3p",
         )
     )
-    # Owners are worked out for the pages that have hits, not for all pages of the crawl.
+    # Requests are classified once; owners are worked out for the pages that have hits, not for all pages.
+    hits = written(hits, "pixel_hits")
     pages = hits.select(*by, "top_level_url").distinct()
-    owners = page_owners(enriched.join(pages, [*by, "top_level_url"], "left_semi"), by).withColumnRenamed(
+    owners = page_owners(enriched.join(pages, [*by, "top_level_url"], "left_semi"), by, rules).withColumnRenamed(
         "page_parent_entity", "top_level_parent_entity"
     )
     return hits.join(owners, [*by, "top_level_url"], "left")

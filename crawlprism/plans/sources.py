@@ -446,6 +446,44 @@ register(
 )
 
 
+def _late_visits(t: Roles):
+    """Cookies whose visits come in later files than they, in earlier ones, or never; a row and a visit
+    at the end of time let the watermark pass all others."""
+    rows, visits, out, checkpoint = (scratch(t, n) for n in ("late-rows", "late-visits", "late-out", "late-checkpoint"))
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("c_custkey") * 60)
+    profile = F.lower("c_mktsegment").alias("profile")
+    host = F.concat(F.lit("a.site"), F.col("c_custkey"), F.lit(".gob.mx"))
+    calls = t.table("customer").select(profile, F.col("c_custkey").alias("visit_id"), host.alias("host"), at.alias("at"))
+    site = F.concat(F.lit("https://www.site"), F.col("c_custkey") + F.when(F.col("c_custkey") % 3 == 0, 1).otherwise(0), F.lit(".gob.mx/"))
+    seen = t.table("customer").where("c_custkey % 5 <> 0").select(
+        profile, F.col("c_custkey").alias("visit_id"), site.alias("site_url"),
+        (at + F.when(F.col("c_custkey") % 2 == 0, F.expr("INTERVAL 20 MINUTES")).otherwise(F.expr("INTERVAL -20 MINUTES"))).alias("seen_at"),
+    )
+    end = F.timestamp_seconds(F.lit(1_900_000_000))
+    for df, path, last in (
+        (calls, rows, [F.lit("end"), F.lit(-1).cast("long"), F.lit("x.com"), end]),
+        (seen, visits, [F.lit("end"), F.lit(-2).cast("long"), F.lit("https://x.com/"), end]),
+    ):
+        for part in range(3):
+            df.where(F.col("visit_id") % 3 == part).coalesce(1).write.mode("append").parquet(path)
+        t.spark.range(1).select(*[c.alias(n) for c, n in zip(last, df.columns)]).write.mode("append").parquet(path)
+    streams = [t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", n).parquet(p) for df, p, n in ((calls, rows, 4), (seen, visits, 4))]
+    incremental.enrich_late_stream(
+        streams[0], t.index, streams[1], enrich.EnrichmentTarget("cookies", "host", None), out, checkpoint, row_time="at", visit_time="seen_at"
+    ).awaitTermination()
+    return t.spark.read.schema("profile string, visit_id long, domain string, relationship_tier string").parquet(out).where("visit_id >= 0").select(
+        "visit_id", "domain", "relationship_tier"
+    )
+
+
+register(
+    "l2_late_visits",
+    _late_visits,
+    """SELECT c_custkey AS visit_id, 'site' || c_custkey || '.gob.mx' AS domain, CASE WHEN c_custkey % 5 = 0 THEN 'unknown'
+      WHEN c_custkey % 3 = 0 THEN 'external third-party' ELSE 'first-party' END AS relationship_tier FROM customer""",
+)
+
+
 def _stream_labels(t: Roles):
     """Documents that arrive twice, in different files, without those assigned elsewhere."""
     path, out, checkpoint = (scratch(t, n) for n in ("label-arrivals", "label-out", "label-checkpoint"))
@@ -478,7 +516,7 @@ def _tier_stream(t: Roles):
     t.scripts.write.parquet(path)
     arrivals = t.spark.readStream.schema(t.scripts.schema).option("maxFilesPerTrigger", 2).parquet(path)
     incremental.tier_count_stream(arrivals, out, checkpoint).awaitTermination()
-    return t.spark.read.parquet(out)
+    return incremental.read_tier_counts(t.spark, out)
 
 
 register(

@@ -67,6 +67,22 @@ register(
     _by_rules,
     f"SELECT page_id, list_extract({list(_DOMAINS)}, CAST(page_id % {len(_DOMAINS)} + 1 AS INT)) AS domain FROM pages",
 )
+# Hosts below names of the public list: registries, wildcards, an exception, a name that is private there.
+_PUBLIC_TAILS = ("x.gob.mx", "x.y.com.co", "a.b.kawasaki.jp", "a.city.kawasaki.jp", "n.nhs.uk", "b.github.io", "w.www.ck", "v.w.ck")
+_PUBLIC_DOMAINS = ("x.gob.mx", "y.com.co", "a.b.kawasaki.jp", "city.kawasaki.jp", "n.nhs.uk", "github.io", "www.ck", "v.w.ck")
+
+
+def _by_public_list(t):
+    tail = F.element_at(F.array(*[F.lit(x) for x in _PUBLIC_TAILS]), (F.col("page_id") % len(_PUBLIC_TAILS) + 1).cast("int"))
+    pages = t.table("pages").select("page_id", F.concat(F.lit("https://"), full_host("url"), F.lit("."), tail, F.lit("/p")).alias("u"))
+    return with_registered_domain(pages, "u").select("page_id", "domain", registered_domain("u", brand_tld=False).alias("strict"))
+
+
+register(
+    "b1_b2_registered_domain_public_list",
+    _by_public_list,
+    f"SELECT page_id, list_extract({list(_PUBLIC_DOMAINS)}, CAST(page_id % {len(_PUBLIC_DOMAINS)} + 1 AS INT)) AS domain, domain AS strict FROM pages",
+)
 register(
     "b3_full_host",
     lambda t: t.table("pages").select("page_id", full_host("url").alias("host")),

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME_CONF = {
     # Skewed join keys (one owner, visit or host with a third of the rows) are split at run time,
@@ -55,6 +56,26 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_folder[app]
 
 
+def fits_broadcast(df: DataFrame) -> bool:
+    """Whether a frame may be sent whole to every executor: its size as Spark measures it (files, or
+    their share by the columns read), times five for what compression hides, is within the session's
+    threshold. Beyond it, leave the join to Spark."""
+    spark = df.sparkSession
+    if not hasattr(df, "_jdf"):
+        return False
+    threshold = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    measured = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(measured)) * 5 <= threshold
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The frame, written to the shared folder and read back: for a small result that several branches
+    of a plan need and that is dear to work out. Survives lost executors."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/written-{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _local_folder: dict[str, str] = {}
 _shipped: set[str] = set()
 

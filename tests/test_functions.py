@@ -1,6 +1,7 @@
 """Scalar functions on the awkward values."""
 
 import math
+import random
 from itertools import combinations
 from math import comb
 
@@ -16,6 +17,7 @@ from crawlprism.functions.probability import (
     mann_whitney_exact,
 )
 from crawlprism.functions.text import clean_text, contains_any, first_category, squeeze
+from crawlprism.functions import suffixes
 from crawlprism.functions.urls import (
     full_host,
     host_suffixes,
@@ -42,7 +44,21 @@ URLS = {
     "news.email": ("news.email", "news.email"),
     "https://x.y.xn--p1ai/": ("y.xn--p1ai", "y.xn--p1ai"),
     "10.0.0.1": (None, None),
-    "data:image/png;base64,aa": (None, None),
+    "data:image/png;base64,aa": ("data", None),  # a top-level name of its own
+    "http://a.b.gob.mx/": ("b.gob.mx", "b.gob.mx"),
+    "x.com.co": ("x.com.co", "x.com.co"),
+    "https://a.b.c.kawasaki.jp/": ("b.c.kawasaki.jp", "b.c.kawasaki.jp"),
+    "a.city.kawasaki.jp": ("city.kawasaki.jp", "city.kawasaki.jp"),
+    "kawasaki.jp": ("kawasaki.jp", "kawasaki.jp"),
+    "www.ck": ("www.ck", "www.ck"),
+    "a.b.ck": ("a.b.ck", "a.b.ck"),
+    "b.ck": ("b.ck", None),
+    "ck": ("ck", None),
+    "nhs.uk": ("nhs.uk", None),
+    "a.nhs.uk": ("a.nhs.uk", "a.nhs.uk"),
+    "a.b.github.io": ("github.io", "github.io"),  # private suffixes do not count
+    "x.pvt.k12.ma.us": ("x.pvt.k12.ma.us", "x.pvt.k12.ma.us"),
+    "a.b.unlisted": ("b.unlisted", "b.unlisted"),
     "co.uk": ("co.uk", None),
     "http://x.y.z.de/?u=http://other.com": ("z.de", "z.de"),
     "//cdn.foo.net/a": ("foo.net", "foo.net"),
@@ -61,7 +77,7 @@ def test_registered_domain(spark):
     assert got == URLS
 
 
-def test_registered_domain_by_rule_file(spark, tmp_path):
+def test_registered_domain_by_rule_file(spark, tmp_path, monkeypatch):
     rules = tmp_path / "rules.txt"
     rules.write_text("// comment\n\ncom\nuk\nco.uk\n*.ck\n!www.ck\nck\na.b.c.d.e.uk\n")
     table = read_suffix_rules(spark, str(rules))
@@ -77,8 +93,48 @@ def test_registered_domain_by_rule_file(spark, tmp_path):
         "https://10.0.0.1/": None,
     }
     df = spark.createDataFrame([(u,) for u in cases], "u string")
-    got = {r.u: r.domain for r in with_registered_domain(df, "u", rules=table).collect()}
-    assert got == cases
+    for most in (suffixes.TRIE_BYTES, 0):  # as a trie, and joined
+        monkeypatch.setattr(suffixes, "TRIE_BYTES", most)
+        got = {r.u: r.domain for r in with_registered_domain(df, "u", rules=table).collect()}
+        assert got == cases
+        strict = {r.u: r.domain for r in with_registered_domain(df, "u", rules=table, brand_tld=False).collect()}
+        assert strict == cases | {"https://foo.ck": None}
+    plan = with_registered_domain(df, "u", rules=suffixes.from_table(table) or suffixes.from_list(rules.read_text().splitlines()))
+    assert "Join" not in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
+def longest_rule(host: str, rules: list[str]) -> str | None:
+    """The registered domain by the public suffix algorithm, rule by rule."""
+    labels = host.split(".")
+    best, exception = int(len(labels) > 1 or f"*.{host}" in rules), 0
+    for rule in rules:
+        parts = rule.removeprefix("!").split(".")
+        if len(parts) <= len(labels) and all(p in ("*", x) for p, x in zip(reversed(parts), reversed(labels))):
+            if rule.startswith("!"):
+                exception = max(exception, len(parts) - 1)
+            else:
+                best = max(best, len(parts))
+    n = exception or best
+    return None if not n else ".".join(labels[-n - 1 :])
+
+
+def test_trie_equals_the_suffix_algorithm(spark):
+    pick = random.Random(4)
+    names = ["a", "b", "c", "d"]
+    for _ in range(12):
+        some = {".".join(pick.choice(names) for _ in range(pick.randrange(1, 5))) for _ in range(12)}
+        rules = [pick.choice(["", "", "*."]) + r for r in some]
+        rules += ["!" + pick.choice(names) + "." + r[2:] for r in rules if r.startswith("*.") and pick.random() < 0.5]
+        trie = suffixes.SuffixTrie.of(rules)
+        hosts = sorted({".".join(pick.choice(names) for _ in range(pick.randrange(1, 8))) for _ in range(120)})
+        df = spark.createDataFrame([(h,) for h in hosts], "h string")
+        got = [r.d for r in df.select(registered_domain("h", rules=trie).alias("d")).collect()]
+        assert got == [longest_rule(h, rules) for h in hosts], rules
+
+
+def test_private_rules_are_left_out_unless_asked_for():
+    lines = ["// ===BEGIN ICANN DOMAINS===", "com", "// ===END ICANN DOMAINS===", "// ===BEGIN PRIVATE DOMAINS===", "blog.com", "// ===END PRIVATE DOMAINS==="]
+    assert suffixes.from_list(lines).depth == 1 and suffixes.from_list(lines, private=True).depth == 2
 
 
 def test_hosts(spark):
