@@ -15,6 +15,7 @@ from crawlprism.functions.columns import (
     sig_marker,
     third_party,
 )
+from crawlprism.functions.grams import with_matches
 from crawlprism.functions.probability import (
     chi2_sf,
     fisher_p,
@@ -151,6 +152,10 @@ def tested_2x2(tables: DataFrame, yates: bool = True) -> DataFrame:
     )
 
 
+#: Lists of substrings up to this length are cheaper to walk than to index.
+WALKED = 32
+
+
 def presence_tables(
     requests: DataFrame,
     profile_a: str,
@@ -163,22 +168,28 @@ def presence_tables(
     """2x2 visit counts for every tracker from one scan of the requests.
 
     Each request yields only the trackers it matches. `match` is a literal substring, a LIKE
-    substring in which `%` and `_` keep their meaning, or equality (for owner columns).
+    substring in which `%` and `_` keep their meaning, or equality (for owner columns). Up to
+    `WALKED` substrings are tested one after the other; more are found by an index of their rarest
+    q-grams, with the same rows.
     """
     check_choice("match", match, ("contains", "like", "equals"))
-    text = F.col(column)
+    text, trackers = F.col(column), list(dict.fromkeys(trackers))
     rows = requests.where(F.col("profile").isin(profile_a, profile_b))
-    listed = F.array(*[F.lit(t) for t in trackers])
-
-    def hit(t: Column) -> Column:
-        if match == "contains":
-            return text.contains(t)
-        if match == "like":
-            return F.like(text, F.concat(F.lit("%"), t, F.lit("%")))
-        return text == t
-
+    table = requests.sparkSession.createDataFrame([(t,) for t in trackers], "tracker string")
+    used = rows.select("profile", "visit_id", text.alias("_text"))
+    if match == "equals":
+        met = used.join(table, F.col("_text") == F.col("tracker"))
+    elif len(trackers) <= WALKED:
+        listed = F.array(*[F.lit(t) for t in trackers])
+        hit = {
+            "contains": lambda t: F.col("_text").contains(t),
+            "like": lambda t: F.like(F.col("_text"), F.concat(F.lit("%"), t, F.lit("%"))),
+        }[match]
+        met = used.select("profile", "visit_id", F.explode(F.filter(listed, hit)).alias("tracker"))
+    else:
+        met = with_matches(used, "_text", trackers, "tracker", like=match == "like")
     found = (
-        rows.select("profile", "visit_id", F.explode(F.filter(listed, hit)).alias("tracker"))
+        met.select("profile", "visit_id", "tracker")
         .distinct()
         .groupBy("tracker")
         .agg(
@@ -194,7 +205,6 @@ def presence_tables(
             count_if(F.col("profile") == profile_b).alias("_nb"),
         )
     )
-    table = requests.sparkSession.createDataFrame([(t,) for t in trackers], "tracker string")
     zero = F.lit(0).cast("long")
     sizes = totals.select(F.struct("_na", "_nb").alias("s"))
     return (

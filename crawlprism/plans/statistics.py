@@ -63,6 +63,27 @@ register(
 )
 
 
+# Ten thousand patterns: the hosts of suppliers that are there, of many that are not, and LIKE forms of them.
+_MANY = tuple(f"supplier{n:09d}.com" for n in range(1, 10_001))
+_MANY_CTES = f"""p AS (SELECT 'supplier' || lpad(n::VARCHAR, 9, '0') || '.com' AS host FROM range(1, 10001) r(n)),
+    v AS (SELECT DISTINCT profile, visit_id, regexp_extract(url, 'supplier[0-9]{{9}}[.]com') AS host FROM enriched WHERE profile IN ('{A}','{B}')),
+    n AS (SELECT count(DISTINCT visit_id) FILTER (profile = '{A}') AS na, count(DISTINCT visit_id) FILTER (profile = '{B}') AS nb FROM v)"""
+
+
+def _many_sql(name: str) -> str:
+    body = f"""SELECT {name} AS tracker, count(visit_id) FILTER (profile = '{A}') AS a, any_value(na) - a AS b, count(visit_id) FILTER (profile = '{B}') AS c,
+      any_value(nb) - c AS d FROM n, p LEFT JOIN v USING (host) GROUP BY host"""
+    return with_ctes(body, "enriched", extra=_MANY_CTES)
+
+
+register("c14_presence_many_trackers", lambda t: stats.presence_tables(t.requests, A, B, _MANY), _many_sql("host"))
+register(
+    "c14_presence_many_like",
+    lambda t: stats.presence_tables(t.requests, A, B, [x.replace("supplier", "s_pplier%") for x in _MANY], match="like"),
+    _many_sql("replace(host, 'supplier', 's_pplier%')"),
+)
+
+
 def _tests(correction: str) -> str:
     corrected = (
         "least(p * count(*) OVER (), 1.0)"

@@ -1,12 +1,14 @@
 """Ranks, percentiles and tests against brute force."""
 
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from crawlprism.config import Study
+from crawlprism.functions import grams
 from crawlprism.operators import ranks, reports, stats
 
 STUDY = Study(profiles=("a", "b", "c"))
@@ -116,6 +118,33 @@ def test_presence(spark):
     assert lonely.p_value == 1.0 and lonely.n_observations == 0 and not lonely.reject_null
 
 
+@pytest.mark.parametrize("match", ["contains", "like", "equals"])
+def test_presence_by_index_equals_the_walk(spark, monkeypatch, match):
+    """Short, shared, overlapping and empty patterns, wildcards and escapes, null and short texts."""
+    pick = random.Random(11)
+    letters = "ab.%_\\c"
+    word = lambda n: "".join(pick.choice(letters) for _ in range(pick.randrange(n)))
+    texts = [word(14) for _ in range(200)] + [None, "", "a"]
+    rows = [(pick.choice("ab"), v % 60, t) for v, t in enumerate(texts)]
+    patterns = sorted({word(7) for _ in range(80)} | {"", "a", "aaaa", "%", "a_c"})
+    if match == "like":  # a lone backslash at the end is no valid pattern
+        patterns = [p for p in patterns if re.fullmatch(r"(?s)(?:\\[%_\\]|[^\\])*", p)]
+    df = spark.createDataFrame(rows, "profile string, visit_id long, url string")
+    found = []
+    for walked in (10_000, 0):
+        monkeypatch.setattr(stats, "WALKED", walked)
+        found.append(sorted(map(tuple, stats.presence_tables(df, "a", "b", patterns, match=match).collect())))
+    assert found[0] == found[1] and len(found[0]) == len(patterns)
+    if match == "contains":
+        for p, a, *_ in found[0]:
+            assert a == len({v for who, v, t in rows if who == "a" and t is not None and p in t})
+
+
+def test_anchors_are_the_rarest_grams():
+    got = grams.anchors(["ads.com", "clic.com", "cli", "%", "x%", "a\\%b_"], like=True)
+    assert got["%"] == "" and got["x%"] == "x" and got["a\\%b_"] == "a%b" and ".com" not in got.values()
+
+
 def test_category_pvalues(spark):
     rows = [("a", "x", 50), ("a", "y", 50), ("b", "x", 90), ("b", "y", 10), ("c", "z", 5)]
     df = spark.createDataFrame(rows, "profile string, category string, n_ads long")
