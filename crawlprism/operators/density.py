@@ -7,7 +7,7 @@
 2. A point's core distance reaches a weight of `min_topic_size`; the length of an edge is the largest of
    its distance and the core distances of its ends (mutual reachability), so sparse points are far
    from everything. The minimum spanning forest holds all that matters of these edges.
-3. Thresholds at quantiles of the forest's lengths give components at every level, in one run for all
+3. Thresholds at quantiles of the forest's lengths and below their largest gaps give components at every level, in one run for all
    levels. Components of at least `min_topic_size` form a tree (smaller ones are dust that falls off):
    a chain of levels over which a component only gains or loses dust is one cluster, until it meets
    another. Its stability sums its size over the density (one over length) it lasts through.
@@ -31,6 +31,7 @@ LEAF = 1024
 TABLES = 8
 LEVELS = 24
 _EXTRA = 8
+_FINE = 1000
 
 
 def _points(df: DataFrame, vector: str) -> DataFrame:
@@ -118,11 +119,22 @@ def reachability(points: DataFrame, near: DataFrame, min_weight: int) -> DataFra
     return edges.groupBy("a", "b").agg(F.min("w").alias("w"))
 
 
+def level_cuts(forest: DataFrame, levels: int) -> list[float]:
+    """At most `levels` lengths to cut the forest at: half at even quantiles, half where the next longer
+    one is many times as long, out of `_FINE` quantiles."""
+    fine = forest.agg(F.percentile_approx("w", [(i + 1) / _FINE for i in range(_FINE)], 10 * _FINE).alias("c")).first().c
+    if not fine:
+        return []
+    half = max(1, levels // 2)
+    even = {fine[(i + 1) * _FINE // half - 1] for i in range(half)}
+    rise = sorted(range(_FINE - 1), key=lambda i: (-fine[i + 1] / max(fine[i], 1e-9), i))
+    return sorted(even | {fine[i] for i in rise[: levels - half]})
+
+
 def condensed(points: DataFrame, forest: DataFrame, min_weight: int, levels: int = LEVELS) -> DataFrame:
     """(pid, cluster): the chosen cluster of every point that is in one."""
     forest = written(forest, "tree")
-    cuts = forest.agg(F.percentile_approx("w", [(i + 1) / levels for i in range(levels)], 10_000).alias("c")).first().c
-    cuts = sorted(set(cuts or []))
+    cuts = level_cuts(forest, levels)
     if not cuts:
         return points.select("pid", F.lit(0).cast("long").alias("cluster")).limit(0)
     top = len(cuts)  # the level of the whole table

@@ -21,7 +21,7 @@ from crawlprism.functions.urls import (
     registered_domain,
     with_registered_domain,
 )
-from crawlprism.operators import reports, topics
+from crawlprism.operators import density, reports, topics
 from crawlprism.operators.common import top_per_group
 from crawlprism.plans.registry import register
 from crawlprism.plans.roles import STUDY, profile_of, with_ctes
@@ -325,8 +325,11 @@ def _corpus(t):
 
 
 def _with_topics(t):
-    """Documents with a topic number: the label of the vector with their id, else the outlier."""
-    vectors = t.table("embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").alias("topic"))
+    """Documents with the topic of the vector with their id, else the outlier topic. Topics are those
+    of the fit by density, named by their smallest label."""
+    fitted = _fitted(t)
+    names = fitted.where("topic >= 0").groupBy("topic").agg(F.min("label").alias("name"))
+    vectors = fitted.join(names, "topic", "left").select(F.col("vec_id").alias("doc_id"), F.coalesce("name", F.lit(-1)).alias("topic"))
     return t.table("documents").join(vectors, "doc_id", "left").select(
         profile_of("doc_id").alias("profile"),
         clean_text("text").alias("ocr_text"),
@@ -334,7 +337,37 @@ def _with_topics(t):
     )
 
 
-_TOPICS = f"""corpus AS (SELECT list_extract([{", ".join(f"'{p}'" for p in STUDY.profiles)}], CAST(doc_id % 5 + 1 AS INTEGER)) AS profile, {_CLEAN} AS ocr_text, coalesce(label, -1) AS topic
+def _fitted(t):
+    """Vectors drawn together by label, every tenth cast far away, and their topics by density."""
+    return t.stored("density_topics", lambda: _density_topics(t))
+
+
+def _density_topics(t):
+    near = F.transform("embedding", lambda x: (x * 0.3).cast("double"))
+    axis = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.when(i == F.col("label"), 4.0).otherwise(0.0))
+    far = F.transform("embedding", lambda x: (x * 40).cast("double"))
+    vector = F.when(F.col("vec_id") % 10 == 0, F.concat(far, F.array_repeat(F.lit(0.0), 10))).otherwise(F.concat(near, axis))
+    rows = t.table("embeddings").select("vec_id", "label", vector.alias("vector"))
+    return density.fit_density_topics(rows, "vector", 10).select("vec_id", "label", "topic")
+
+
+register(
+    "j4_density_topics",
+    lambda t: _fitted(t).groupBy("label", (F.col("topic") < 0).alias("outlier")).agg(
+        F.count("*").alias("n_vectors"), F.count_distinct("topic").alias("n_topics"), F.count_distinct("vec_id").alias("n_ids")
+    ),
+    "SELECT label, vec_id % 10 = 0 AS outlier, count(*) AS n_vectors, 1 AS n_topics, count(DISTINCT vec_id) AS n_ids FROM embeddings GROUP BY 1, 2",
+)
+register(
+    "j4_density_topic_order",
+    lambda t: _fitted(t).where("topic >= 0").groupBy("topic").agg(F.count("*").alias("n")).agg(
+        F.sort_array(F.collect_list(F.struct("topic", "n"))).alias("l")
+    ).select(F.size("l").alias("n_topics"), F.forall(F.sequence(F.lit(1), F.size("l") - 1), lambda i: F.get("l", i)["n"] <= F.get("l", i - 1)["n"]).alias("by_size")),
+    "SELECT count(DISTINCT label) AS n_topics, true AS by_size FROM embeddings WHERE vec_id % 10 <> 0",
+)
+
+
+_TOPICS = f"""corpus AS (SELECT list_extract([{", ".join(f"'{p}'" for p in STUDY.profiles)}], CAST(doc_id % 5 + 1 AS INTEGER)) AS profile, {_CLEAN} AS ocr_text, coalesce(CASE WHEN vec_id % 10 <> 0 THEN label END, -1) AS topic
       FROM documents LEFT JOIN embeddings ON vec_id = doc_id),
     words AS (SELECT topic, term, count(*) AS tf FROM (SELECT topic, unnest(string_split(ocr_text, ' ')) AS term FROM corpus) WHERE term <> '' GROUP BY 1, 2),
     per AS (SELECT topic, sum(tf) AS w FROM words GROUP BY 1),
