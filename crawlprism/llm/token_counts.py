@@ -22,6 +22,7 @@ named columns are read; other columns are dropped.
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -229,6 +230,7 @@ class Counter:
         self.pieces = PieceTransducer({as_bytes[w]: i for w, i in vocabulary.items()}, merges)
         special = sorted((t["content"] for t in file.get("added_tokens", [])), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        self.mark = os.path.commonprefix(special)  # what every added token begins with, maybe nothing
         self.classes = self._classes(Tokenizer.from_file(path).pre_tokenizer)
         self.value = mix(np.arange(1, 0x110001, dtype=np.uint64)) | np.uint64(1)
         self.known: dict[int, int] = {}
@@ -257,7 +259,7 @@ class Counter:
         """The number of tokens of each text."""
         result = np.zeros(len(texts), np.int64)
         parts, rows = texts, None
-        if self.special and any("<|" in t for t in texts if t):
+        if self.special and any(self.mark in t for t in texts):
             parts, rows = [], []
             for i, t in enumerate(texts):
                 split = self.special.split(t)

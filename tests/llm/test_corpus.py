@@ -539,6 +539,38 @@ def test_toxicity_learns_what_only_pairs_say():
     assert ((machine.scores(rows, slots, n) >= 0.5) == labels).mean() > 0.95
 
 
+def slow_scores(machine, texts: list[list[int]]) -> list[float]:
+    """The machine's formula, pair by pair."""
+    made = []
+    for slots in texts:
+        at = [machine.place[s] for s in slots if machine.place[s]]
+        raw = machine.bias + sum(machine.weight[i] for i in at)
+        raw += sum(float(machine.factors[i] @ machine.factors[j]) for n, i in enumerate(at) for j in at[:n])
+        made.append(1 / (1 + np.exp(-np.clip(raw, -30, 30))))
+    return made
+
+
+def test_toxicity_scores_equal_sums_over_pairs():
+    pick = np.random.default_rng(2)
+    texts = [sorted(set(pick.integers(0, 60, pick.integers(0, 25)).tolist())) for _ in range(400)]
+    rows = np.repeat(np.arange(400), [len(t) for t in texts])
+    slots = np.concatenate([np.array(t, np.int64) for t in texts])
+    labels = np.array([int(3 in t and 7 in t or 11 in t) for t in texts])
+    machine = toxicity.fit(rows, slots, labels)
+    assert len(machine.weight) > 5
+    assert machine.scores(rows, slots, 400) == pytest.approx(slow_scores(machine, texts), abs=1e-9)
+
+
+def test_toxicity_bound_holds_for_rows_and_other_columns_do_not_matter(spark, docs, odd):
+    marked = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, toxic int")
+    many = docs.where("doc_id = 1").crossJoin(spark.range(50)).drop("id").union(docs)
+    sample = toxicity.training_sample(many, marked, most=20)
+    assert sample.count() == 20
+    once = toxicity.train(toxicity.training_sample(docs, marked))
+    plain = collected(toxicity.score(docs, once))
+    assert collected(toxicity.score(odd, once)) == sorted(plain * 2, key=repr)
+
+
 def test_toxicity_of_odd_tables(spark, docs, none):
     marked = spark.createDataFrame([(5, 1), (6, 1), (None, 0), (7, None)], "doc_id long, toxic int")
     for labels, want in ((marked, 1.0), (marked.limit(0), 0.0)):
