@@ -30,7 +30,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from crawlprism.llm.common import mix, small, stored
 
@@ -248,9 +248,9 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
 
 STAGE_SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, BAND_BITS = 96, 18
+BANDS, BAND_BITS = 68, 16
 CHECK_BITS = 96
-PRINTS = BANDS * BAND_BITS // 64 + 2  # 27 fingerprints make the bands, two are for the check
+PRINTS = BANDS * BAND_BITS // 64 + 2  # 17 fingerprints make the bands, two are for the check
 FEW = 20
 BLOCK = 1024
 CHUNK = 256
@@ -496,74 +496,82 @@ def tile_links(points: list[int], groups: list[int], sets: list[np.ndarray], sim
     return found
 
 
-def _tiles(members: DataFrame, stage: int, chunk: int) -> DataFrame:
-    """(key, tile, point, group): what is compared of each key in a stage. A key of at most `chunk`
-    members is one tile. Larger ones are cut into chunks by hash: first each chunk with itself, then
-    the first chunk with every other, and last all that is outside the key's largest group with all."""
+def _own_tiles(members: DataFrame, chunk: int, star: bool) -> DataFrame:
+    """(key, tile, point, group): each key's members cut into chunks by hash; every chunk by itself, or
+    with `star` the first chunk with every other."""
     parts = F.ceil(F.col("n") / chunk).cast("int")
     of = F.pmod(F.xxhash64("point"), parts).cast("int")
-    if stage < 2:
-        tile = F.array(of) if stage == 0 else F.when(of == 0, F.sequence(F.lit(1), F.greatest(F.lit(1), parts - 1))).otherwise(F.array(of))
-        return members.select("key", F.explode(tile).alias("tile"), "point", "group")
-    sizes = members.groupBy("key", "group").count().groupBy("key").agg(F.max(F.struct("count", "group")).alias("top"))
-    split = members.join(sizes, "key").select(
-        "key", "point", "group", "n", (F.col("group") == F.col("top.group")).alias("main"), F.col("top.count").alias("n_main")
-    )
-    tails, mains = (F.greatest(F.lit(1), F.ceil(x / chunk).cast("int")) for x in (F.col("n") - F.col("n_main"), F.col("n_main")))
-    own = F.when(F.col("main"), F.pmod(F.xxhash64("point"), mains)).otherwise(F.pmod(F.xxhash64("point"), tails)).cast("int")
-    # Tile i, j of the tail's chunk i with the main group's chunk j, and i, -1 - j of two tail chunks i <= j.
+    if star:
+        of = F.explode(F.when(of == 0, F.sequence(F.lit(1), F.greatest(F.lit(1), parts - 1))).otherwise(F.array(of)))
+    return members.select("key", of.alias("tile"), "point", "group").withColumn("tile", F.col("tile").cast("string"))
+
+
+def _outer_tiles(members: DataFrame, chunk: int) -> DataFrame:
+    """(key, tile, point, group) of members whose key is a group: every chunk of those outside that group
+    with every chunk of those inside, and with every other chunk of those outside."""
+    inside = F.col("group") == F.col("key")
+    sizes = members.groupBy("key").agg(F.count_if(inside).alias("n_in"), F.count_if(~inside).alias("n_out"))
+    split = members.join(sizes, "key")
+    n_in, n_out = (F.greatest(F.lit(1), F.ceil(F.col(c) / chunk).cast("int")) for c in ("n_in", "n_out"))
+    own = F.pmod(F.xxhash64("point"), F.when(inside, n_in).otherwise(n_out)).cast("int")
     name = lambda i, j: F.concat_ws(",", i, j)
-    with_main = F.transform(F.sequence(F.lit(0), F.when(F.col("main"), tails).otherwise(mains) - 1),
-                            lambda k: F.when(F.col("main"), name(k, own)).otherwise(name(own, k)))
-    with_tail = F.when(F.col("main"), F.array().cast("array<string>")).otherwise(
-        F.transform(F.sequence(F.lit(0), tails - 1), lambda k: name(F.least(own, k), -1 - F.greatest(own, k)))
+    # Tile i, j is the outer chunk i with the inner chunk j; i, -1 - j are two outer chunks, i <= j.
+    with_inside = F.transform(F.sequence(F.lit(0), F.when(inside, n_out).otherwise(n_in) - 1),
+                              lambda k: F.when(inside, name(k, own)).otherwise(name(own, k)))
+    with_outside = F.when(inside, F.array().cast("array<string>")).otherwise(
+        F.transform(F.sequence(F.lit(0), n_out - 1), lambda k: name(F.least(own, k), -1 - F.greatest(own, k)))
     )
-    return split.select("key", F.explode(F.concat(with_main, with_tail)).alias("tile"), "point", "group")
+    return split.select("key", F.explode(F.concat(with_inside, with_outside)).alias("tile"), "point", "group")
+
+
+def _compared(tiles: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The links that tiles give. A tile of one group needs no work."""
+    several = tiles.groupBy("key", "tile").agg(F.min("group").alias("l"), F.max("group").alias("h")).where("l <> h").select("key", "tile")
 
+    def compare(group: pa.Table) -> pa.Table:
+        some = [np.frombuffer(x, np.uint64) for x in group["set"].to_pylist()]
+        found = tile_links(group["point"].to_pylist(), group["group"].to_pylist(), some, similarity)
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-def linked_in_rounds(lists: DataFrame, sets: DataFrame, stars: DataFrame, similarity: float, chunk: int) -> list[DataFrame]:
+    work = tiles.join(several, ["key", "tile"]).join(sets, "point").select("key", "tile", "point", "group", "set")
+    return stored(work.groupBy("key", "tile").applyInArrow(compare, "a long, b long"), "compared")
+
+
+def linked_in_tiles(lists: DataFrame, sets: DataFrame, stars: DataFrame, similarity: float, chunk: int) -> list[DataFrame]:
     """Links (a, b) that join what the members of each key are joined by, beyond the links `stars`.
 
-    Members that share a group need no comparison, so a key takes part only while its members are of
-    several groups. In each round a member's largest keys come first, four times as many as the round before;
-    their members are compared in tiles of at most two chunks, exactly and inside one task each, and the
-    groups that link become one. Rows grow with members, never with pairs.
+    Members are compared in tiles of at most two chunks, exactly and inside one task each; a tile whose
+    members share a group needs no work, and groups that link become one. First each member's largest key:
+    its chunks by themselves, then the first chunk with the others. That leaves large groups and some
+    members outside them. Then every key stands only for the groups in it: all groups that meet a larger
+    one in any key are compared with that one, member by member, once, however many keys they share.
+    Rows grow with members, never with pairs.
     """
-    links, turn = [stars], 0
-    groups = stored(components(stars), "groups")
-    lists = lists.withColumn("stage", F.lit(0))
-    while True:
-        named = lists.join(groups.withColumnRenamed("node", "point"), "point", "left").select(
-            "key", "point", "stage", F.coalesce("root", "point").alias("group")
-        )
-        mixed = named.groupBy("key").agg(F.min("group").alias("l"), F.max("group").alias("h"), F.count(F.lit(1)).alias("n"))
-        lists = stored(named.join(mixed.where("l <> h").select("key", "n"), "key"), "lists")
-        first = Window.partitionBy("point").orderBy(F.col("n").desc(), "key")
-        picked = lists.select("key", "n", "point").withColumn("r", F.row_number().over(first)).where(F.col("r") <= 4**turn)
-        now = stored(lists.join(picked.select("key").distinct(), "key"), "members")
-        stages = [r.stage for r in now.select("stage").distinct().collect()]
-        if not stages:
-            return links
-        tiles = [_tiles(now.where(F.col("stage") == stage), stage, chunk).select("key", F.col("tile").cast("string").alias("tile"), "point", "group")
-                 for stage in sorted(stages)]
-        tiles = reduce(DataFrame.union, tiles)
-        several = tiles.groupBy("key", "tile").agg(F.min("group").alias("l"), F.max("group").alias("h")).where("l <> h").select("key", "tile")
-
-        def compare(group: pa.Table) -> pa.Table:
-            sets = [np.frombuffer(x, np.uint64) for x in group["set"].to_pylist()]
-            found = tile_links(group["point"].to_pylist(), group["group"].to_pylist(), sets, similarity)
-            return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
-
-        work = tiles.join(several, ["key", "tile"]).join(sets, "point").select("key", "tile", "point", "group", "set")
-        made = stored(work.groupBy("key", "tile").applyInArrow(compare, "a long, b long"), "round")
+    links = [stars]
+    points = stored(lists.select("point").distinct(), "members")
+
+    def grouped() -> DataFrame:
+        roots = components(reduce(DataFrame.union, links)).withColumnRenamed("node", "point")
+        return stored(points.join(roots, "point", "left").select("point", F.coalesce("root", "point").alias("group")), "groups")
+
+    groups = grouped()
+    sizes = lists.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    largest = lists.join(sizes, "key").groupBy("point").agg(F.max(F.struct("n", "key")).alias("top"))
+    picked = stored(largest.select("top.key", "top.n").distinct(), "picked")
+    own = stored(lists.join(picked, "key"), "own")
+    for star in (False, True):
+        now = own.join(groups, "point")
+        made = _compared(_own_tiles(now.where(F.col("n") > chunk) if star else now, chunk, star), sets, similarity)
         if not made.isEmpty():
             links.append(made)
-            groups = stored(components(reduce(DataFrame.union, links)), "groups")
-        # A key of one tile, or after its last stage, is done.
-        after = F.when(F.col("n") <= chunk, 3).otherwise(F.col("stage") + 1)
-        chosen = now.select("key", F.lit(True).alias("chosen")).distinct()
-        lists = lists.join(chosen, "key", "left").select("key", "point", F.when(F.col("chosen"), after).otherwise(F.col("stage")).alias("stage")).where("stage < 3")
-        turn += 1
+            groups = grouped()
+    met = stored(lists.join(groups, "point").select("key", "group").distinct(), "met_groups")
+    size = groups.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
+    main = met.join(size, "group").groupBy("key").agg(F.max(F.struct("size", "group")).alias("top"), F.count(F.lit(1)).alias("n"))
+    others = met.join(main.where("n > 1").select("key", F.col("top.group").alias("main")), "key").select("main", "group").distinct()
+    outer = stored(others.join(groups, "group").select(F.col("main").alias("key"), "point", "group"), "outer")
+    links.append(_compared(_outer_tiles(outer, chunk), sets, similarity))
+    return links
 
 
 def similar_links(docs: DataFrame, points: DataFrame, *, id_column: str, text_column: str, shingle: int,
@@ -573,7 +581,7 @@ def similar_links(docs: DataFrame, points: DataFrame, *, id_column: str, text_co
 
     Close members are gathered into groups first and each is verified against the smallest of its
     group, so most dense groups need one comparison per member. What is still apart after that is compared
-    in rounds, key by key.
+    in tiles.
     """
     loose, tight = check_limit(similarity), round(CHECK_BITS * differing((1 + similarity) / 2))
     met = stored(proposed(points, loose=loose, tight=tight, block=block), "met")
@@ -596,7 +604,7 @@ def similar_links(docs: DataFrame, points: DataFrame, *, id_column: str, text_co
     close = met.where("point <> other").select(F.col("point").alias("a"), F.col("other").alias("b")).distinct()
     roots = components(close).where("node <> root")
     stars = stored(verified(roots.select(F.col("node").alias("a"), F.col("root").alias("b")), sets, similarity), "stars")
-    return reduce(DataFrame.union, linked_in_rounds(met.select("key", "point"), sets, stars, similarity, chunk))
+    return reduce(DataFrame.union, linked_in_tiles(met.select("key", "point"), sets, stars, similarity, chunk))
 
 
 def keep_one(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", shingle: int = STAGE_SHINGLE,
@@ -604,7 +612,7 @@ def keep_one(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "
     """The documents, one of each group of near duplicates: that of the smallest id (then text hash).
 
     Near duplicates are linked where their distinct shingles have that Jaccard similarity, computed
-    exactly. The fingerprints only propose: 96 bands of 18 bits, of which two sets of similarity 0.8
+    exactly. The fingerprints only propose: 68 bands of 16 bits, of which two sets of similarity 0.8
     share one with probability 0.994, then a check of 96 more bits with a limit four deviations above
     their mean. Sets of at most `FEW` shingles also meet in their smallest hashes, as bits of small
     sets differ more. Texts of equal sets are one point.
