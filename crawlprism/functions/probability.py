@@ -47,8 +47,41 @@ def chi2_tail(x: float, dof: float) -> float:
     return math.nan  # no convergence: say so rather than give a rough value
 
 
-def _log_choose(n: float, k: float) -> float:
-    return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+def _stirling_rest(n: int) -> float:
+    """ln n! less Stirling's (n + 1/2) ln n - n + ln(2 pi) / 2."""
+    if n <= 15:
+        return math.lgamma(n + 1) - (n + 0.5) * math.log(n) + n - 0.5 * math.log(2 * math.pi)
+    square = float(n) * n
+    return (1 / 12 - (1 / 360 - (1 / 1260 - (1 / 1680 - 1 / (1188 * square)) / square) / square) / square) / n
+
+
+def _deviance(x: int, mean: float, excess: float) -> float:
+    """x ln(x / mean) - (x - mean), with x - mean given, so that nothing cancels near the mean."""
+    if abs(excess) >= 0.1 * (x + mean):
+        return x * math.log(x / mean) - excess
+    v = excess / (x + mean)
+    total, term, j = excess * v, 2 * x * v, 1
+    while True:
+        term *= v * v
+        new = total + term / (2 * j + 1)
+        if new == total:
+            return total
+        total, j = new, j + 1
+
+
+def _log_binomial(x: int, n: int, k: int, of: int) -> float:
+    """ln of the binomial probability of x in n at a rate of k / of, by deviances: it keeps its digits
+    however large the counts are. The differences from the means are worked out in whole numbers."""
+    if x == 0:
+        return n * math.log1p(-k / of) if k < of else (0.0 if n == 0 else -math.inf)
+    if x == n:
+        return n * math.log(k / of)
+    excess = (x * of - n * k) / of
+    mean, rest = n * k / of, n * (of - k) / of
+    return (
+        _stirling_rest(n) - _stirling_rest(x) - _stirling_rest(n - x) - _deviance(x, mean, excess) - _deviance(n - x, rest, -excess)
+        + 0.5 * (math.log(n / x) - math.log(2 * math.pi * (n - x)))
+    )
 
 
 def fisher_two_sided(a: int, b: int, c: int, d: int) -> float:
@@ -59,7 +92,7 @@ def fisher_two_sided(a: int, b: int, c: int, d: int) -> float:
     lo, hi = max(0, row + colm - n), min(row, colm)
 
     def logp(x: int) -> float:
-        return _log_choose(colm, x) + _log_choose(n - colm, row - x) - _log_choose(n, row)
+        return _log_binomial(x, colm, row, n) + _log_binomial(row - x, n - colm, row, n) - _log_binomial(row, n, row, n)
 
     limit = logp(a) + 1e-7
     mode = min(max(((row + 1) * (colm + 1)) // (n + 2), lo), hi)

@@ -137,6 +137,20 @@ def test_private_rules_are_left_out_unless_asked_for():
     assert suffixes.from_list(lines).depth == 1 and suffixes.from_list(lines, private=True).depth == 2
 
 
+def exact_fisher(a: int, b: int, c: int, d: int) -> float:
+    """In whole numbers, for tables whose first row is short."""
+    row, column, n = a + b, a + c, a + b + c + d
+    ways = [comb(column, x) * comb(n - column, row - x) for x in range(row + 1)]
+    return sum(w for w in ways if w * 10**7 <= ways[a] * (10**7 + 1)) / comb(n, row)
+
+
+def test_fisher_keeps_its_digits_at_large_counts():
+    tables = [(3, 40, 10**9, 9 * 10**9), (12, 60, 10**9, 9 * 10**9 + 7), (0, 25, 10**10, 10**10), (9, 1, 10**10, 3 * 10**10), (30, 0, 10**8, 10**9),
+              (1, 200, 10**10, 10**12), (120, 80, 5 * 10**9, 5 * 10**9), (400, 600, 3000, 7000), (16, 16, 17, 15), (0, 0, 3, 4), (5, 0, 0, 5)]
+    for table in tables:
+        assert fisher_two_sided(*table) == pytest.approx(exact_fisher(*table), rel=1e-9), table
+
+
 def test_hosts(spark):
     row = spark.range(1).select(
         hostname(F.lit("https://A.b.com:8/x")).alias("h"),
