@@ -1,10 +1,12 @@
-"""What keeps the work in step with the tables: bounded broadcasts."""
+"""What keeps the work in step with the tables: bounded broadcasts, tables written without a second
+shuffle, metrics grouped once."""
 
 from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from crawlprism.session import RUNTIME_CONF
+from crawlprism.sources.tagged import write_table
 
 
 def test_a_file_of_some_megabytes_is_not_broadcast(spark, tmp_path):
@@ -20,3 +22,15 @@ def test_a_file_of_some_megabytes_is_not_broadcast(spark, tmp_path):
 
 def test_measured_sides_have_a_bound_of_their_own():
     assert int(RUNTIME_CONF["spark.sql.adaptive.autoBroadcastJoinThreshold"]) <= 16 << 20
+
+
+def test_tasks_write_their_own_rows_without_rebalance(spark, tmp_path):
+    rows = spark.range(0, 900, 1, 3).select(
+        F.when(F.col("id") % 3 > 0, F.concat(F.lit("p"), (F.col("id") % 3).cast("string"))).alias("profile"), "id"
+    )
+    even, own = str(tmp_path / "even"), str(tmp_path / "own")
+    assert write_table(rows, even) == write_table(rows, own, rebalance=False) == 900
+    files = lambda path: len(list(Path(path).rglob("*.parquet")))
+    assert files(own) == 9 and files(even) < 9
+    got = spark.read.parquet(own)
+    assert sorted(map(str, got.collect())) == sorted(map(str, spark.read.parquet(even).collect()))
