@@ -5,6 +5,8 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
+from crawlprism.config import Study
+from crawlprism.operators import stats
 from crawlprism.session import RUNTIME_CONF
 from crawlprism.sources.tagged import write_table
 
@@ -34,3 +36,14 @@ def test_tasks_write_their_own_rows_without_rebalance(spark, tmp_path):
     assert files(own) == 9 and files(even) < 9
     got = spark.read.parquet(own)
     assert sorted(map(str, got.collect())) == sorted(map(str, spark.read.parquet(even).collect()))
+
+
+def test_a_battery_groups_its_metric_once(spark, monkeypatch):
+    calls, table = [], stats._value_table
+    monkeypatch.setattr(stats, "_value_table", lambda *a: calls.append(a) or table(*a))
+    metrics = spark.createDataFrame([(p, v) for p in ("a", "b", "c") for v in range(12)], "profile string, metric_value long")
+    study = Study(profiles=("a", "b", "c"))
+    got = stats.pairwise_battery(metrics, "m", study=study).collect()
+    assert len(calls) == 1 and len(got) == 3
+    alone = stats.kruskal_wallis(metrics, study.profiles, "m").first()
+    assert (got[0].statistic, got[0].n_observations) == (alone.statistic, 36)
