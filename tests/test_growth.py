@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from crawlprism.config import Study
 from crawlprism.operators import stats
 from crawlprism.session import RUNTIME_CONF
+from crawlprism.sources import artifacts
 from crawlprism.sources.tagged import write_table
 
 
@@ -47,3 +48,22 @@ def test_a_battery_groups_its_metric_once(spark, monkeypatch):
     assert len(calls) == 1 and len(got) == 3
     alone = stats.kruskal_wallis(metrics, study.profiles, "m").first()
     assert (got[0].statistic, got[0].n_observations) == (alone.statistic, 36)
+
+
+def test_records_are_parsed_once(spark):
+    texts = [
+        '{"visit_id":1,"src":"a","ad_metadata":7,"rect":"x"}',
+        '{"visit_id":"2","src":0,"ad_id":"0","ad_metadata":{"src":false,"network":["n"],"rect":{"w":3,"h":"4","x":null}},"rect":{"w":9}}',
+        '[1,{"visit_id":4,"ad_metadata":{"rect":{}},"rect":{"w":6}},{"record_type":"note"}]',
+        '{"record_type":null,"page_url":8,"timestamp":"x"}', '"{\\"visit_id\\":5}"', '{"x":', "[]", "7",
+    ]
+    files = spark.createDataFrame([("p", f"/d/p/ads/f{i}.json", x) for i, x in enumerate(texts)], "profile string, path string, value string")
+    flat = artifacts.flat_ads(files.repartition(2))
+    # A file's text, and once more the text in a string: Spark used to repeat both below the explode.
+    assert flat._jdf.queryExecution().optimizedPlan().toString().lower().count("parsejson") == 2
+    got = {r[0]: tuple(r[1:]) for r in flat.select("ad_hash", "visit_id", "page_url", "ad_src", "ad_id", "capture_network", "ad_width", "ad_height").collect()}
+    assert got == {
+        "f0": (1, "", "a", None, "unknown", 0.0, 0.0), "f1": (2, "", None, "0", '["n"]', 3.0, 4.0),
+        "f2_0": (4, "", None, None, "unknown", 6.0, 0.0), "f3": (-1, "8", None, None, "unknown", 0.0, 0.0),
+        "f4": (5, "", None, None, "unknown", 0.0, 0.0),
+    }
