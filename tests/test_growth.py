@@ -6,7 +6,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from crawlprism.config import Study
-from crawlprism.operators import stats
+from crawlprism.operators import enrich, stats
 from crawlprism.session import RUNTIME_CONF
 from crawlprism.sources import artifacts
 from crawlprism.sources.tagged import write_table
@@ -67,3 +67,28 @@ def test_records_are_parsed_once(spark):
         "f2_0": (4, "", None, None, "unknown", 6.0, 0.0), "f3": (-1, "8", None, None, "unknown", 0.0, 0.0),
         "f4": (5, "", None, None, "unknown", 0.0, 0.0),
     }
+
+
+def test_hosts_are_searched_once_a_row(spark):
+    requests = spark.createDataFrame(
+        [("a", 1, "https://x.one.com/p", "https://www.one.com/"), ("a", 1, "https://y.two.com/p", None), ("a", 2, "https://z.two.com/", "not a page"),
+         ("a", 2, "https://two.com/", "https://10.0.0.1/"), ("b", 1, "https://q.one.com/", None), ("a", 1, "https://x.one.com/p", "https://www.one.com/"),
+         (None, 1, "https://x.one.com/p", ""), ("b", 9, None, "https://one.com/")],
+        "profile string, visit_id int, url string, top_level_url string",
+    )
+    visits = spark.createDataFrame([("a", 1, "https://two.com/"), ("a", 2, "https://one.com/"), ("b", 1, None)], "profile string, visit_id int, site_url string")
+    index = spark.createDataFrame([("one.com", "One", "Group"), ("two.com", "Two", "Group")], "entity_domain string, subsidiary_entity string, parent_entity string")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before, made = spark.conf.get(key), []
+    try:
+        for bound in ("-1", before):
+            spark.conf.set(key, bound)
+            made.append(enrich.enrich(requests, index, visits, domain_column="url", context_column="top_level_url", keep_context=True))
+            if bound == "-1":
+                plan = made[0]._jdf.queryExecution().optimizedPlan().toString()
+                # Once for the pages in each of two branches, for the visits, and for the rows in each branch.
+                assert "Union" in plan and plan.count("regexp_extract(") <= 5
+            made[-1] = sorted(map(str, made[-1].collect()))
+    finally:
+        spark.conf.set(key, before)
+    assert made[0] == made[1] and len(made[0]) == 8
