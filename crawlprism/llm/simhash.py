@@ -396,7 +396,7 @@ def met_members(posted: np.ndarray, loose: int, tight: int, block: int) -> tuple
 
 
 def proposed(points: DataFrame, *, loose: int, tight: int, block: int) -> DataFrame:
-    """(key, point, other) of what `met_members` finds. Postings travel packed, many to a row, in slots
+    """(key, n, point, other) of what `met_members` finds, n its members of the key. Postings travel packed, many to a row, in slots
     of keys; a task holds one slot at a time and there are more slots the more points there are."""
     slots = 1 << max(8, int(points.count() * BANDS >> 16).bit_length())
 
@@ -417,8 +417,9 @@ def proposed(points: DataFrame, *, loose: int, tight: int, block: int) -> DataFr
         held, slot = [], None
 
         def done() -> pa.RecordBatch:
-            made = met_members(np.frombuffer(b"".join(held), np.uint32).reshape(-1, 6), loose, tight, block)
-            return pa.RecordBatch.from_arrays([*map(pa.array, made)], ["key", "point", "other"])
+            keys, *made = met_members(np.frombuffer(b"".join(held), np.uint32).reshape(-1, 6), loose, tight, block)
+            _, at, sizes = np.unique(keys, return_inverse=True, return_counts=True)  # a key is whole in its slot
+            return pa.RecordBatch.from_arrays([*map(pa.array, (keys, sizes[at], *made))], ["key", "n", "point", "other"])
 
         for batch in batches:
             for of, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -431,7 +432,7 @@ def proposed(points: DataFrame, *, loose: int, tight: int, block: int) -> DataFr
             yield done()
 
     posts = points.select("point", "sig", "few").mapInArrow(post, "slot int, data binary")
-    return posts.repartition("slot").sortWithinPartitions("slot").mapInArrow(meet, "key long, point long, other long")
+    return posts.repartition("slot").sortWithinPartitions("slot").mapInArrow(meet, "key long, n long, point long, other long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -515,17 +516,19 @@ def _outer_tiles(members: DataFrame, chunk: int) -> DataFrame:
     n_in, n_out = (F.greatest(F.lit(1), F.ceil(F.col(c) / chunk).cast("int")) for c in ("n_in", "n_out"))
     own = F.pmod(F.xxhash64("point"), F.when(inside, n_in).otherwise(n_out)).cast("int")
     name = lambda i, j: F.concat_ws(",", i, j)
-    # Tile i, j is the outer chunk i with the inner chunk j; i, -1 - j are two outer chunks, i <= j.
+    # Tile i, j is the outer chunk i with the inner chunk j, of which there is one at least, and so the outer
+    # chunk with itself; i, -1 - j are two outer chunks, i < j.
     with_inside = F.transform(F.sequence(F.lit(0), F.when(inside, n_out).otherwise(n_in) - 1),
                               lambda k: F.when(inside, name(k, own)).otherwise(name(own, k)))
     with_outside = F.when(inside, F.array().cast("array<string>")).otherwise(
-        F.transform(F.sequence(F.lit(0), n_out - 1), lambda k: name(F.least(own, k), -1 - F.greatest(own, k)))
+        F.transform(F.filter(F.sequence(F.lit(0), n_out - 1), lambda k: k != own), lambda k: name(F.least(own, k), -1 - F.greatest(own, k)))
     )
     return split.select("key", F.explode(F.concat(with_inside, with_outside)).alias("tile"), "point", "group")
 
 
 def _compared(tiles: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The links that tiles give. A tile of one group needs no work."""
+    tiles = stored(tiles, "tiles")
     several = tiles.groupBy("key", "tile").agg(F.min("group").alias("l"), F.max("group").alias("h")).where("l <> h").select("key", "tile")
 
     def compare(group: pa.Table) -> pa.Table:
@@ -537,35 +540,41 @@ def _compared(tiles: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return stored(work.groupBy("key", "tile").applyInArrow(compare, "a long, b long"), "compared")
 
 
-def linked_in_tiles(lists: DataFrame, sets: DataFrame, stars: DataFrame, similarity: float, chunk: int) -> list[DataFrame]:
-    """Links (a, b) that join what the members of each key are joined by, beyond the links `stars`.
+def packed_members(met: DataFrame) -> DataFrame:
+    """One row a member: point, `keys` (all its keys) and `own`, those that are some member's largest one,
+    with their sizes. A member has a key for each band and few more, so rows stay small, and what is
+    worked out a member joins once a member instead of once a key."""
+    picked = met.groupBy("point").agg(F.max(F.struct("n", "key")).alias("top")).select("top.key").distinct()
+    own = met.join(stored(picked, "picked"), "key").groupBy("point").agg(F.collect_list(F.struct("key", "n")).alias("own"))
+    return met.groupBy("point").agg(F.collect_list("key").alias("keys")).join(own, "point")
+
+
+def linked_in_tiles(members: DataFrame, sets: DataFrame, stars: DataFrame, similarity: float, chunk: int) -> list[DataFrame]:
+    """Links (a, b) that join what the `packed_members` of each key are joined by, beyond the links `stars`.
 
     Members are compared in tiles of at most two chunks, exactly and inside one task each; a tile whose
     members share a group needs no work, and groups that link become one. First each member's largest key:
     its chunks by themselves, then the first chunk with the others. That leaves large groups and some
     members outside them. Then every key stands only for the groups in it: all groups that meet a larger
     one in any key are compared with that one, member by member, once, however many keys they share.
-    Rows grow with members, never with pairs.
+    The rows of joins are members and their places in tiles, never pairs.
     """
     links = [stars]
-    points = stored(lists.select("point").distinct(), "members")
+    points = members.select("point")
 
     def grouped() -> DataFrame:
         roots = components(reduce(DataFrame.union, links)).withColumnRenamed("node", "point")
         return stored(points.join(roots, "point", "left").select("point", F.coalesce("root", "point").alias("group")), "groups")
 
     groups = grouped()
-    sizes = lists.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    largest = lists.join(sizes, "key").groupBy("point").agg(F.max(F.struct("n", "key")).alias("top"))
-    picked = stored(largest.select("top.key", "top.n").distinct(), "picked")
-    own = stored(lists.join(picked, "key"), "own")
     for star in (False, True):
-        now = own.join(groups, "point")
+        now = members.select("point", "own").join(groups, "point").select("point", "group", F.inline("own"))
         made = _compared(_own_tiles(now.where(F.col("n") > chunk) if star else now, chunk, star), sets, similarity)
         if not made.isEmpty():
             links.append(made)
             groups = grouped()
-    met = stored(lists.join(groups, "point").select("key", "group").distinct(), "met_groups")
+    met = members.select("point", "keys").join(groups, "point").select(F.explode("keys").alias("key"), "group")
+    met = stored(met.distinct(), "met_groups")
     size = groups.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
     main = met.join(size, "group").groupBy("key").agg(F.max(F.struct("size", "group")).alias("top"), F.count(F.lit(1)).alias("n"))
     others = met.join(main.where("n > 1").select("key", F.col("top.group").alias("main")), "key").select("main", "group").distinct()
@@ -585,7 +594,8 @@ def similar_links(docs: DataFrame, points: DataFrame, *, id_column: str, text_co
     """
     loose, tight = check_limit(similarity), round(CHECK_BITS * differing((1 + similarity) / 2))
     met = stored(proposed(points, loose=loose, tight=tight, block=block), "met")
-    need = met.select("point").distinct()
+    members = stored(packed_members(met), "members")
+    need = members.select("point")
     wanted = stored(
         points.join(need, "point").select(F.struct(F.col("least.id").alias("id"), F.col("least.th").alias("th"), "point").alias("__want")),
         "wanted",
@@ -604,7 +614,7 @@ def similar_links(docs: DataFrame, points: DataFrame, *, id_column: str, text_co
     close = met.where("point <> other").select(F.col("point").alias("a"), F.col("other").alias("b")).distinct()
     roots = components(close).where("node <> root")
     stars = stored(verified(roots.select(F.col("node").alias("a"), F.col("root").alias("b")), sets, similarity), "stars")
-    return reduce(DataFrame.union, linked_in_tiles(met.select("key", "point"), sets, stars, similarity, chunk))
+    return reduce(DataFrame.union, linked_in_tiles(members, sets, stars, similarity, chunk))
 
 
 def keep_one(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", shingle: int = STAGE_SHINGLE,

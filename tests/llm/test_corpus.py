@@ -369,6 +369,39 @@ def test_many_copies_close_to_the_limit(spark, edits, chunk):
     assert len(want) > 5
 
 
+def test_members_are_joined_once_however_many_keys_they_share(spark):
+    met = spark.createDataFrame(
+        [(k, 3, p, 1) for k in range(40) for p in (1, 2, 3)] + [(90, 2, 3, 3), (90, 2, 4, 3)], "key long, n long, point long, other long"
+    )
+    members = {r.point: r for r in simhash.packed_members(met).collect()}
+    assert {p: len(r.keys) for p, r in members.items()} == {1: 40, 2: 40, 3: 41, 4: 1}
+    # Of the keys only those that are some member's largest: the greatest of the equal ones, and 4's only one.
+    assert {p: sorted(map(tuple, r.own)) for p, r in members.items()} == {1: [(39, 3)], 2: [(39, 3)], 3: [(39, 3), (90, 2)], 4: [(90, 2)]}
+
+
+@pytest.mark.parametrize("n_in, n_out, chunk", [(9, 5, 64), (9, 40, 8), (1, 30, 8)])
+def test_outer_tiles_hold_every_pair_without_a_tile_twice(spark, n_in, n_out, chunk):
+    rows = [(7, i, 7 if i < n_in else 100 + i) for i in range(n_in + n_out)]
+    members = spark.createDataFrame(rows, "key long, point long, group long")
+    tiles = {}
+    for r in simhash._outer_tiles(members, chunk).collect():
+        tiles.setdefault(r.tile, set()).add(r.point)
+    met = {(a, b) for t in tiles.values() for a in t for b in t if a < b}
+    assert met >= {(a, b) for a in range(n_in + n_out) for b in range(max(a + 1, n_in), n_in + n_out)}
+    assert not any(a < b for a in tiles.values() for b in tiles.values())  # no tile is inside another
+    if max(n_in, n_out) <= chunk:
+        assert list(map(len, tiles.values())) == [n_in + n_out]
+
+
+def test_proposals_carry_the_members_of_their_key(spark):
+    texts = [(i, f"{prose(7, 300, 3000)} end{i}") for i in range(6)] + [(9, prose(8, 300, 3000))]
+    docs = spark.createDataFrame(texts, "doc_id int, text string")
+    made = simhash.signatures(docs, id_column="doc_id", text_column="text", shingle=5, similarity=0.8)
+    met = simhash.proposed(made.select("point", "sig", "few"), loose=29, tight=10, block=1024).collect()
+    sizes = Counter(r.key for r in met)
+    assert met and all(r.n == sizes[r.key] for r in met)
+
+
 def test_quality_measures_and_hosts(spark, docs, rows):
     got = {r.doc_id: r for r in quality.judge(docs).collect()}
     for r in rows:
