@@ -132,6 +132,17 @@ def test_trie_equals_the_suffix_algorithm(spark):
         assert got == [longest_rule(h, rules) for h in hosts], rules
 
 
+def test_a_walk_names_each_rule_once(spark):
+    trie = suffixes.SuffixTrie.of(["com", "co.uk", "x.co.uk", *(f"r{i}.b.uk" for i in range(50))])
+    assert trie.depth == 3
+    df = spark.createDataFrame([("https://a.r7.b.uk/",), ("https://a.r77.b.uk/",), ("b.uk",)], "u string")
+    got = with_registered_domain(df.repartition(1), "u", rules=trie)
+    # The driver copies and prints the rules with the plan; they used to stand there once a step.
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert [plan.count(f",{name}:1") for name in ("com", "co.uk", "r7.b.uk")] == [1, 1, 1]
+    assert sorted(r.domain for r in got.collect()) == ["a.r7.b.uk", "b.uk", "b.uk"]
+
+
 def test_private_rules_are_left_out_unless_asked_for():
     lines = ["// ===BEGIN ICANN DOMAINS===", "com", "// ===END ICANN DOMAINS===", "// ===BEGIN PRIVATE DOMAINS===", "blog.com", "// ===END PRIVATE DOMAINS==="]
     assert suffixes.from_list(lines).depth == 1 and suffixes.from_list(lines, private=True).depth == 2
