@@ -23,6 +23,17 @@ def test_a_file_of_some_megabytes_is_not_broadcast(spark, tmp_path):
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
 
 
+def test_files_that_hide_their_rows_are_not_broadcast(spark, tmp_path):
+    path = str(tmp_path / "part")
+    few = F.pmod(F.xxhash64("id"), F.lit(4000))
+    spark.range(300_000).select(few.alias("p"), F.concat(F.lit("a name of some length, number "), few).alias("name")).coalesce(1).write.parquet(path)
+    assert sum(p.stat().st_size for p in Path(path).glob("*.parquet")) < 2 << 20  # 20 MB of rows
+    joined = spark.range(2_000_000).join(spark.read.parquet(path), F.col("id") == F.col("p")).agg(F.count("name"))
+    assert joined.first()[0] == 300_000
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
 def test_measured_sides_have_a_bound_of_their_own():
     assert int(RUNTIME_CONF["spark.sql.adaptive.autoBroadcastJoinThreshold"]) <= 16 << 20
 
