@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crawlprism.functions.labels import with_pixel
-from crawlprism.operators import enrich, pixels
+from crawlprism.operators import ads, enrich, pixels
 from crawlprism.plans.roles import Roles
 
 EXT = "external third-party"
@@ -134,6 +134,29 @@ def test_ads_are_sent_once_to_their_pages(spark):
     }
 
 
+@pytest.mark.parametrize("keys", [("profile", "visit_id"), ("visit_id",)])
+def test_cooccurrence_sends_hosts_once(spark, keys):
+    rng = random.Random(8)
+    shown = [(rng.choice(["a", "b", None]), rng.choice([1, 1, 2, 3, None]), rng.choice([None, *(f"ad{i}" for i in range(40))]), rng.choice(["n1", "n2", None])) for _ in range(120)]
+    seen = [(rng.choice(["a", "b", None]), rng.choice([1, 2, 3, 4, None]), f"https://t{rng.randrange(6)}.com/x", EXT) for _ in range(90)]
+    ad_frame = spark.createDataFrame([(*s, True, "high") for s in shown], "profile string, visit_id long, ad_hash string, advertiser_network string, is_valid_ad boolean, confidence string")
+    requests = spark.createDataFrame(seen, "profile string, visit_id long, url string, relationship_tier string")
+    want = {}
+    for p, v, h, n in shown:
+        for q, w, u, _ in seen:
+            if n is not None and v is not None and v == w and (keys == ("visit_id",) or (p is not None and p == q)):
+                cell = want.setdefault((n, u.split("/")[2]), (set(), set()))
+                cell[0].add(h)
+                cell[1].add(p)
+    with unbroadcast(spark):
+        out = ads.network_tracker_cooccurrence(ad_frame, requests, top_n=None, keys=keys, min_shared=0)
+        sent = exchanges(out)
+        # In each of the two branches hosts travel once, as a set a visit.
+        assert sum(not columns & {"advertiser_network"} for columns in sent if columns & {"_hosts", "buf", "url", "tracker_domain"}) <= 2
+        got = {(r.advertiser_network, r.tracker_domain): (r.shared_ads, r.n_profiles) for r in out.collect()}
+    assert got == {k: (len(a - {None}), len(b - {None})) for k, (a, b) in want.items()}
+
+
 def test_flags_travel_as_one_number(spark, sf, monkeypatch):
     roles = Roles(spark, sf)
     with unbroadcast(spark):
